@@ -245,7 +245,10 @@ RANGES = " UNION ALL ".join(
 )
 
 READINESS = """
-  WITH counted AS (
+  SELECT *, slots > 0 AS slots_loaded, open_slots = 0 OR scores > 0 AS scoring_complete,
+         open_slots = 0 OR (scores > 0 AND calibrations > 0) AS ready_to_recommend,
+         slots > 0 AND features > 0 AND actions > 0 AS ready_to_evaluate
+  FROM (
     SELECT k.scenario_id, k.run_id, count(*) AS slots,
            count(*) FILTER (WHERE current_status = 'open' AND slot_start_at >= effective_ts)
              AS open_slots,
@@ -253,17 +256,17 @@ READINESS = """
            (SELECT count(*) FROM scored x WHERE x.run_id = k.run_id) AS scores,
            (SELECT count(*) FROM calibrations x WHERE x.run_id = k.run_id) AS calibrations,
            (SELECT count(*) FROM decisions x WHERE x.run_id = k.run_id) AS actions
-    FROM known_slots k GROUP BY ALL
-  )
-  SELECT *, slots > 0 AS slots_loaded, open_slots = 0 OR scores > 0 AS scoring_complete,
-         open_slots = 0 OR (scores > 0 AND calibrations > 0) AS ready_to_recommend,
-         slots > 0 AND features > 0 AND actions > 0 AS ready_to_evaluate
-  FROM counted
+    FROM known_slots k GROUP BY 1, 2)
 """
 
 
 def _correlation(x: str, y: str) -> str:
-    return f"covar_pop({x}, {y}) / nullif(stddev_pop({x}) * stddev_pop({y}), 0)"
+    """Over the discounted rows only."""
+    discounted = "FILTER (WHERE action_value > 0)"
+    return (
+        f"covar_pop({x}, {y}) {discounted}"
+        f" / nullif(stddev_pop({x}) {discounted} * stddev_pop({y}) {discounted}, 0)"
+    )
 
 
 def _policy_rule(rule: str, condition: str) -> str:
@@ -298,7 +301,7 @@ POLICY = " UNION ALL ".join(
         ),
         f"""SELECT scenario_id, run_id, 'discounts fall with severity',
               coalesce({_correlation('shortfall_score', 'action_value')} < -0.25, false)::BIGINT
-            FROM decisions WHERE action_value > 0 GROUP BY 1, 2""",
+            FROM decisions GROUP BY 1, 2""",
     ]
 )
 
@@ -352,7 +355,7 @@ EVALUATION = " UNION ALL ".join(
         _metric(
             "discount_shortfall_correlation",
             f"SELECT {_correlation('action_value', 'shortfall_score')} FROM decisions x"
-            " WHERE x.run_id = runs.run_id AND action_value > 0",
+            " WHERE x.run_id = runs.run_id",
         ),
         _metric(
             "low_demand_flag_rate",

@@ -22,16 +22,12 @@ LEAD_HOURS = 1440
 
 
 def assign_runs(df: DataFrame, runs: Sequence[RunSpec]) -> DataFrame:
-    """Every row once per run. The runs are a short list of the caller, no table."""
-    if len(runs) == 1:
-        run = runs[0]
-        return df.withColumns(
-            {
-                "scenario_id": F.lit(run.scenario_id),
-                "run_id": F.lit(run.run_id),
-                "effective_ts": instant(str(run.effective_ts)),
-            }
-        )
+    """Every row once per run. The runs are a short list of the caller, no table.
+
+    The run columns come out of an explode, also for a single run. As plain literals they
+    would be folded out of some join and grouping keys but not out of others, and a table
+    grouped by run and slot would be shuffled again before its join by slot.
+    """
     described = [
         F.struct(
             F.lit(r.scenario_id).alias("scenario_id"),
@@ -40,7 +36,9 @@ def assign_runs(df: DataFrame, runs: Sequence[RunSpec]) -> DataFrame:
         )
         for r in runs
     ]
-    return df.select("*", F.explode(F.array(*described)).alias("_run")).select(*df.columns, "_run.*")
+    return df.select("*", F.explode(F.array(*described)).alias("_run")).select(
+        *df.columns, "_run.*"
+    )
 
 
 def _tagged(prefix: str, value: Column) -> Column:
