@@ -8,7 +8,7 @@ recomputed task after a lost executor gives bit-for-bit the same rates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from openchair.functions import calendar, numbers
@@ -21,41 +21,31 @@ CELL_KEY = (*RUN_KEY, "business_id", "provider_id", *COHORT_KEY)
 PATTERN_EVENTS = {"cancel": "canceled", "no_show": "no_show", "reschedule": "rescheduled"}
 
 
-def _exact(micros: str) -> Column:
-    """Wide integer, so that a sum over any number of slots cannot overflow."""
-    return F.col(micros).cast("decimal(18,0)")
-
-
 def slot_cells(base: DataFrame) -> DataFrame:
-    """Sums per (business, provider, day, bucket, service) of a run."""
-    start, snapshot = F.col("slot_start_at"), F.col("effective_ts")
-    booked = F.col("booked_flag")
-    kept = F.col("booked_or_completed")
-
-    def count(condition: Column) -> Column:
-        return F.count_if(condition)
+    """Sums per (business, provider, day, bucket, service) of a run.
 
+    Durations are added as wide integers: no rounding, and no overflow over any number of slots.
+    """
     measures = [
-        F.count("*").alias("n_slots"),
-        F.sum(booked).alias("n_booked"),
-        F.sum("completed_flag").alias("n_completed"),
-        F.sum(_exact("lead_time_micros")).alias("lead_micros"),
-        F.sum(_exact("active_micros")).alias("active_micros"),
-        F.sum("observed_booking_pace_per_day").alias("pace_total"),
-        count(start >= snapshot).alias("n_future"),
-        F.max("feature_snapshot_version").alias("feature_snapshot_version"),
+        "count(*) AS n_slots",
+        "sum(booked_flag) AS n_booked",
+        "sum(completed_flag) AS n_completed",
+        "sum(CAST(lead_time_micros AS DECIMAL(18, 0))) AS lead_micros",
+        "sum(CAST(active_micros AS DECIMAL(18, 0))) AS active_micros",
+        "sum(observed_booking_pace_per_day) AS pace_total",
+        "count_if(slot_start_at >= effective_ts) AS n_future",
+        "max(feature_snapshot_version) AS feature_snapshot_version",
     ]
     for name, event_type in PATTERN_EVENTS.items():
-        measures.append(count(F.col("first_event_type") == event_type).alias(f"n_first_{name}"))
+        measures.append(f"count_if(first_event_type = '{event_type}') AS n_first_{name}")
     for days in TRAILING_DAYS:
-        started = calendar.in_trailing_days(start, snapshot, days)
-        fresh = calendar.in_trailing_days(F.col("first_booked_at"), snapshot, days)
+        inside = f"BETWEEN effective_ts - INTERVAL {days} DAYS AND effective_ts"
         measures += [
-            count(started).alias(f"n_started_{days}d"),
-            F.sum(F.when(started, kept).otherwise(0)).alias(f"n_kept_{days}d"),
-            count(fresh).alias(f"n_fresh_{days}d"),
+            f"count_if(slot_start_at {inside}) AS n_started_{days}d",
+            f"sum(IF(slot_start_at {inside}, booked_or_completed, 0)) AS n_kept_{days}d",
+            f"count_if(first_booked_at {inside}) AS n_fresh_{days}d",
         ]
-    return base.groupBy(*CELL_KEY).agg(*measures)
+    return base.groupBy(*CELL_KEY).agg(*[F.expr(m) for m in measures])
 
 
 def cohort_baselines(cells: DataFrame, settings: Settings) -> DataFrame:

@@ -28,49 +28,49 @@ def no_stage(df: DataFrame, label: str) -> DataFrame:
     return df
 
 
-def _rate(part: str) -> Column:
-    return F.sum(part) / F.sum("n_slots")
+def _rate(part: str, name: str) -> str:
+    return f"sum({part}) / sum(n_slots) AS {name}"
 
 
-def _group_statistics() -> dict[str, tuple[tuple[str, ...], list[Column]]]:
-    """Group keys and aggregates of the features that are means or counts over a group."""
-    provider = []
+def _provider_measures() -> list[str]:
+    measures = []
     for days in TRAILING_DAYS:
-        started, kept = F.sum(f"n_started_{days}d"), F.sum(f"n_kept_{days}d")
-        used = F.when(started > 0, kept / started).otherwise(F.lit(0.0))
-        provider.append(used.alias(f"provider_utilization_{days}d"))
-        provider.append(
-            F.sum(f"n_fresh_{days}d").cast("double").alias(f"booking_volume_{days}d")
-        )
-    pattern = [
-        _rate(f"n_first_{name}").alias(f"{name}_rate_pattern") for name in PATTERN_EVENTS
-    ]
-    return {
-        "similar": (COHORT_KEY, [_rate("n_booked").alias("hist_fill_rate_similar")]),
-        "provider_service": (
-            ("provider_id", "service_type"),
-            [_rate("n_booked").alias("fill_rate_provider_service")],
-        ),
-        "business_service": (
-            ("business_id", "service_type"),
-            [_rate("n_booked").alias("fill_rate_business_service")],
-        ),
-        "pattern": (
-            ("business_id", *COHORT_KEY),
-            [*pattern, F.sum("n_future").alias("remaining_service_slots_window")],
-        ),
-        "provider": (("provider_id",), provider),
-        "business": (
-            ("business_id",),
-            [
-                _rate("n_booked").alias("business_fill_trend"),
-                _rate("pace_total").alias("business_booking_trend"),
-            ],
-        ),
-    }
-
-
-GROUPS = ("similar", "provider_service", "business_service", "pattern", "provider", "business")
+        started, kept = f"sum(n_started_{days}d)", f"sum(n_kept_{days}d)"
+        measures += [
+            f"IF({started} > 0, {kept} / {started}, 0.0D) AS provider_utilization_{days}d",
+            f"CAST(sum(n_fresh_{days}d) AS DOUBLE) AS booking_volume_{days}d",
+        ]
+    return measures
+
+
+# Group keys and aggregates of the features that are means or counts over a group.
+GROUP_STATISTICS: dict[str, tuple[tuple[str, ...], list[str]]] = {
+    "similar": (COHORT_KEY, [_rate("n_booked", "hist_fill_rate_similar")]),
+    "provider_service": (
+        ("provider_id", "service_type"),
+        [_rate("n_booked", "fill_rate_provider_service")],
+    ),
+    "business_service": (
+        ("business_id", "service_type"),
+        [_rate("n_booked", "fill_rate_business_service")],
+    ),
+    "pattern": (
+        ("business_id", *COHORT_KEY),
+        [
+            *[_rate(f"n_first_{name}", f"{name}_rate_pattern") for name in PATTERN_EVENTS],
+            "sum(n_future) AS remaining_service_slots_window",
+        ],
+    ),
+    "provider": (("provider_id",), _provider_measures()),
+    "business": (
+        ("business_id",),
+        [
+            _rate("n_booked", "business_fill_trend"),
+            _rate("pace_total", "business_booking_trend"),
+        ],
+    ),
+}
+GROUPS = tuple(GROUP_STATISTICS)
 
 
 def cell_statistics(cells: DataFrame, groups: Sequence[str] = GROUPS) -> DataFrame:
@@ -79,25 +79,24 @@ def cell_statistics(cells: DataFrame, groups: Sequence[str] = GROUPS) -> DataFra
     The joins run between cells and ever coarser groups, so the slots themselves are
     joined only once, to the result. Groups over a null service stay null.
     """
-    statistics = _group_statistics()
     out = cells.select(*CELL_KEY)
     for name in groups:
-        keys, measures = statistics[name]
-        table = cells.groupBy(*RUN_KEY, *keys).agg(*measures)
+        keys, measures = GROUP_STATISTICS[name]
+        table = cells.groupBy(*RUN_KEY, *keys).agg(*[F.expr(m) for m in measures])
         out = attach(out, table, (*RUN_KEY, *keys), CELL_KEY)
     return out
 
 
 def add_cohorts(statistics: DataFrame, baselines: DataFrame) -> DataFrame:
     """Baseline columns beside the cells; here a null service matches its null cohort."""
-    known = baselines.select(
+    known = baselines.selectExpr(
         *RUN_KEY,
         *COHORT_KEY,
-        F.col("fill_rate").alias("_cohort_fill"),
-        F.col("expected_booking_pace_per_day").alias("_cohort_pace"),
-        F.col("avg_lead_time_hours").alias("_cohort_lead"),
-        F.col("completion_rate").alias("_cohort_completion"),
-        F.col("is_sparse").alias("_cohort_sparse"),
+        "fill_rate AS _cohort_fill",
+        "expected_booking_pace_per_day AS _cohort_pace",
+        "avg_lead_time_hours AS _cohort_lead",
+        "completion_rate AS _cohort_completion",
+        "is_sparse AS _cohort_sparse",
     )
     return attach(
         statistics, known, (*RUN_KEY, *COHORT_KEY), CELL_KEY, null_safe=("service_type",)

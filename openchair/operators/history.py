@@ -10,12 +10,10 @@ are read once more, for their slots only: two types at the same first or last ti
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from openchair.operators.joins import FANOUT
+from openchair.operators.joins import FANOUT, salt_copies, salt_of
 from openchair.params import SLOT_KEY
 from openchair.schemas import EVENT_TYPES
 
@@ -35,69 +33,70 @@ LAST_TIMES = tuple(_last(t) for t in EVENT_TYPES)
 def event_extremes(events: DataFrame) -> DataFrame:
     """First and last time of each event type per slot."""
 
-    def at(event_type: str) -> Column:
-        return F.when(F.col("event_type") == event_type, F.col("event_at"))
+    def of_type(function: str, event_type: str, name: str) -> str:
+        return f"{function}(event_at) FILTER (WHERE event_type = '{event_type}') AS {name}"
 
-    extremes = events.groupBy(*SLOT_KEY).agg(
-        *[F.min(at(t)).alias(_first(t)) for t in EVENT_TYPES],
-        *[F.max(at(t)).alias(_last(t)) for t in EVENT_TYPES],
+    # The key is required. Saying so keeps the plan of this aggregate equal in the branches
+    # that use it, so that its shuffle is computed once and reused.
+    keyed = events.where(" AND ".join(f"{c} IS NOT NULL" for c in SLOT_KEY))
+    extremes = keyed.groupBy(*SLOT_KEY).agg(
+        *[F.expr(of_type("min", t, _first(t))) for t in EVENT_TYPES],
+        *[F.expr(of_type("max", t, _last(t))) for t in EVENT_TYPES],
     )
-    return extremes.withColumns(
-        {
-            "first_event_at": F.least(*FIRST_TIMES),
-            "latest_event_at": F.greatest(*LAST_TIMES),
-        }
+    return extremes.selectExpr(
+        "*",
+        f"least({', '.join(FIRST_TIMES)}) AS first_event_at",
+        f"greatest({', '.join(LAST_TIMES)}) AS latest_event_at",
     )
 
 
-def _types_at(time: str, columns: tuple[str, ...]) -> Column:
+def _types_at(time: str, columns: tuple[str, ...]) -> str:
     """How many event types share the given extreme time."""
-    hits = [F.when(F.col(c) == F.col(time), 1).otherwise(0) for c in columns]
-    return reduce(lambda a, b: a + b, hits)
-
+    return " + ".join(f"IF({c} = {time}, 1, 0)" for c in columns)
 
-def _type_at(time: str, columns: tuple[str, ...]) -> Column:
-    options = [F.when(F.col(c) == F.col(time), F.lit(t)) for c, t in zip(columns, EVENT_TYPES)]
-    return F.coalesce(*options)
 
-
-def _booked_before_and_after_cancel() -> Column:
-    canceled = F.col("last_canceled_at")
-    return (F.col("first_booked_at") < canceled) & (F.col("last_booked_at") >= canceled)
+def _type_at(time: str, columns: tuple[str, ...]) -> str:
+    options = " ".join(f"WHEN {c} = {time} THEN '{t}'" for c, t in zip(columns, EVENT_TYPES))
+    return f"CASE {options} END"
 
 
 def _open_cases(extremes: DataFrame) -> DataFrame:
-    undecided = (
-        _booked_before_and_after_cancel()
-        | (_types_at("first_event_at", FIRST_TIMES) > 1)
-        | (_types_at("latest_event_at", LAST_TIMES) > 1)
+    booked_around_cancel = (
+        "first_booked_at < last_canceled_at AND last_booked_at >= last_canceled_at"
+    )
+    return extremes.where(
+        f"({booked_around_cancel})"
+        f" OR {_types_at('first_event_at', FIRST_TIMES)} > 1"
+        f" OR {_types_at('latest_event_at', LAST_TIMES)} > 1"
     )
-    return extremes.where(undecided)
 
 
 def _reread(events: DataFrame, undecided: DataFrame, fanout: int) -> DataFrame:
     """Look at the single events of the undecided slots, salted so that no slot is one task."""
-    limits = undecided.select(
+    limits = undecided.selectExpr(
         *SLOT_KEY,
         "last_canceled_at",
         "first_event_at",
         "latest_event_at",
-        F.explode(F.array(*[F.lit(i) for i in range(fanout)])).alias("_salt"),
+        f"{salt_copies(fanout)} AS _salt",
     )
-    salt = F.pmod(F.xxhash64("event_id"), F.lit(fanout)).cast("int")
-    found = events.select(*SLOT_KEY, "event_id", "event_type", "event_at", salt.alias("_salt"))
-    found = found.join(limits, [*SLOT_KEY, "_salt"])
-    stands = (F.col("event_type") == "booked") & (F.col("event_at") >= F.col("last_canceled_at"))
-    opens = F.col("event_at") == F.col("first_event_at")
-    closes = F.col("event_at") == F.col("latest_event_at")
-
-    def when(condition: Column, column: str) -> Column:
-        return F.when(condition, F.col(column))
-
+    found = events.selectExpr(
+        *SLOT_KEY,
+        "event_id",
+        "event_type",
+        "event_at",
+        f"{salt_of(['event_id'], fanout)} AS _salt",
+    ).join(limits, [*SLOT_KEY, "_salt"])
+    stands = "event_type = 'booked' AND event_at >= last_canceled_at"
     return found.groupBy(*SLOT_KEY).agg(
-        F.min(when(stands, "event_at")).alias("_rebooked_at"),
-        F.min_by(when(opens, "event_type"), when(opens, "event_id")).alias("_first_type"),
-        F.max_by(when(closes, "event_type"), when(closes, "event_id")).alias("_latest_type"),
+        F.expr(f"min(event_at) FILTER (WHERE {stands}) AS _rebooked_at"),
+        F.expr(
+            "min_by(event_type, event_id) FILTER (WHERE event_at = first_event_at) AS _first_type"
+        ),
+        F.expr(
+            "max_by(event_type, event_id) FILTER (WHERE event_at = latest_event_at)"
+            " AS _latest_type"
+        ),
     )
 
 
@@ -108,44 +107,28 @@ def event_history(events: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """
     extremes = event_extremes(events)
     reread = _reread(events, _open_cases(extremes), fanout)
-    canceled = F.col("last_canceled_at")
-    standing = F.when(
-        canceled.isNull() | (F.col("first_booked_at") >= canceled), F.col("first_booked_at")
-    ).otherwise(F.col("_rebooked_at"))
-    return (
-        extremes.join(reread, list(SLOT_KEY), "left")
-        .withColumns(
-            {
-                "first_event_type": F.coalesce(
-                    "_first_type", _type_at("first_event_at", FIRST_TIMES)
-                ),
-                "latest_event_type": F.coalesce(
-                    "_latest_type", _type_at("latest_event_at", LAST_TIMES)
-                ),
-                "effective_booking_at": standing,
-            }
-        )
-        .drop("_rebooked_at", "_first_type", "_latest_type")
+    never_undone = "last_canceled_at IS NULL OR first_booked_at >= last_canceled_at"
+    return extremes.join(reread, list(SLOT_KEY), "left").selectExpr(
+        *extremes.columns,
+        f"coalesce(_first_type, {_type_at('first_event_at', FIRST_TIMES)}) AS first_event_type",
+        f"coalesce(_latest_type, {_type_at('latest_event_at', LAST_TIMES)}) AS latest_event_type",
+        f"IF({never_undone}, first_booked_at, _rebooked_at) AS effective_booking_at",
     )
 
 
 def effective_bookings(events: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """The booked events that no later cancellation of their slot undid."""
     last_cancel = (
-        events.where(F.col("event_type") == "canceled")
+        events.where("event_type = 'canceled'")
         .groupBy(*SLOT_KEY)
         .agg(F.max("event_at").alias("last_canceled_at"))
-        .withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(fanout)])))
+        .selectExpr("*", f"{salt_copies(fanout)} AS _salt")
     )
-    booked = events.where(F.col("event_type") == "booked").select(
-        *SLOT_KEY,
-        "event_id",
-        "event_at",
-        F.pmod(F.xxhash64("event_id"), F.lit(fanout)).cast("int").alias("_salt"),
+    booked = events.where("event_type = 'booked'").selectExpr(
+        *SLOT_KEY, "event_id", "event_at", f"{salt_of(['event_id'], fanout)} AS _salt"
     )
-    undone = F.col("last_canceled_at") > F.col("event_at")
     return (
         booked.join(last_cancel, [*SLOT_KEY, "_salt"], "left")
-        .where(F.coalesce(~undone, F.lit(True)))
+        .where("last_canceled_at IS NULL OR last_canceled_at <= event_at")
         .select(*SLOT_KEY, "event_id", "event_at")
     )

@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 FANOUT = 8
 
 
+def salt_of(columns: Sequence[str], fanout: int) -> str:
+    """SQL: the share of a row, from columns that tell the rows of one key apart."""
+    return f"pmod(xxhash64({', '.join(columns)}), {fanout}L)"
+
+
+def salt_copies(fanout: int) -> str:
+    """SQL: one copy of the row per share."""
+    return f"explode(sequence(0L, {fanout - 1}L))"
+
+
 def attach(
     rows: DataFrame,
     groups: DataFrame,
@@ -29,15 +39,12 @@ def attach(
 
     ``null_safe`` keys match null with null; the other keys never match on null.
     """
-    spread = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread_on), F.lit(fanout)).cast("int"))
-    copies = F.explode(F.array(*[F.lit(i) for i in range(fanout)]))
-    copied = groups.withColumn("_salt", copies)
+    spread = rows.selectExpr("*", f"{salt_of(spread_on, fanout)} AS _salt")
+    copied = groups.selectExpr("*", f"{salt_copies(fanout)} AS _salt")
     if not null_safe:
         return spread.join(copied, [*keys, "_salt"], how).drop("_salt")
     matched = copied.withColumnsRenamed({c: f"_group_{c}" for c in (*keys, "_salt")})
-    condition = F.col("_salt") == F.col("_group__salt")
-    for key in keys:
-        ours, theirs = F.col(key), F.col(f"_group_{key}")
-        condition = condition & (ours.eqNullSafe(theirs) if key in null_safe else ours == theirs)
-    joined = spread.join(matched, condition, how)
+    equal = {key: "<=>" if key in null_safe else "=" for key in (*keys, "_salt")}
+    condition = " AND ".join(f"{key} {sign} _group_{key}" for key, sign in equal.items())
+    joined = spread.join(matched, F.expr(condition), how)
     return joined.drop("_salt", "_group__salt", *[f"_group_{key}" for key in keys])

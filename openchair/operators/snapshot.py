@@ -82,47 +82,41 @@ def add_event_flags(slots: DataFrame) -> DataFrame:
     """As-of flags from history columns.
 
     The first time of a type up to the snapshot is its overall first time when that is
-    not later than the snapshot, so later events never leak in.
+    not later than the snapshot, so later events never leak in. Intervals are not negative,
+    and an empty one counts as an hour.
     """
-    snapshot = F.col("effective_ts")
-
-    def by_snapshot(column: str):
-        return F.when(F.col(column) <= snapshot, F.col(column))
-
-    first_type = F.when(F.col("first_event_at") <= snapshot, F.col("first_event_type"))
-    known = slots.withColumns(
-        {
-            "first_event_type": first_type,
-            "first_booked_at": by_snapshot("first_booked_at"),
-            "first_completed_at": by_snapshot("first_completed_at"),
-        }
+    replaced = ("first_event_type", "first_booked_at", "first_completed_at")
+    known = slots.selectExpr(
+        *[c for c in slots.columns if c not in replaced],
+        "IF(first_event_at <= effective_ts, first_event_type, NULL) AS first_event_type",
+        "IF(first_booked_at <= effective_ts, first_booked_at, NULL) AS first_booked_at",
+        "IF(first_completed_at <= effective_ts, first_completed_at, NULL) AS first_completed_at",
     )
-    booked = F.col("first_booked_at").isNotNull()
-    completed = F.col("first_completed_at").isNotNull()
-    lead = calendar.micros_between(F.col("first_booked_at"), F.col("slot_start_at"))
-    end = F.least(F.coalesce("unavailable_at", "slot_start_at"), snapshot)
-    active = calendar.micros_between(F.col("visible_at"), end)
-    elapsed = calendar.micros_between(F.col("visible_at"), snapshot)
-
-    def floored(micros):
-        """Not negative, and an empty interval counts as one hour."""
-        return F.when(micros <= 0, F.lit(HOUR_MICROS).cast("bigint")).otherwise(micros)
-
-    return known.withColumns(
-        {
-            "booked_flag": booked.cast("int"),
-            "completed_flag": completed.cast("int"),
-            "booked_or_completed": (booked | completed).cast("int"),
-            "lead_time_micros": F.coalesce(lead, F.lit(0).cast("bigint")),
-            "active_micros": floored(active),
-            "elapsed_days": calendar.micros_to_hours(floored(elapsed)) / F.lit(24.0),
-        }
-    ).withColumns(
+    closed = "least(coalesce(unavailable_at, slot_start_at), effective_ts)"
+
+    def span(start: str, end: str) -> str:
+        return f"timestampdiff(MICROSECOND, {start}, {end})"
+
+    def floored(micros: str) -> str:
+        return f"IF({micros} <= 0, {HOUR_MICROS}L, {micros})"
+
+    measured = known.selectExpr(
+        "*",
+        "CAST(first_booked_at IS NOT NULL AS INT) AS booked_flag",
+        "CAST(first_completed_at IS NOT NULL AS INT) AS completed_flag",
+        "CAST(first_booked_at IS NOT NULL OR first_completed_at IS NOT NULL AS INT)"
+        " AS booked_or_completed",
+        f"coalesce({span('first_booked_at', 'slot_start_at')}, 0L) AS lead_time_micros",
+        f"{floored(span('visible_at', closed))} AS active_micros",
+        f"{floored(span('visible_at', 'effective_ts'))} AS elapsed_micros",
+    )
+    elapsed_days = calendar.micros_to_hours(F.col("elapsed_micros")) / F.lit(24.0)
+    return measured.withColumns(
         {
             "lead_time_hours": calendar.micros_to_hours(F.col("lead_time_micros")),
             "active_days": calendar.micros_to_hours(F.col("active_micros")) / F.lit(24.0),
             "observed_booking_pace_per_day": numbers.safe_rate(
-                F.col("booked_flag").cast("double"), F.col("elapsed_days")
+                F.col("booked_flag").cast("double"), elapsed_days
             ),
         }
     )

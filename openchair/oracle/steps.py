@@ -47,7 +47,7 @@ STEPS["booking_slots"] = """
 STEPS["typed_items"] = """
   SELECT s.scenario_id, s.run_id, s.effective_ts, s.slot_id, s.slot_start_at, s.o_custkey,
          concat_ws('_', 'evt', l_orderkey, l_linenumber, l_partkey, l_suppkey,
-                   round(l_extendedprice * 100)::BIGINT) AS event_id,
+                   floor(l_extendedprice * 100 + 0.5)::BIGINT) AS event_id,
          CASE WHEN l_suppkey % 20 = 0 THEN 'removed'
               WHEN l_linestatus = 'F' AND l_returnflag = 'A' THEN 'completed'
               WHEN l_returnflag = 'R' THEN 'canceled'

@@ -187,15 +187,15 @@ def align_schema(spark, sf_dir):
 
 
 def dq_duplicates(spark, sf_dir):
-    job = _job(spark, sf_dir, runs=BACKFILL)
+    job, decisions = _decided(spark, sf_dir, runs=BACKFILL)
     version = "feature_snapshot_version"
     checked = {
         "cohort_baselines": (job.baselines, (*RUN_KEY, version, "cohort_id")),
         "feature_snapshots": (job.features, (*SLOT_KEY, version)),
         "underbooking_outputs": (job.flagged, (*SLOT_KEY, version)),
         "business_calibrations": (job.calibrations, (*RUN_KEY, version, "business_id")),
-        "scoring_outputs": (job.scored, (*SLOT_KEY, version)),
-        "pricing_actions": (job.decisions, SLOT_KEY),
+        "scoring_outputs": (decisions, (*SLOT_KEY, version)),
+        "pricing_actions": (decisions, SLOT_KEY),
         "slots_over_all_runs": (job.slots, ("slot_id",)),
     }
     return quality.duplicate_rules(checked)
@@ -208,11 +208,9 @@ def dq_ranges(spark, sf_dir):
 
 
 def dq_readiness(spark, sf_dir):
-    job = _job(spark, sf_dir, runs=BACKFILL)
+    job, decisions = _decided(spark, sf_dir, runs=BACKFILL)
     slots = availability.availability(job.slots, job.events)
-    return quality.readiness(
-        slots, job.features, job.scored, job.calibrations, job.decisions
-    )
+    return quality.readiness(slots, job.features, decisions, job.calibrations, decisions)
 
 
 # Availability and snapshot --------------------------------------------------------------
@@ -460,18 +458,19 @@ def policy_checks(spark, sf_dir):
 
 
 def _decided(spark, sf_dir, **options) -> tuple[SnapshotJob, DataFrame]:
+    """The job and its decided rows as a table; these also hold every scored row."""
     job = _job(spark, sf_dir, **options)
     return job, staged(job.decisions, "decisions")
 
 
 def evaluation_metrics(spark, sf_dir):
     job, decisions = _decided(spark, sf_dir)
-    return _rounded(evaluation.evaluation(job.slots, job.flagged, job.scored, decisions))
+    return _rounded(evaluation.evaluation(job.slots, job.flagged, decisions, decisions))
 
 
 def backfill_evaluation(spark, sf_dir):
     job, decisions = _decided(spark, sf_dir, runs=BACKFILL)
-    return _rounded(evaluation.evaluation(job.slots, job.flagged, job.scored, decisions))
+    return _rounded(evaluation.evaluation(job.slots, job.flagged, decisions, decisions))
 
 
 def similar_slot_consistency(spark, sf_dir):
@@ -521,7 +520,7 @@ def latest_runs(spark, sf_dir):
 
 def run_summary(spark, sf_dir):
     job, decisions = _decided(spark, sf_dir, runs=BACKFILL)
-    return _rounded(evaluation.run_summary(job.slots, job.flagged, job.scored, decisions))
+    return _rounded(evaluation.run_summary(job.slots, job.flagged, decisions, decisions))
 
 
 QUERIES: dict[str, Query] = {

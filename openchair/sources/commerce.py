@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from openchair.functions.calendar import instant
@@ -41,56 +41,48 @@ def assign_runs(df: DataFrame, runs: Sequence[RunSpec]) -> DataFrame:
     )
 
 
-def _tagged(prefix: str, value: Column) -> Column:
-    return F.concat(F.lit(prefix), value.cast("string"))
-
-
 def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    hour = (9 + 2 * F.pmod("o_orderkey", F.lit(5))).cast("int")
-    return orders.withColumn(
-        "slot_start_at", F.col("o_orderdate") + F.make_dt_interval(hours=hour)
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+        "o_orderkey",
+        "o_custkey",
+        "o_totalprice",
+        "o_orderpriority",
+        "o_orderdate + make_dt_interval(0, CAST(9 + 2 * pmod(o_orderkey, 5) AS INT))"
+        " AS slot_start_at",
     )
 
 
-def _slot_columns() -> dict[str, Column]:
-    start = F.col("slot_start_at")
-    return {
-        "slot_id": _tagged("slot_", F.col("o_orderkey")),
-        "provider_id": _tagged("prov_", F.pmod("o_custkey", F.lit(PROVIDERS))),
-        "business_id": _tagged("biz_", F.pmod("o_custkey", F.lit(BUSINESSES))),
-        "service_id": _tagged("svc_", F.substring("o_orderpriority", 1, 1)),
-        "location_id": _tagged("loc_", F.pmod("o_custkey", F.lit(LOCATIONS))),
-        "slot_start_at": start,
-        "slot_end_at": start + F.expr("INTERVAL 60 MINUTES"),
-        "visible_at": start - F.expr("INTERVAL 90 DAYS"),
-    }
-
-
-def _event_columns() -> dict[str, Column]:
-    """Type and time of the event of a line item, and a key unique over line items."""
-    supplier, finished = F.col("l_suppkey"), F.col("l_linestatus") == "F"
-    event_type = (
-        F.when(F.pmod(supplier, F.lit(20)) == 0, "removed")
-        .when(finished & (F.col("l_returnflag") == "A"), "completed")
-        .when(F.col("l_returnflag") == "R", "canceled")
-        .when(finished & (F.pmod(supplier, F.lit(2)) == 1), "no_show")
-        .when(finished, "rescheduled")
-        .otherwise("booked")
-    )
-    before = (1 + F.pmod("l_partkey", F.lit(LEAD_HOURS))).cast("int")
-    after = F.col("slot_start_at") + F.expr("INTERVAL 1 HOUR")
-    ahead = F.col("slot_start_at") - F.make_dt_interval(hours=before)
-    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    key = F.concat_ws(
-        "_", F.lit("evt"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", cents
-    )
-    return {
-        "event_id": key,
-        "slot_id": _tagged("slot_", F.col("l_orderkey")),
-        "event_type": event_type,
-        "event_at": F.when(event_type.isin("completed", "no_show"), after).otherwise(ahead),
-    }
+SLOT_EXPRESSIONS = {
+    "slot_id": "concat('slot_', o_orderkey)",
+    "provider_id": f"concat('prov_', pmod(o_custkey, {PROVIDERS}))",
+    "business_id": f"concat('biz_', pmod(o_custkey, {BUSINESSES}))",
+    "service_id": "concat('svc_', substring(o_orderpriority, 1, 1))",
+    "location_id": f"concat('loc_', pmod(o_custkey, {LOCATIONS}))",
+    "slot_start_at": "slot_start_at",
+    "slot_end_at": "slot_start_at + INTERVAL 60 MINUTES",
+    "visible_at": "slot_start_at - INTERVAL 90 DAYS",
+}
+
+# Type and time of the event of a line item, and a key unique over line items.
+_EVENT_TYPE = """CASE WHEN pmod(l_suppkey, 20) = 0 THEN 'removed'
+    WHEN l_linestatus = 'F' AND l_returnflag = 'A' THEN 'completed'
+    WHEN l_returnflag = 'R' THEN 'canceled'
+    WHEN l_linestatus = 'F' AND pmod(l_suppkey, 2) = 1 THEN 'no_show'
+    WHEN l_linestatus = 'F' THEN 'rescheduled'
+    ELSE 'booked' END"""
+EVENT_EXPRESSIONS = {
+    "event_id": "concat_ws('_', 'evt', l_orderkey, l_linenumber, l_partkey, l_suppkey,"
+    " floor(l_extendedprice * 100 + 0.5D))",
+    "slot_id": "concat('slot_', l_orderkey)",
+    "event_type": _EVENT_TYPE,
+    "event_at": f"""IF({_EVENT_TYPE} IN ('completed', 'no_show'),
+      slot_start_at + INTERVAL 1 HOUR,
+      slot_start_at - make_dt_interval(0, CAST(1 + pmod(l_partkey, {LEAD_HOURS}) AS INT)))""",
+}
+
+
+def _named(expressions: dict[str, str], prefix: str = "") -> list[str]:
+    return [f"{expression} AS {prefix}{name}" for name, expression in expressions.items()]
 
 
 def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,65 +100,63 @@ def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def slots(spark: SparkSession, sf_dir: str, runs: Sequence[RunSpec]) -> DataFrame:
-    rows = _orders(spark, sf_dir).select(
-        *[c.alias(n) for n, c in _slot_columns().items()],
-        F.col("o_totalprice").alias("standard_price"),
-        F.lit(60).alias("slot_duration_minutes"),
+    rows = _orders(spark, sf_dir).selectExpr(
+        *_named(SLOT_EXPRESSIONS),
+        "o_totalprice AS standard_price",
+        "60 AS slot_duration_minutes",
     )
     return assign_runs(rows, runs)
 
 
 def events(spark: SparkSession, sf_dir: str, runs: Sequence[RunSpec]) -> DataFrame:
-    rows = _line_items(spark, sf_dir).select(
-        *[c.alias(n) for n, c in _event_columns().items()]
-    )
-    return assign_runs(rows, runs)
+    return assign_runs(_line_items(spark, sf_dir).selectExpr(*_named(EVENT_EXPRESSIONS)), runs)
 
 
 def raw_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots as a source system would send them: own ids, times as text."""
-    columns = _slot_columns()
-    ids = {f"source_{n}": columns[n] for n in columns if n.endswith("_id")}
-    times = {n: columns[n].cast("string") for n in ("slot_start_at", "slot_end_at", "visible_at")}
-    times["created_at"] = columns["visible_at"].cast("string")
-    return _orders(spark, sf_dir).select(*[c.alias(n) for n, c in {**ids, **times}.items()])
+    ids = {n: e for n, e in SLOT_EXPRESSIONS.items() if n.endswith("_id")}
+    times = {
+        n: f"CAST({SLOT_EXPRESSIONS[n]} AS STRING)"
+        for n in ("slot_start_at", "slot_end_at", "visible_at")
+    }
+    times["created_at"] = times["visible_at"]
+    return _orders(spark, sf_dir).selectExpr(*_named(ids, "source_"), *_named(times))
 
 
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as sent: a removal has no customer."""
-    columns = _event_columns()
-    customer = F.when(columns["event_type"] != "removed", _tagged("cust_", F.col("o_custkey")))
-    return _line_items(spark, sf_dir).select(
-        columns["event_id"].alias("source_event_id"),
-        columns["slot_id"].alias("source_slot_id"),
-        customer.alias("source_customer_id"),
-        columns["event_type"].alias("event_type"),
-        columns["event_at"].cast("string").alias("event_at"),
+    return _line_items(spark, sf_dir).selectExpr(
+        f"{EVENT_EXPRESSIONS['event_id']} AS source_event_id",
+        f"{EVENT_EXPRESSIONS['slot_id']} AS source_slot_id",
+        f"IF({_EVENT_TYPE} <> 'removed', concat('cust_', o_custkey), NULL) AS source_customer_id",
+        f"{_EVENT_TYPE} AS event_type",
+        f"CAST({EVENT_EXPRESSIONS['event_at']} AS STRING) AS event_at",
     )
 
 
 def raw_dimensions(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Businesses, providers, services, locations and customers behind the orders."""
-    customer = spark.read.parquet(f"{sf_dir}/customer.parquet")
-    keyed = customer.select(
-        _tagged("biz_", F.pmod("c_custkey", F.lit(BUSINESSES))).alias("source_business_id"),
-        _tagged("prov_", F.pmod("c_custkey", F.lit(PROVIDERS))).alias("source_provider_id"),
-        _tagged("loc_", F.pmod("c_custkey", F.lit(LOCATIONS))).alias("source_location_id"),
-        _tagged("cust_", F.col("c_custkey")).alias("source_customer_id"),
-        F.col("c_mktsegment").alias("first_name"),
-        F.col("c_name").alias("last_name"),
+    keyed = spark.read.parquet(f"{sf_dir}/customer.parquet").selectExpr(
+        f"concat('biz_', pmod(c_custkey, {BUSINESSES})) AS source_business_id",
+        f"concat('prov_', pmod(c_custkey, {PROVIDERS})) AS source_provider_id",
+        f"concat('loc_', pmod(c_custkey, {LOCATIONS})) AS source_location_id",
+        "concat('cust_', c_custkey) AS source_customer_id",
+        "c_mktsegment AS first_name",
+        "c_name AS last_name",
     )
 
     def named(df: DataFrame, source: str) -> DataFrame:
         return df.withColumn("name", F.concat(F.lit("Name of "), F.col(source)))
 
-    priority = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
-        F.substring("o_orderpriority", 1, 1).alias("digit")
-    )
-    services = priority.distinct().select(
-        _tagged("svc_", F.col("digit")).alias("source_service_id"),
-        _tagged("biz_", F.col("digit")).alias("source_business_id"),
-        F.lit(60).alias("duration_minutes"),
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    services = (
+        orders.selectExpr("substring(o_orderpriority, 1, 1) AS digit")
+        .distinct()
+        .selectExpr(
+            "concat('svc_', digit) AS source_service_id",
+            "concat('biz_', digit) AS source_business_id",
+            "60 AS duration_minutes",
+        )
     )
     providers = keyed.select(
         "source_provider_id", "source_business_id", "source_location_id"
