@@ -60,15 +60,12 @@ def _type_at(time: str, columns: tuple[str, ...]) -> str:
     return f"CASE {options} END"
 
 
-def _open_cases(extremes: DataFrame) -> DataFrame:
-    booked_around_cancel = (
-        "first_booked_at < last_canceled_at AND last_booked_at >= last_canceled_at"
-    )
-    return extremes.where(
-        f"({booked_around_cancel})"
-        f" OR {_types_at('first_event_at', FIRST_TIMES)} > 1"
-        f" OR {_types_at('latest_event_at', LAST_TIMES)} > 1"
-    )
+# Slots whose extremes leave something open.
+UNDECIDED = (
+    "(first_booked_at < last_canceled_at AND last_booked_at >= last_canceled_at)"
+    f" OR {_types_at('first_event_at', FIRST_TIMES)} > 1"
+    f" OR {_types_at('latest_event_at', LAST_TIMES)} > 1"
+)
 
 
 def _reread(events: DataFrame, undecided: DataFrame, fanout: int) -> DataFrame:
@@ -103,15 +100,19 @@ def _reread(events: DataFrame, undecided: DataFrame, fanout: int) -> DataFrame:
 def event_history(events: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """Event extremes plus first and latest type and the earliest booking still standing.
 
-    A booking stands when no cancellation of the slot is strictly later.
+    A booking stands when no cancellation of the slot is strictly later. Testing for the
+    undecided slots again after the join makes both branches need the same extremes, so
+    that the plan computes them once, whichever result columns a caller keeps.
     """
     extremes = event_extremes(events)
-    reread = _reread(events, _open_cases(extremes), fanout)
+    reread = _reread(events, extremes.where(UNDECIDED), fanout)
     never_undone = "last_canceled_at IS NULL OR first_booked_at >= last_canceled_at"
     return extremes.join(reread, list(SLOT_KEY), "left").selectExpr(
         *extremes.columns,
-        f"coalesce(_first_type, {_type_at('first_event_at', FIRST_TIMES)}) AS first_event_type",
-        f"coalesce(_latest_type, {_type_at('latest_event_at', LAST_TIMES)}) AS latest_event_type",
+        f"IF({UNDECIDED}, _first_type, {_type_at('first_event_at', FIRST_TIMES)})"
+        " AS first_event_type",
+        f"IF({UNDECIDED}, _latest_type, {_type_at('latest_event_at', LAST_TIMES)})"
+        " AS latest_event_type",
         f"IF({never_undone}, first_booked_at, _rebooked_at) AS effective_booking_at",
     )
 

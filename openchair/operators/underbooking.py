@@ -7,6 +7,7 @@ from openchair.functions.numbers import at_least, at_most, clamp, one_if_zero
 from openchair.params import Settings
 from openchair.schemas import UNDERBOOKING_COLUMNS
 
+# Hours over which urgency rises and the weights of the projected fill.
 HORIZON_HOURS = 168.0
 PACE_SHARE, HISTORY_SHARE = 0.7, 0.3
 

@@ -92,7 +92,7 @@ class SnapshotJob:
             self.training, self.training_summary, self.runs, self.settings
         )
         if models:
-            rows = scoring.with_model_probability(rows, models, self.runs)
+            rows = scoring.with_model_probability(rows, models)
         return scoring.add_scores(rows, self.calibrations)
 
     @cached_property

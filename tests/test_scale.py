@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
+import io
 import random
-from contextlib import contextmanager
+from contextlib import contextmanager, redirect_stdout
 from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
-from cases import EVENT_SCHEMA, by_slot, job_of, run_at
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
+from cases import EVENT_SCHEMA, by_slot, job_of, run_at
 from openchair.functions.ids import stable_id
 from openchair.operators import features, history
 from openchair.operators.joins import attach
 from openchair.params import RunSpec, Settings
 from openchair.plans import catalog
 from openchair.plans.snapshot_job import SnapshotJob
-from openchair.schemas import EVENT_TYPES
-from pyspark.sql import functions as F
+from openchair.schemas import EVENT_TYPES, MODEL_FEATURES
 
 SNAPSHOT = run_at("2026-01-10 00:00:00")
 EPOCH = datetime(2026, 1, 1)
@@ -114,6 +117,46 @@ def test_attach_spreads_one_key_over_many_partitions(spark):
     assert used >= 4
 
 
+def executed_plan(df) -> str:
+    df.collect()
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain()
+    return out.getvalue()
+
+
+SMALL_SKEW = NO_BROADCAST | {
+    "spark__sql__shuffle__partitions": "40",
+    "spark__sql__adaptive__coalescePartitions__enabled": "false",
+    "spark__sql__adaptive__advisoryPartitionSizeInBytes": "100KB",
+    "spark__sql__adaptive__skewJoin__skewedPartitionThresholdInBytes": "100KB",
+    "spark__sql__adaptive__skewJoin__skewedPartitionFactor": "1.5",
+}
+
+
+def test_attach_lets_the_engine_split_a_hot_key(spark):
+    """Joined plainly to its own group table, the hot key would stay in one task."""
+    rows = spark.range(600_000).selectExpr(
+        "IF(id % 3 = 0, 'hot', concat('k', id % 5000)) AS k", "id AS slot_id", "uuid() AS payload"
+    )
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"))
+    with conf(spark, **SMALL_SKEW):
+        joined = attach(rows, groups, ("k",), ("slot_id",)).selectExpr("sum(n)", "max(payload)")
+        assert "skew=true" in executed_plan(joined)
+        plain = rows.join(groups, "k", "left").selectExpr("sum(n)", "max(payload)")
+        assert "skew=true" not in executed_plan(plain)
+
+
+def test_extremes_are_shuffled_once(spark, sf_dir):
+    """One hash aggregate feeds both branches, whatever columns the caller keeps."""
+    events = catalog._events(spark, sf_dir)
+    for kept in ("latest_event_type", "first_event_type"):
+        found = history.event_history(events).selectExpr("count(*)", f"max({kept})")
+        assert "ReusedExchange [scenario_id" in executed_plan(found)
+    known = catalog.slot_availability(spark, sf_dir)
+    assert "ReusedExchange [scenario_id" in executed_plan(known)
+
+
 def test_attach_null_keys(spark):
     rows = spark.createDataFrame([(1, None), (2, "a")], "slot_id int, k string")
     groups = spark.createDataFrame([(None, 10), ("a", 20)], "k string, v int")
@@ -195,12 +238,18 @@ def test_model_learns_from_its_features(spark, sf_dir):
 
     job = catalog._job(spark, sf_dir, Settings())
     models = scoring.fit_models(job.training, job.training_summary, job.runs, job.settings)
-    rated = scoring.with_model_probability(job.training, models, job.runs)
+    rated = scoring.with_model_probability(job.training, models)
     means = dict(
         (r["label"], r["p"])
         for r in rated.groupBy("label").agg(F.avg("model_probability").alias("p")).collect()
     )
     assert means[1] > means[0]
+    (model,) = models.values()
+    assembler = VectorAssembler(inputCols=list(MODEL_FEATURES), outputCol="inputs")
+    direct = model.transform(assembler.transform(rated)).select(
+        "model_probability", vector_to_array("probability")[1].alias("p")
+    )
+    assert all(abs(r["model_probability"] - r["p"]) < 1e-12 for r in direct.collect())
 
 
 def test_a_run_without_rows_changes_nothing(spark, sf_dir):
