@@ -17,6 +17,10 @@ from openchair.params import RunSpec, Settings
 from openchair.plans.staging import staged
 
 
+# Time differences are taken in the session zone; another one would skip or repeat hours.
+UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
+
 class SnapshotJob:
     def __init__(
         self,
@@ -27,6 +31,9 @@ class SnapshotJob:
         derive_availability: bool = True,
         scarcity: bool = False,
     ) -> None:
+        zone = slots.sparkSession.conf.get("spark.sql.session.timeZone")
+        if zone not in UTC_NAMES:
+            raise ValueError(f"set spark.sql.session.timeZone to UTC, it is {zone}")
         self.slots = slots
         self.events = events
         self.runs = list(runs)

@@ -8,6 +8,7 @@ from contextlib import contextmanager, redirect_stdout
 from dataclasses import replace
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -245,6 +246,7 @@ def test_model_learns_from_its_features(spark, sf_dir):
     )
     assert means[1] > means[0]
     (model,) = models.values()
+    assert_optimal(model, job.training, job.settings.l2_c)
     assembler = VectorAssembler(inputCols=list(MODEL_FEATURES), outputCol="inputs")
     direct = model.transform(assembler.transform(rated)).select(
         "model_probability", vector_to_array("probability")[1].alias("p")
@@ -252,6 +254,18 @@ def test_model_learns_from_its_features(spark, sf_dir):
     assert all(abs(r["model_probability"] - r["p"]) < 1e-12 for r in direct.collect())
 
 
+def assert_optimal(model, training, l2_c):
+    """The slope of the penalized loss must vanish at the fitted weights."""
+    rows = np.array(training.select(*MODEL_FEATURES, "label").collect(), dtype=float)
+    x, y = rows[:, :-1], rows[:, -1]
+    weights = model.coefficients.toArray()
+    error = 1.0 / (1.0 + np.exp(-(x @ weights + model.intercept))) - y
+    slope = x.T @ error / len(y) + weights / (l2_c * len(y))
+    scale = np.maximum(np.abs(x).mean(axis=0), 1e-3)
+    assert np.all(np.abs(slope) / scale < 1e-2)
+    assert abs(error.mean()) < 1e-3
+
+
 def test_a_run_without_rows_changes_nothing(spark, sf_dir):
     early = RunSpec("scn_main", "run_before", datetime(1990, 1, 1))
     with_empty = catalog._job(spark, sf_dir, runs=(catalog.RUN, early))
@@ -269,6 +283,13 @@ def test_severity_grows_with_both_gaps(spark, sf_dir):
     assert all(0.0 <= s <= 1.0 for s in severities)
 
 
+def test_the_job_wants_utc(spark, sf_dir):
+    slots, events = catalog._slots(spark, sf_dir), catalog._events(spark, sf_dir)
+    with conf(spark, spark__sql__session__timeZone="America/New_York"):
+        with pytest.raises(ValueError, match="timeZone"):
+            SnapshotJob(slots, events, (catalog.RUN,))
+
+
 def test_stable_id_keeps_null(spark):
     df = spark.createDataFrame([("a",), (None,)], "x string")
     ids = [r["i"] for r in df.select(stable_id("slot", F.lit("scn"), F.col("x")).alias("i")).collect()]

@@ -14,6 +14,7 @@ from openchair.operators.evaluation import evaluation, metrics_of_run
 from openchair.operators.features import feature_snapshots
 from openchair.params import RunSpec, Settings
 from openchair.plans import catalog, staging
+from openchair.plans.loading import load_batch
 from openchair.schemas import SLOTS
 from openchair.sources import commerce, tables
 
@@ -87,6 +88,49 @@ def test_rejected_batch_writes_nothing(spark, tmp_path):
     assert stored(spark, path) == {("run_a", 1)}
 
 
+def batch(spark, sf_dir, run):
+    raw = commerce.raw_dimensions(spark, sf_dir)
+    slots = normalize.normalize_slots(commerce.raw_slots(spark, sf_dir), run, "feed", "feed_1")
+    events = normalize.normalize_events(
+        commerce.raw_events(spark, sf_dir), slots, run, "feed", "feed_1"
+    )
+    return normalize.normalize_dimensions(raw, run.scenario_id), slots, events
+
+
+def table_sizes(spark, root):
+    names = ("businesses", "providers", "services", "locations", "customers")
+    names += ("slots", "booking_events")
+    return {n: spark.read.parquet(f"{root}/{n}").count() for n in names}
+
+
+def test_loading_again_changes_nothing_and_runs_live_side_by_side(spark, sf_dir, tmp_path):
+    root = str(tmp_path / "warehouse")
+    load_batch(*batch(spark, sf_dir, RUN_A), RUN_A, "cfg", root)
+    first = table_sizes(spark, root)
+    load_batch(*batch(spark, sf_dir, RUN_A), RUN_A, "cfg", root)
+    assert table_sizes(spark, root) == first
+    load_batch(*batch(spark, sf_dir, RUN_B), RUN_B, "cfg", root)
+    both = table_sizes(spark, root)
+    assert both["slots"] == 2 * first["slots"]
+    assert both["booking_events"] == 2 * first["booking_events"]
+    assert both["customers"] == first["customers"]
+    stored_slots = tables.read_scoped(spark, f"{root}/slots", [RUN_B])
+    assert stored_slots.select("effective_ts").distinct().first()[0] == RUN_B.effective_ts
+
+
+def test_bad_batches_leave_no_table(spark, sf_dir, tmp_path):
+    root = tmp_path / "warehouse"
+    dims, slots, events = batch(spark, sf_dir, RUN_A)
+    with pytest.raises(ValueError, match="missing required columns"):
+        load_batch(dims, slots.drop("slot_id"), events, RUN_A, "cfg", str(root))
+    with pytest.raises(ValueError, match="no slots"):
+        load_batch(dims, slots.limit(0), events, RUN_A, "cfg", str(root))
+    unknown = events.withColumn("event_type", F.lit("teleported"))
+    with pytest.raises(ValueError, match="event_type is unknown"):
+        load_batch(dims, slots, unknown, RUN_A, "cfg", str(root))
+    assert not root.exists()
+
+
 def rules_of(df):
     return {r["rule"]: r["bad_rows"] for r in df.collect()}
 
