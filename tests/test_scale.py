@@ -209,6 +209,23 @@ def test_decisions_survive_shuffled_joins(spark, sf_dir):
         assert sorted(map(tuple, catalog.pricing_actions(spark, sf_dir).collect())) == expected
 
 
+def test_plans_have_no_cross_join_and_no_python(spark, sf_dir):
+    with conf(spark, **NO_BROADCAST):
+        for name in ("recommendations", "feature_snapshots", "evaluation", "dq_integrity"):
+            out = io.StringIO()
+            with redirect_stdout(out):
+                catalog.QUERIES[name](spark, sf_dir).explain()
+            for node in ("CartesianProduct", "NestedLoopJoin", "Python", "Pandas"):
+                assert node not in out.getvalue(), (name, node)
+
+
+def test_open_slots_are_filtered_in_the_scan(spark, sf_dir):
+    out = io.StringIO()
+    with redirect_stdout(out):
+        catalog.recommendations(spark, sf_dir).explain("formatted")
+    assert "EqualTo(current_status,open)" in out.getvalue()
+
+
 def test_many_snapshots_at_once_equal_single_jobs(spark, sf_dir):
     together = catalog._job(spark, sf_dir, runs=catalog.BACKFILL).decisions
     together = by_run(together.select("run_id", "slot_id", "action_value", "rationale_codes"))
