@@ -6,8 +6,8 @@ shifted by k around the circle. Four coordinates form a band; sets of one band b
 
 No pair within a group is listed. Equal sets are one class with one representative. Then each bucket's members are compared
 with the bucket's leader only, verified on full sets, and joined into components; a few rounds use other leaders. Buckets
-that still hold several components are compared across components in blocks by their signatures, and every pair whose
-estimate is not far below the threshold is verified, too. So work on a group of copies is linear, and no link is left out
+that still hold several components are compared across components in blocks: by their signatures, then, unless the estimate
+is far below the threshold, on full sets. A task returns only links that join something new. So work on a group of copies is linear, and no link is left out
 because a bucket is large.
 
 Defined cases: null, empty or blank texts have an empty set and link with nothing, not even each other; a document id that
@@ -35,7 +35,7 @@ COORDINATES = BANDS * ROWS
 LEADER_ROUNDS = 3
 #: A pair at the threshold estimates lower with a chance below 1 in 10 million.
 LEAST_EQUAL = int(COORDINATES * (PERCENT / 100 - 0.2))
-BLOCK = 1024
+BLOCK = 512
 
 _SEED = np.random.default_rng(20240229)
 _BYTE = _SEED.integers(0, 2**64, 256, dtype=np.uint64)
@@ -208,26 +208,36 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.select("a", "b", "t_a", "t_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _across_blocks(rows: DataFrame, n_blocks: DataFrame) -> DataFrame:
-    """Pairs of different components within a bucket. rows: key, doc_id, component, n_shingles, signature.
+def _links_across(rows: pd.DataFrame) -> pd.DataFrame:
+    """Verified links between different components in two blocks of one bucket; only links that join something new.
 
-    A bucket of many blocks meets block by block, each pair of blocks in a task of its own.
+    A pair that shares several bands is met in the first of them alone.
     """
+    band = int(rows["band"].iloc[0])
+    n, component, ids = (rows[name].to_numpy() for name in ("n_shingles", "component", "doc_id"))
+    bits = np.frombuffer(b"".join(rows["signature"]), "<u2").reshape(-1, COORDINATES)
+    before = np.stack(rows["bands"].to_list())[:, :band]
+    sets = shingle_sets(rows["text"].to_list())
+    one, other = np.flatnonzero(rows["one"].to_numpy()), np.flatnonzero(rows["other"].to_numpy())
+    found = []
+    for i in one.tolist():
+        near = other[component[other] != component[i]]
+        near = near[100 * np.minimum(n[near], n[i]) >= PERCENT * np.maximum(n[near], n[i])]
+        near = near[(bits[near] == bits[i]).sum(axis=1) >= LEAST_EQUAL]
+        near = near[~(before[near] == before[i]).any(axis=1)]
+        for j in near.tolist():
+            if component[i] != component[j] and similar(sets[i], sets[j]):
+                found.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                component[component == component[j]] = component[i]
+    return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        n, component, ids = (rows[name].to_numpy() for name in ("n_shingles", "component", "doc_id"))
-        bits = np.frombuffer(b"".join(rows["signature"]), "<u2").reshape(-1, COORDINATES)
-        one, other = np.flatnonzero(rows["one"].to_numpy()), np.flatnonzero(rows["other"].to_numpy())
-        found: list[np.ndarray] = []
-        for i in one.tolist():
-            near = other[(component[other] != component[i]) & (ids[other] != ids[i])]
-            near = near[100 * np.minimum(n[near], n[i]) >= PERCENT * np.maximum(n[near], n[i])]
-            near = near[(bits[near] == bits[i]).sum(axis=1) >= LEAST_EQUAL]
-            if len(near):
-                found.append(np.stack([np.full(len(near), ids[i]), ids[near]], axis=1))
-        pairs = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), dtype=np.int64)
-        return pd.DataFrame(np.unique(pairs, axis=0), columns=["a", "b"])
+def _across_blocks(rows: DataFrame, n_blocks: DataFrame) -> DataFrame:
+    """Links between different components within a bucket.
 
+    rows: key, band, doc_id, component, n_shingles, signature, bands, text. A bucket of many blocks meets block by block,
+    each pair of blocks in a task of its own.
+    """
     placed = rows.join(n_blocks, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")))
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks").cast("int") - 1),
@@ -237,16 +247,12 @@ def _across_blocks(rows: DataFrame, n_blocks: DataFrame) -> DataFrame:
         ),
     )
     dealt = placed.withColumn("meet", F.explode(meets)).select(
-        "key",
-        "doc_id",
-        "component",
-        "n_shingles",
-        "signature",
+        *rows.columns,
         "meet",
         (F.col("block") == F.col("meet.i")).alias("one"),
         (F.col("block") == F.col("meet.j")).alias("other"),
     )
-    return dealt.groupBy("key", "meet").applyInPandas(compare, "a bigint, b bigint").distinct()
+    return dealt.groupBy("key", "meet").applyInPandas(_links_across, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, stage: Stage, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -272,7 +278,7 @@ def near_duplicates(docs: DataFrame, stage: Stage, id_col: str = "doc_id", text_
         .select("doc_id", "text_key", "n_shingles", "signature", "bands")
     )
     reps = stage.write(keys)
-    rows = reps.select("doc_id", F.explode("bands").alias("key"))
+    rows = reps.select("doc_id", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     buckets = stage.write(rows.join(shared, "key"))
     texts = named.withColumn("text_key", F.xxhash64("text"))
@@ -282,28 +288,34 @@ def near_duplicates(docs: DataFrame, stage: Stage, id_col: str = "doc_id", text_
     for turn in range(LEADER_ROUNDS + 1):
         placed = buckets.withColumn("component", F.col("doc_id"))
         if component is not None:
-            placed = (
-                buckets.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-                .select("doc_id", "key", F.coalesce("component", "doc_id").alias("component"))
+            placed = buckets.join(component.withColumnRenamed("id", "doc_id"), "doc_id", "left").select(
+                "doc_id", "band", "key", F.coalesce("component", "doc_id").alias("component")
             )
             mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"))
             placed = stage.write(placed.join(mixed.where("x != y").select("key"), "key"))
-            buckets = placed.select("doc_id", "key")
+            buckets = placed.select("doc_id", "band", "key")
             if placed.isEmpty():
                 break
-        if turn < LEADER_ROUNDS:
-            first = F.struct((F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("h"), "doc_id", "component")
-            leader = placed.groupBy("key").agg(F.min(first).alias("l"))
-            star = (
-                placed.join(leader.select("key", "l.doc_id", "l.component").toDF("key", "b", "c"), "key")
-                .where("component != c")
-                .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
-                .distinct()
-            )
-            near = _estimated(star, reps)
-        else:
+        if turn == LEADER_ROUNDS:
             wide = placed.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-            near = _across_blocks(placed.join(reps.select("doc_id", "n_shingles", "signature"), "doc_id"), wide)
+            wanted = reps.join(placed.select("doc_id").distinct(), "doc_id", "left_semi")
+            own = texts.join(wanted.select("doc_id", "text_key"), ["doc_id", "text_key"], "left_semi")
+            described = wanted.drop("text_key").join(own.dropDuplicates(["doc_id"]).select("doc_id", "text"), "doc_id")
+            new = stage.write(_across_blocks(placed.join(described, "doc_id"), wide))
+            links = links.unionAll(new)
+            component = stage.write(connected_components(links, stage))
+            break
+        first = F.struct(
+            (F.xxhash64("doc_id", F.lit(turn)) if turn else F.col("doc_id")).alias("h"), "doc_id", "component"
+        )
+        leader = placed.groupBy("key").agg(F.min(first).alias("l"))
+        star = (
+            placed.join(leader.select("key", "l.doc_id", "l.component").toDF("key", "b", "c"), "key")
+            .where("component != c")
+            .select(F.least("doc_id", "b").alias("a"), F.greatest("doc_id", "b").alias("b"))
+            .distinct()
+        )
+        near = _estimated(star, reps)
         near = stage.write(near)
         ends = near.select(F.col("a").alias("doc_id")).unionAll(near.select(F.col("b").alias("doc_id"))).distinct()
         wanted = reps.select("doc_id", "text_key").join(ends, "doc_id", "left_semi")
