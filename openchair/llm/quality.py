@@ -161,9 +161,9 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
     columns = docs.columns
     plain = docs.toDF(*(f"_c{i}" for i in range(len(columns))))
     judged = with_metrics(plain, f"_c{columns.index(text_col)}")
-    # The row number keeps the filter above the projections, so that each metric is computed once.
+    # A filter on a row number stays above the projections, so that each metric is computed once.
     marked = judged.select(*plain.columns, verdict(rules).alias("_kept"), F.monotonically_increasing_id().alias("_row"))
-    judged = marked.where("_kept")
+    judged = marked.where("_kept AND _row >= 0")
     return judged.select(*plain.columns).toDF(*columns)
 
 
