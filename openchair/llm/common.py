@@ -74,7 +74,7 @@ class Stage:
                 path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def blocks(batches: Iterable, most_rows: int = 512, most_chars: int = 4_000_000, text: int = 1) -> Iterator[tuple]:
+def blocks(batches: Iterable, most_rows: int = 512, most_chars: int = 2_000_000, text: int = 1) -> Iterator[tuple]:
     """(slice of a batch, its texts) of bounded size; nulls as empty texts."""
     for batch in batches:
         texts = ["" if value is None else value for value in batch.column(text).to_pylist()]

@@ -33,6 +33,7 @@ ETA = 8.0  # how fast a price falls with coverage
 PATTERNS_PER_ROUND = 192
 MOST_ROUNDS = 400
 BUCKET_ROWS = 50_000
+CACHED = 200_000  # entries of a worker cache generation
 
 Config = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
@@ -182,9 +183,9 @@ class Tokenizer:
         self.whole = tokenizers.Tokenizer.from_file(path)
         self.special = [token.content for token in self.whole.get_added_tokens_decoder().values()]
         self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.tokens = WorkerCache(self._tokens)
+        self.tokens = WorkerCache(self._tokens, CACHED)
         self.first = WorkerCache(self._parts, 50_000)
-        self.later = WorkerCache(lambda parts: self._parts([" " + part for part in parts]))
+        self.later = WorkerCache(lambda parts: self._parts([" " + part for part in parts]), CACHED)
 
     def _tokens(self, found: list[str]) -> list[bytes]:
         out = []

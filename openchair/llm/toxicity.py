@@ -33,7 +33,7 @@ MAX_UNLABELLED = 8000
 MAX_FEATURES = 4000
 MIN_POSITIVE_ROWS = 3
 MIN_POSITIVE_SHARE = 0.005
-MIN_GAIN = 2.5  # standard errors
+MIN_GAIN = 3.5  # standard errors
 MIN_LIFT = 5.0
 BEGINNINGS = range(3, 9)
 THRESHOLD = 0.7
