@@ -9,6 +9,7 @@ import pytest
 from check import compare
 
 from __spark_entry__ import entry, oracle_sql, queries
+from openchair.oracle import ORACLE_SQL
 from openchair.plans import catalog
 
 WITHOUT_TWIN = {"score_model"}
@@ -24,11 +25,12 @@ def shared_jobs():
 
 
 def test_twins_cover_all_but_the_fitted_model():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_TWIN
+    assert set(catalog.QUERIES) - set(oracle_sql()) == WITHOUT_TWIN
     assert set(oracle_sql()) <= set(queries())
+    assert set(catalog.QUERIES) <= set(queries())
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, sql, sf_dir, name):
     assert compare(spark, sql, name, sf_dir) == ""
 
