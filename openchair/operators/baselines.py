@@ -34,7 +34,6 @@ def slot_cells(base: DataFrame) -> DataFrame:
         "sum(CAST(active_micros AS DECIMAL(18, 0))) AS active_micros",
         "sum(observed_booking_pace_per_day) AS pace_total",
         "count_if(slot_start_at >= effective_ts) AS n_future",
-        "max(feature_snapshot_version) AS feature_snapshot_version",
     ]
     for name, event_type in PATTERN_EVENTS.items():
         measures.append(f"count_if(first_event_type = '{event_type}') AS n_first_{name}")
@@ -45,18 +44,18 @@ def slot_cells(base: DataFrame) -> DataFrame:
             f"sum(IF(slot_start_at {inside}, booked_or_completed, 0)) AS n_kept_{days}d",
             f"count_if(first_booked_at {inside}) AS n_fresh_{days}d",
         ]
-    return base.groupBy(*CELL_KEY).agg(*[F.expr(m) for m in measures])
+    # The version is one per run; as a key, not a maximum of text, it allows hash aggregation.
+    return base.groupBy(*CELL_KEY, "feature_snapshot_version").agg(*[F.expr(m) for m in measures])
 
 
 def cohort_baselines(cells: DataFrame, settings: Settings) -> DataFrame:
     """Fill, pace, lead time and completion of each cohort; a null service is its own cohort."""
-    totals = cells.groupBy(*RUN_KEY, *COHORT_KEY).agg(
+    totals = cells.groupBy(*RUN_KEY, *COHORT_KEY, "feature_snapshot_version").agg(
         F.sum("n_slots").alias("observation_count"),
         F.sum("n_booked").alias("n_booked"),
         F.sum("n_completed").alias("n_completed"),
         F.sum("lead_micros").cast("double").alias("lead_micros"),
         F.sum("active_micros").cast("double").alias("active_micros"),
-        F.max("feature_snapshot_version").alias("feature_snapshot_version"),
     )
     n = F.col("observation_count")
     active_days = calendar.micros_to_hours(F.col("active_micros")) / F.lit(24.0)

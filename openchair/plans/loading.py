@@ -7,8 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from openchair.operators import normalize, quality
-from openchair.params import RUN_KEY, RunSpec
-from openchair.sources.tables import write_checked
+from openchair.params import RunSpec
+from openchair.sources.tables import replace_scope
 
 
 def load_batch(
@@ -20,11 +20,12 @@ def load_batch(
     root: str,
     strict: bool = True,
 ) -> None:
-    """Write dimensions per scenario and facts per run under ``root``, or nothing at all.
+    """Write dimensions per scenario and facts per run under ``root``.
 
-    Columns, required values and types are checked on the whole batch before any table is
-    touched. Facts are written last, so a reader never meets facts without their parents.
-    Loading the same batch again leaves the same tables.
+    Columns, required values, types, uniqueness and references are checked on the whole batch
+    before any table is touched; a batch that fails a rule writes nothing. Each table's scope is
+    then replaced, also by no rows, dimensions first, so a reader never meets facts without
+    their parents. A failure between two tables leaves the later ones as they were.
     """
     quality.validate_schema(slots, "slots", strict)
     quality.validate_schema(events, "booking_events", strict)
@@ -35,11 +36,15 @@ def load_batch(
         .unionByName(quality.null_rules(events, "booking_events"))
         .unionByName(quality.slot_type_rules(slots))
         .unionByName(quality.event_type_rules(events))
+        .unionByName(quality.integrity_rules(dims, slots, events))
     )
-    tables = {f"{root}/{name}": df for name, df in dims.items()}
-    scopes = dict.fromkeys(tables, ("scenario_id",))
+    quality.require_clean(rules)
+    scenario = {"scenario_id": run.scenario_id}
+    for name, df in dims.items():
+        replace_scope(df, f"{root}/{name}", scenario)
     facts = {
-        f"{root}/booking_events": normalize.load_events(events, run),
-        f"{root}/slots": normalize.load_slots(slots, run, config_hash),
+        "booking_events": normalize.load_events(events, run),
+        "slots": normalize.load_slots(slots, run, config_hash),
     }
-    write_checked(rules, tables | facts, scopes | dict.fromkeys(facts, RUN_KEY))
+    for name, df in facts.items():
+        replace_scope(df, f"{root}/{name}", scenario | {"run_id": run.run_id})

@@ -96,7 +96,8 @@ def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linestatus",
     )
     orders = _orders(spark, sf_dir).select("o_orderkey", "o_custkey", "slot_start_at")
-    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    # A line item without its order stays, so that the rules can report it.
+    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
 
 
 def slots(spark: SparkSession, sf_dir: str, runs: Sequence[RunSpec]) -> DataFrame:

@@ -118,6 +118,25 @@ def test_loading_again_changes_nothing_and_runs_live_side_by_side(spark, sf_dir,
     assert stored_slots.select("effective_ts").distinct().first()[0] == RUN_B.effective_ts
 
 
+def test_an_empty_reload_clears_the_run(spark, sf_dir, tmp_path):
+    root = str(tmp_path / "warehouse")
+    dims, slots, events = batch(spark, sf_dir, RUN_A)
+    load_batch(dims, slots, events, RUN_A, "cfg", root)
+    load_batch(dims, slots, events.limit(0), RUN_A, "cfg", root)
+    assert spark.read.parquet(f"{root}/booking_events").count() == 0
+
+
+def test_doubled_slots_and_orphan_events_are_rejected(spark, sf_dir, tmp_path):
+    root = tmp_path / "warehouse"
+    dims, slots, events = batch(spark, sf_dir, RUN_A)
+    with pytest.raises(ValueError, match="slot id is duplicated"):
+        load_batch(dims, slots.unionAll(slots), events, RUN_A, "cfg", str(root))
+    lost = events.withColumn("source_slot_id", F.lit("nope"))
+    with pytest.raises(ValueError, match="event has unknown slot"):
+        load_batch(dims, slots, lost, RUN_A, "cfg", str(root))
+    assert not root.exists()
+
+
 def test_bad_batches_leave_no_table(spark, sf_dir, tmp_path):
     root = tmp_path / "warehouse"
     dims, slots, events = batch(spark, sf_dir, RUN_A)
