@@ -95,13 +95,10 @@ class WorkerCache:
         self.old: dict = {}
 
     def many(self, keys: Sequence[Hashable]) -> list:
-        found = list(map(self.young.get, keys))
-        if None in found:
-            self._fill({key for key, value in zip(keys, found) if value is None})
-            young = self.young
-            found = [young[key] if value is None else value for key, value in zip(keys, found)]
-            if len(young) > self.limit:
-                self.old, self.young = young, {}
+        self._fill(set(keys).difference(self.young))
+        found = list(map(self.young.__getitem__, keys))
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
         return found
 
     def grouped(self, groups: Sequence[Sequence[Hashable]]) -> list[list]:

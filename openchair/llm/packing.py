@@ -17,6 +17,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ ETA = 8.0  # how fast a price falls with coverage
 PATTERNS_PER_ROUND = 192
 MOST_ROUNDS = 400
 BUCKET_ROWS = 50_000
-CACHED = 200_000  # entries of a worker cache generation
+CACHED = 300_000  # entries of a worker cache generation
+WORDS_AT_ONCE = 4096
+SPACE = "\u0120"  # how the vocabulary file writes a space
 
 Config = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
@@ -172,43 +175,52 @@ def place(lengths: np.ndarray, ranks: np.ndarray, places: dict[str, np.ndarray])
 
 
 class Tokenizer:
-    """Ids of a tokenizers file. Parts of texts repeat and are looked up, within a bound."""
+    """Ids of a byte-level tokenizers file. Parts of texts repeat and are looked up, within a bound.
+
+    New words are encoded many at a time as one text. Each but the first character of a word is no space, so the tokens that
+    start with a space are where its words start.
+    """
 
     def __init__(self, path: str):
-        import regex
         import tokenizers
 
-        import public_tokenizers
-
         self.whole = tokenizers.Tokenizer.from_file(path)
         self.special = [token.content for token in self.whole.get_added_tokens_decoder().values()]
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.tokens = WorkerCache(self._tokens, CACHED)
-        self.first = WorkerCache(self._parts, 50_000)
-        self.later = WorkerCache(lambda parts: self._parts([" " + part for part in parts]), CACHED)
-
-    def _tokens(self, found: list[str]) -> list[bytes]:
-        out = []
-        for at in range(0, len(found), 4096):
-            encoded = self.whole.encode_batch_fast(found[at : at + 4096], add_special_tokens=False)
-            out += [np.array(x.ids, dtype="<u4").tobytes() for x in encoded]
-        return out
-
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        return [b"".join(found) for found in self.tokens.grouped([self.pattern.findall(part) for part in parts])]
+        vocabulary = self.whole.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.opens[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        self.first = WorkerCache(self._each, 50_000)
+        self.later = WorkerCache(self._spaced, CACHED)
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+
+    def _each(self, parts: Sequence[str]) -> list[bytes]:
+        return [self._ids(part).tobytes() for part in parts]
+
+    def _spaced(self, parts: Sequence[str]) -> list[bytes]:
+        """Ids of each part with a space in front."""
+        words = [part for part in parts if part and " " not in part and not part[-1].isspace()]
+        found: dict[str, bytes] = {}
+        for at in range(0, len(words), WORDS_AT_ONCE):
+            some = words[at : at + WORDS_AT_ONCE]
+            ids = self._ids(" " + " ".join(some))
+            starts = (4 * np.flatnonzero(self.opens[ids])).tolist()
+            flat = ids.tobytes()
+            if len(starts) == len(some):
+                found.update((word, flat[a:b]) for word, a, b in zip(some, starts, [*starts[1:], len(flat)]))
+        odd = [part for part in parts if part not in found]
+        found.update(zip(odd, self._each([" " + part for part in odd])))
+        return [found[part] for part in parts]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text. Texts with a special token's string are not cut."""
         odd = [any(token in text for token in self.special) for text in texts]
         parts = [[""] if special else cut(text) for special, text in zip(odd, texts)]
         first = self.first.many([found[0] for found in parts])
-        later = self.later.grouped([found[1:] for found in parts])
-        return [
-            np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            if special
-            else b"".join([head, *tail])
-            for special, text, head, tail in zip(odd, texts, first, later)
-        ]
+        later = iter(self.later.many(list(chain.from_iterable(found[1:] for found in parts))))
+        joined = [b"".join((head, *islice(later, len(found) - 1))) for head, found in zip(first, parts)]
+        return [self._ids(text).tobytes() if special else ids for special, text, ids in zip(odd, texts, joined)]
 
 
 @lru_cache(maxsize=1)
