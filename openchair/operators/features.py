@@ -156,7 +156,7 @@ def remaining_same_day(base: DataFrame) -> DataFrame:
 
 def add_density(rows: DataFrame, base: DataFrame) -> DataFrame:
     key = (*RUN_KEY, "business_id", "service_type", "slot_start_at")
-    joined = attach(rows, inventory_density(base), key, ("slot_id",))
+    joined = attach(rows, inventory_density(base), key, ("slot_id",), fanout=1)
     return joined.withColumn(
         "inventory_density_2h", F.coalesce("inventory_density_2h", F.lit(0.0))
     )
@@ -165,7 +165,7 @@ def add_density(rows: DataFrame, base: DataFrame) -> DataFrame:
 def add_remaining_same_day(rows: DataFrame, base: DataFrame) -> DataFrame:
     dated = rows.withColumn("slot_date", F.to_date("slot_start_at"))
     key = (*RUN_KEY, "provider_id", "slot_date")
-    joined = attach(dated, remaining_same_day(base), key, ("slot_id",))
+    joined = attach(dated, remaining_same_day(base), key, ("slot_id",), fanout=1)
     count = F.coalesce("remaining_provider_slots_same_day", F.lit(0))
     return joined.withColumn(
         "remaining_provider_slots_same_day", _if_future(count).cast("int")

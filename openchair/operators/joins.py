@@ -37,8 +37,12 @@ def attach(
     holding a third of the rows lands in ``fanout`` partitions, and because the salt makes
     both sides fresh exchanges, AQE can cut each of those further by size.
 
+    Keys about as fine as the rows take ``fanout=1``: no copies, the plain join.
+
     ``null_safe`` keys match null with null; the other keys never match on null.
     """
+    if fanout == 1 and not null_safe:
+        return rows.join(groups, list(keys), how)
     spread = rows.selectExpr("*", f"{salt_of(spread_on, fanout)} AS _salt")
     copied = groups.selectExpr("*", f"{salt_copies(fanout)} AS _salt")
     if not null_safe:

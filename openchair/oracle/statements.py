@@ -196,6 +196,18 @@ INTEGRITY_RULES = " UNION ALL ".join(
     ]
 )
 
+# The faults planted in a batch, counted from the tables they were made of.
+_AGAIN = "(SELECT count(*) FROM booking_slots WHERE service_id = 'svc_1')"
+INTEGRITY_FAULTS = f"""
+  SELECT rule, bad_rows + CASE
+      WHEN rule IN ('slot id is duplicated', 'slot has unknown provider',
+                    'slot is visible after its start') THEN {_AGAIN}
+      WHEN rule = 'event has unknown slot'
+        THEN (SELECT count(*) FROM booking_events WHERE event_type = 'removed')
+      ELSE 0 END AS bad_rows
+  FROM ({INTEGRITY_RULES})
+"""
+
 GATE = f"""
   SELECT count(*) AS rules, count(*) FILTER (WHERE bad_rows > 0) AS failed_rules,
          sum(bad_rows)::BIGINT AS bad_rows, bool_and(bad_rows = 0) AS accepted
@@ -399,10 +411,10 @@ RECOMMENDATIONS = f"""
 """
 
 
-def _counts(column: str, alias: str) -> str:
+def _counts(column: str, alias: str, where: str = "true") -> str:
     return (
         f"SELECT scenario_id, run_id, {column} AS {alias}, count(*) AS recommendation_count"
-        " FROM decisions GROUP BY 1, 2, 3"
+        f" FROM decisions WHERE {where} GROUP BY 1, 2, 3"
     )
 
 
@@ -478,6 +490,7 @@ ORACLE_SQL: dict[str, str] = {
     "dq_nulls": statement(NULL_RULES),
     "dq_types": statement(TYPE_RULES),
     "dq_integrity": statement(INTEGRITY_RULES),
+    "dq_integrity_faults": statement(INTEGRITY_FAULTS),
     "dq_gate": statement(GATE),
     "align_schema": statement(
         f"SELECT {KEY}, slot_start_at, 26 AS column_count, 21 AS null_columns FROM booking_slots"
@@ -631,6 +644,9 @@ ORACLE_SQL: dict[str, str] = {
     "recommendations_filtered": statement(
         RECOMMENDATIONS + " WHERE service_id = 'svc_2' AND action_value > 0"
     ),
+    "recommendations_of_business": statement(RECOMMENDATIONS + " WHERE business_id = 'biz_1'"),
+    "recommendations_explored": statement(RECOMMENDATIONS + " WHERE was_exploration", share=1.0),
+    "recommendations_sorted": statement(RECOMMENDATIONS),
     "recommendations_top": statement(
         f"SELECT * FROM ({RECOMMENDATIONS})"
         " ORDER BY severity_score DESC NULLS LAST, recommended_discount DESC, slot_id LIMIT 20"
@@ -648,6 +664,12 @@ ORACLE_SQL: dict[str, str] = {
     "summary_by_lead_band": statement(
         _counts("effective_lead_time_band", "effective_lead_time_band")
     ),
+    "summary_by_provider_of_service": statement(
+        _counts("provider_id", "provider_id", "service_id = 'svc_2'")
+    ),
+    "summary_by_service_of_business": statement(
+        _counts("service_id", "service_id", "business_id = 'biz_1'")
+    ),
     "latest_runs": statement(
         "SELECT scenario_id, run_id, max(effective_ts) AS effective_ts, count(*) AS slot_count"
         " FROM booking_slots GROUP BY 1, 2",

@@ -37,6 +37,8 @@ class Settings:
     use_model: bool = True
     training_min_rows: int = 10
     l2_c: float = 1.0
+    model_max_iter: int = 1000
+    model_tol: float = 1e-6
     model_version: str = "pooled_logistic_v1"
     action_ladder: tuple[int, ...] = (0, 5, 10, 15, 20)
     max_discount_lead_time_hours: int = 168

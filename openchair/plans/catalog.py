@@ -45,6 +45,7 @@ CONSTANT_RATE = replace(DEFAULTS, use_model=False)
 # Rules set tight enough that every one of them removes steps somewhere.
 STRICT = replace(CONSTANT_RATE, excluded_services=("svc_5",), price_floor_pct=0.85)
 EXPLORING = replace(CONSTANT_RATE, exploration_share=0.5)
+ALWAYS_EXPLORING = replace(CONSTANT_RATE, exploration_share=1.0)
 DIGITS = 6
 
 
@@ -61,6 +62,11 @@ def _events(spark: SparkSession, sf_dir: str, runs=(RUN,)) -> DataFrame:
     return commerce.events(_session(spark), sf_dir, runs)
 
 
+def _seen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a query that looks at no event after the snapshot."""
+    return commerce.events(_session(spark), sf_dir, (RUN,), commerce.seen_starts((RUN,)))
+
+
 def _job(spark, sf_dir, settings=CONSTANT_RATE, runs=(RUN,), **options) -> SnapshotJob:
     slots, events = _slots(spark, sf_dir, runs), _events(spark, sf_dir, runs)
     return SnapshotJob(slots, events, runs, settings, **options)
@@ -169,6 +175,21 @@ def dq_integrity(spark, sf_dir):
     )
 
 
+def dq_integrity_faults(spark, sf_dir):
+    """The rules over a batch with faults: one service's slots again, of an unknown provider and
+    published after their start, and removals that point to no slot."""
+    raw = commerce.raw_dimensions(_session(spark), sf_dir)
+    slots = commerce.raw_slots(spark, sf_dir)
+    again = slots.where(F.col("source_service_id") == "svc_1").withColumns(
+        {"source_provider_id": F.lit("prov_none"), "visible_at": F.col("slot_end_at")}
+    )
+    lost = F.when(F.col("event_type") == "removed", F.lit("slot_none"))
+    events = commerce.raw_events(spark, sf_dir).withColumn(
+        "source_slot_id", F.coalesce(lost, F.col("source_slot_id"))
+    )
+    return quality.integrity_rules(raw, slots.unionByName(again), events)
+
+
 def dq_gate(spark, sf_dir):
     rules = dq_nulls(spark, sf_dir).unionByName(dq_types(spark, sf_dir))
     return quality.gate(rules.unionByName(dq_integrity(spark, sf_dir)))
@@ -231,27 +252,28 @@ def availability_asof(spark, sf_dir):
 
 
 def visible_slots(spark, sf_dir):
-    return snapshot.visible_slots(_slots(spark, sf_dir)).select(
+    slots = commerce.slots(_session(spark), sf_dir, (RUN,), commerce.visible_starts((RUN,)))
+    return snapshot.visible_slots(slots).select(
         *SLOT_KEY, "visible_at", "slot_start_at"
     )
 
 
 def events_asof(spark, sf_dir):
-    return snapshot.events_asof(_events(spark, sf_dir)).select(
+    return snapshot.events_asof(_seen_events(spark, sf_dir)).select(
         *SLOT_KEY, "event_id", "event_type", "event_at"
     )
 
 
 def first_booking(spark, sf_dir):
-    return snapshot.first_booking(_events(spark, sf_dir))
+    return snapshot.first_booking(_seen_events(spark, sf_dir))
 
 
 def first_event(spark, sf_dir):
-    return snapshot.first_event(_events(spark, sf_dir))
+    return snapshot.first_event(_seen_events(spark, sf_dir))
 
 
 def slot_event_rollup(spark, sf_dir):
-    rollup = snapshot.slot_event_rollup(_events(spark, sf_dir))
+    rollup = snapshot.slot_event_rollup(_seen_events(spark, sf_dir))
     return rollup.drop("first_booked_at")
 
 
@@ -269,7 +291,9 @@ def slot_calendar(spark, sf_dir):
 
 
 def trailing_window(spark, sf_dir):
-    return snapshot.trailing_window(_slots(spark, sf_dir), 28).select(*SLOT_KEY, "slot_start_at")
+    starts = commerce.trailing_starts((RUN,), 28)
+    slots = commerce.slots(_session(spark), sf_dir, (RUN,), starts)
+    return snapshot.trailing_window(slots, 28).select(*SLOT_KEY, "slot_start_at")
 
 
 def slot_flags(spark, sf_dir):
@@ -351,7 +375,8 @@ def features_scarcity(spark, sf_dir):
 
 
 def features_density(spark, sf_dir):
-    slots = snapshot.visible_slots(_slots(spark, sf_dir))
+    slots = commerce.slots(_session(spark), sf_dir, (RUN,), commerce.visible_starts((RUN,)))
+    slots = snapshot.visible_slots(slots)
     slots = slots.withColumn("service_type", F.col("service_id"))
     return features.add_density(slots, slots).select(*SLOT_KEY, "inventory_density_2h")
 
@@ -488,6 +513,22 @@ def recommendations_filtered(spark, sf_dir):
     )
 
 
+def recommendations_of_business(spark, sf_dir):
+    decisions = _job(spark, sf_dir).decisions
+    return _rounded(explorer.recommendations(decisions, business_id="biz_1"))
+
+
+def recommendations_explored(spark, sf_dir):
+    decisions = _job(spark, sf_dir, ALWAYS_EXPLORING).decisions
+    return _rounded(explorer.recommendations(decisions, exploration_only=True))
+
+
+def recommendations_sorted(spark, sf_dir):
+    """The whole list, smallest discount first."""
+    rows = _rounded(explorer.recommendations(_job(spark, sf_dir).decisions))
+    return explorer.sort_recommendations(rows, "recommended_discount", descending=False)
+
+
 def recommendations_top(spark, sf_dir):
     rows = explorer.recommendations(_job(spark, sf_dir).decisions)
     # Rounded first, so that both sides order by the same numbers.
@@ -514,6 +555,14 @@ def summary_by_lead_band(spark, sf_dir):
     return explorer.summary_by_lead_band(_job(spark, sf_dir).decisions)
 
 
+def summary_by_provider_of_service(spark, sf_dir):
+    return explorer.summary_by_provider(_job(spark, sf_dir).decisions, service_id="svc_2")
+
+
+def summary_by_service_of_business(spark, sf_dir):
+    return explorer.summary_by_service(_job(spark, sf_dir).decisions, business_id="biz_1")
+
+
 def latest_runs(spark, sf_dir):
     return evaluation.latest_runs(_slots(spark, sf_dir, BACKFILL))
 
@@ -534,6 +583,7 @@ QUERIES: dict[str, Query] = {
     "dq_nulls": dq_nulls,
     "dq_types": dq_types,
     "dq_integrity": dq_integrity,
+    "dq_integrity_faults": dq_integrity_faults,
     "dq_gate": dq_gate,
     "align_schema": align_schema,
     "dq_duplicates": dq_duplicates,
@@ -580,12 +630,17 @@ QUERIES: dict[str, Query] = {
     "similar_slot_consistency": similar_slot_consistency,
     "recommendations": recommendations,
     "recommendations_filtered": recommendations_filtered,
+    "recommendations_of_business": recommendations_of_business,
+    "recommendations_explored": recommendations_explored,
+    "recommendations_sorted": recommendations_sorted,
     "recommendations_top": recommendations_top,
     "severity_distribution": severity_distribution,
     "summary_by_action": summary_by_action,
     "summary_by_provider": summary_by_provider,
     "summary_by_service": summary_by_service,
     "summary_by_lead_band": summary_by_lead_band,
+    "summary_by_provider_of_service": summary_by_provider_of_service,
+    "summary_by_service_of_business": summary_by_service_of_business,
     "latest_runs": latest_runs,
     "run_summary": run_summary,
 }

@@ -13,7 +13,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 
 from openchair.operators import baselines, features, recommend, scoring, snapshot, underbooking
-from openchair.params import RunSpec, Settings
+from openchair.params import RUN_KEY, RunSpec, Settings
 from openchair.plans.staging import staged
 
 
@@ -68,7 +68,7 @@ class SnapshotJob:
 
     @cached_property
     def features(self) -> DataFrame:
-        return staged(self.features_once, "features")
+        return staged(self.features_once, "features", RUN_KEY)
 
     @cached_property
     def flagged(self) -> DataFrame:

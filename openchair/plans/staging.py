@@ -2,35 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="openchair-")
-
-
 def staging_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only for a local session."""
+    """The shared folder of the cluster, or one in the warehouse where that is unset."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    return _local_folder()
+    return shared or f"{spark.conf.get('spark.sql.warehouse.dir')}/_staged"
+
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{staging_root(spark)}/openchair/{spark.sparkContext.applicationId}"
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet and read it back.
+
+def staged(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as Parquet, partitioned by the columns ``by``, and read it back.
 
     The written table cuts the lineage, survives lost executors, is read by column, and has
     a known size, so the planner's broadcast check works from real file sizes.
     """
     spark = df.sparkSession
-    path = f"{staging_root(spark)}/openchair/{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}/{label}"
+    writer = df.write.partitionBy(*by) if by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete all tables staged by this application. DataFrames that read them end with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -7,6 +7,7 @@ event of its order's slot, so everything below grows with the given tables.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,27 @@ PROVIDERS = 150
 BUSINESSES = 10
 LOCATIONS = 10
 LEAD_HOURS = 1440
+VISIBLE_DAYS = 90
+LATEST_HOUR = 17
+
+# Earliest and latest slot start that a query needs; None leaves a side open.
+Starts = tuple[datetime | None, datetime | None]
+ALL: Starts = (None, None)
+
+
+def visible_starts(runs: Sequence[RunSpec]) -> Starts:
+    """Bounds on the starts of slots published by the last snapshot."""
+    return None, max(run.effective_ts for run in runs) + timedelta(days=VISIBLE_DAYS)
+
+
+def seen_starts(runs: Sequence[RunSpec]) -> Starts:
+    """Bounds on the starts of slots with an event by the last snapshot."""
+    return None, max(run.effective_ts for run in runs) + timedelta(hours=LEAD_HOURS)
+
+
+def trailing_starts(runs: Sequence[RunSpec], days: int) -> Starts:
+    times = [run.effective_ts for run in runs]
+    return min(times) - timedelta(days=days), max(times)
 
 
 def assign_runs(df: DataFrame, runs: Sequence[RunSpec]) -> DataFrame:
@@ -41,8 +63,15 @@ def assign_runs(df: DataFrame, runs: Sequence[RunSpec]) -> DataFrame:
     )
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").selectExpr(
+def _orders(spark: SparkSession, sf_dir: str, starts: Starts = ALL) -> DataFrame:
+    """Orders as slots. ``starts`` becomes a plain bound on the order date, which reaches the scan."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    low, high = starts
+    if low is not None:
+        rows = rows.where(F.col("o_orderdate") >= instant(str(low - timedelta(hours=LATEST_HOUR))))
+    if high is not None:
+        rows = rows.where(F.col("o_orderdate") <= instant(str(high)))
+    return rows.selectExpr(
         "o_orderkey",
         "o_custkey",
         "o_totalprice",
@@ -60,7 +89,7 @@ SLOT_EXPRESSIONS = {
     "location_id": f"concat('loc_', pmod(o_custkey, {LOCATIONS}))",
     "slot_start_at": "slot_start_at",
     "slot_end_at": "slot_start_at + INTERVAL 60 MINUTES",
-    "visible_at": "slot_start_at - INTERVAL 90 DAYS",
+    "visible_at": f"slot_start_at - INTERVAL {VISIBLE_DAYS} DAYS",
 }
 
 # Type and time of the event of a line item, and a key unique over line items.
@@ -85,7 +114,7 @@ def _named(expressions: dict[str, str], prefix: str = "") -> list[str]:
     return [f"{expression} AS {prefix}{name}" for name, expression in expressions.items()]
 
 
-def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _line_items(spark: SparkSession, sf_dir: str, starts: Starts = ALL) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
         "l_orderkey",
         "l_linenumber",
@@ -95,13 +124,16 @@ def _line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_returnflag",
         "l_linestatus",
     )
-    orders = _orders(spark, sf_dir).select("o_orderkey", "o_custkey", "slot_start_at")
+    orders = _orders(spark, sf_dir, starts).select("o_orderkey", "o_custkey", "slot_start_at")
     # A line item without its order stays, so that the rules can report it.
-    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    how = "left" if starts == ALL else "inner"
+    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), how)
 
 
-def slots(spark: SparkSession, sf_dir: str, runs: Sequence[RunSpec]) -> DataFrame:
-    rows = _orders(spark, sf_dir).selectExpr(
+def slots(
+    spark: SparkSession, sf_dir: str, runs: Sequence[RunSpec], starts: Starts = ALL
+) -> DataFrame:
+    rows = _orders(spark, sf_dir, starts).selectExpr(
         *_named(SLOT_EXPRESSIONS),
         "o_totalprice AS standard_price",
         "60 AS slot_duration_minutes",
@@ -109,8 +141,11 @@ def slots(spark: SparkSession, sf_dir: str, runs: Sequence[RunSpec]) -> DataFram
     return assign_runs(rows, runs)
 
 
-def events(spark: SparkSession, sf_dir: str, runs: Sequence[RunSpec]) -> DataFrame:
-    return assign_runs(_line_items(spark, sf_dir).selectExpr(*_named(EVENT_EXPRESSIONS)), runs)
+def events(
+    spark: SparkSession, sf_dir: str, runs: Sequence[RunSpec], starts: Starts = ALL
+) -> DataFrame:
+    rows = _line_items(spark, sf_dir, starts).selectExpr(*_named(EVENT_EXPRESSIONS))
+    return assign_runs(rows, runs)
 
 
 def raw_slots(spark: SparkSession, sf_dir: str) -> DataFrame:

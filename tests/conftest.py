@@ -11,6 +11,8 @@ for folder in (ROOT, os.path.join(ROOT, "tools"), os.path.join(ROOT, "tests")):
 
 from check import oracle, session  # noqa: E402
 
+from openchair.plans.staging import drop_staged  # noqa: E402
+
 SF_DIR = "/root/testdata/sf0.001"
 
 
@@ -19,6 +21,7 @@ def spark():
     spark = session(int(os.environ.get("TEST_CPUS", "8")))
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
+    drop_staged(spark)
     spark.stop()
 
 

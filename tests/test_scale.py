@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import random
+import re
 from contextlib import contextmanager, redirect_stdout
 from dataclasses import replace
 from datetime import datetime, timedelta
@@ -319,3 +320,17 @@ def test_settings_change_only_what_they_name(spark, sf_dir):
     capped = replace(catalog.CONSTANT_RATE, max_discount_pct=10)
     job = SnapshotJob(slots, events, (catalog.RUN,), capped)
     assert max(r["action_value"] for r in job.decisions.collect()) <= 10
+
+
+def test_model_that_does_not_converge_is_refused(spark, sf_dir):
+    from openchair.operators import scoring
+
+    job = catalog._job(spark, sf_dir, Settings(model_max_iter=1))
+    with pytest.raises(RuntimeError, match="did not converge"):
+        scoring.fit_models(job.training, job.training_summary, job.runs, job.settings)
+
+
+@pytest.mark.parametrize("name", ["visible_slots", "events_asof", "trailing_window"])
+def test_snapshot_bounds_reach_the_scan(spark, sf_dir, name):
+    plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: [^\n]*LessThanOrEqual\(o_orderdate", plan)

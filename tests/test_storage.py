@@ -272,9 +272,12 @@ def test_staging_follows_the_cluster_setting(spark):
 
     shared = session_with(spark__checkpoint__dir="hdfs://shared/tmp", spark__master="yarn")
     assert staging.staging_root(shared) == "hdfs://shared/tmp"
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        staging.staging_root(session_with(spark__master="spark://host:7077"))
-    assert staging.staged(facts(spark, "run_a", [1, 2]), "facts").count() == 2
+    unset = session_with(spark__sql__warehouse__dir="hdfs://shared/warehouse")
+    assert staging.staging_root(unset) == "hdfs://shared/warehouse/_staged"
+    rows = facts(spark, "run_a", [1, 2])
+    by_run = staging.staged(rows, "facts", ("run_id",))
+    assert by_run.columns == rows.columns
+    assert sorted(by_run.collect(), key=str) == sorted(rows.collect(), key=str)
 
 
 def test_small_job_runs_end_to_end_with_derived_availability(spark):
