@@ -332,5 +332,7 @@ def test_model_that_does_not_converge_is_refused(spark, sf_dir):
 
 @pytest.mark.parametrize("name", ["visible_slots", "events_asof", "trailing_window"])
 def test_snapshot_bounds_reach_the_scan(spark, sf_dir, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000")
     plan = catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert re.search(r"PushedFilters: [^\n]*LessThanOrEqual\(o_orderdate", plan)
