@@ -15,6 +15,7 @@ from openchair.operators.features import feature_snapshots
 from openchair.params import RunSpec, Settings
 from openchair.plans import catalog, staging
 from openchair.plans.loading import load_batch
+from openchair.plans.writing import write_run
 from openchair.schemas import SLOTS
 from openchair.sources import commerce, tables
 
@@ -289,3 +290,73 @@ def test_small_job_runs_end_to_end_with_derived_availability(spark):
     events = [("a", "booked", "2026-01-02 00:00:00"), ("old", "completed", "2026-01-05 13:00:00")]
     job = job_of(spark, RUN_A, slots, events, derive=True)
     assert [r["slot_id"] for r in job.decisions.collect()] == ["b"]
+
+
+WRITTEN = [
+    {"slot_id": "a", "start": "2026-01-12 12:00:00", "visible": "2026-01-01 00:00:00"},
+    {"slot_id": "b", "start": "2026-01-12 15:00:00", "visible": "2026-01-01 00:00:00"},
+    {"slot_id": "old", "start": "2026-01-05 12:00:00", "visible": "2026-01-01 00:00:00"},
+]
+WRITTEN_EVENTS = [
+    ("a", "booked", "2026-01-02 00:00:00"),
+    ("old", "completed", "2026-01-05 13:00:00"),
+]
+
+
+def actions_of(spark, root):
+    rows = spark.read.parquet(f"{root}/pricing_actions").collect()
+    return sorted((r["run_id"], r["slot_id"], r["action_value"]) for r in rows)
+
+
+def test_a_run_is_written_whole_and_replaced(spark, tmp_path):
+    root = str(tmp_path)
+    job = job_of(spark, RUN_A, WRITTEN, WRITTEN_EVENTS, derive=True)
+    write_run(job, root)
+    sizes = {name.name: spark.read.parquet(str(name)).count() for name in tmp_path.iterdir()}
+    metrics = sizes.pop("evaluation_results")
+    assert metrics == job_metrics(job)
+    assert sizes == {
+        "cohort_baselines": job.baselines.count(),
+        "feature_snapshots": 3,
+        "underbooking_outputs": 3,
+        "business_calibrations": 1,
+        "scoring_outputs": 1,
+        "pricing_actions": 1,
+    }
+    assert [row[:2] for row in actions_of(spark, root)] == [("run_a", "b")]
+    # All slots are taken now, so the run keeps no score and no action.
+    taken = [*WRITTEN_EVENTS, ("b", "booked", "2026-01-03 00:00:00")]
+    write_run(job_of(spark, RUN_A, WRITTEN, taken, derive=True), root)
+    with_b = job_of(spark, RUN_B, WRITTEN, WRITTEN_EVENTS, derive=True)
+    write_run(with_b, root)
+    assert [row[:2] for row in actions_of(spark, root)] == [("run_b", "b")]
+
+
+def job_metrics(job) -> int:
+    slots = availability(job.slots, job.events)
+    return evaluation(slots, job.flagged, job.decisions, job.decisions).count()
+
+
+def test_a_run_that_breaks_a_rule_leaves_the_old_tables(spark, tmp_path):
+    root = str(tmp_path)
+    write_run(job_of(spark, RUN_A, WRITTEN, WRITTEN_EVENTS, derive=True), root)
+    before = actions_of(spark, root)
+
+    def refused(message, **changes):
+        job = job_of(spark, RUN_A, WRITTEN, WRITTEN_EVENTS, derive=True)
+        job.decisions = job.decisions.withColumns(changes) if changes else job.decisions.limit(0)
+        with pytest.raises(ValueError, match=message):
+            write_run(job, root)
+        assert actions_of(spark, root) == before
+
+    refused("action is not permitted", action_value=F.lit(99.0))
+    refused("confidence_score outside 0 to 1", confidence_score=F.lit(1.5))
+    refused("scoring_complete")
+    job = job_of(spark, RUN_A, WRITTEN, WRITTEN_EVENTS, derive=True)
+    job.decisions = job.decisions.unionAll(job.decisions)
+    with pytest.raises(ValueError, match="pricing_actions"):
+        write_run(job, root)
+    job.runs = [RUN_A, RUN_B]
+    with pytest.raises(ValueError, match="run_b is not complete: slots_loaded"):
+        write_run(job, root)
+    assert actions_of(spark, root) == before
