@@ -277,9 +277,6 @@ class Encoder:
         later = self.later.grouped([found[1:] for found in parts])
         return [b"".join([head, *tail]) for head, tail in zip(first, later)]
 
-    def decode(self, ids: Sequence[int]) -> bytes:
-        return b"".join(map(self.merges.bytes.__getitem__, ids))
-
 
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
@@ -287,6 +284,12 @@ def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> dict[int, bytes]:
+    """The bytes of each id: all that decoding needs, one per worker process."""
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
 def _id_lists(encoded: list[bytes]) -> pa.Array:
     lengths = np.fromiter((len(x) // 4 for x in encoded), dtype=np.int64, count=len(encoded))
     offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
@@ -309,11 +312,11 @@ def decode_ids(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """Per row: id, ids and the decoded bytes; null ids decode to no bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decode = encoder(path, pattern).decode
+        bytes_of = token_bytes(path).__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                decoded = pa.array([decode(ids or ()) for ids in part.column(1).to_pylist()], pa.binary())
+                decoded = pa.array([b"".join(map(bytes_of, ids or ())) for ids in part.column(1).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[id_col, "ids", "decoded"])
 
     named = pick(rows, id_col, ids_col).withColumnRenamed(ids_col, "ids")
