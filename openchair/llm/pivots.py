@@ -1,15 +1,15 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Each vector is described by its nearest reference points in order. Inverted lists hold the vectors of a label that have a
-reference point near; two vectors are candidates if they share enough of them, and candidates are verified by cosine
-in double precision. Two descriptions of `NEAREST` points that share `SHARED` of them also share one among the first
-`NEAREST - SHARED + 1` when all are sorted from rare to common, so only those are listed.
+Each vector is described by its `NEAREST` nearest reference points. Inverted lists hold the vectors of a label that have a
+reference point near; two vectors are candidates if they share any list, and candidates are verified by cosine in double
+precision. A pair is missed only if the two have no near point in common.
 
 Equal vectors of a label are one entry with a count. Long lists are cut into blocks that meet pairwise, each pair of
 blocks in a task of its own; a task returns a count of links per vector and a spanning set of its links, never all pairs.
 
-Reference points are vectors of the table, chosen by a digest of their ids. Their number follows the square root of the
-number of vectors up to `MAX_PIVOTS`; every vector is indexed.
+Reference points are vectors of the table, drawn by a digest of their ids; one within `APART` of another is skipped, so a tight
+group supplies few of them and its members share these. Their number follows the square root of the number of vectors up
+to `MAX_PIVOTS`; every vector is indexed.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows without a label, link with nothing;
 rows with a null id too; repeated rows of one id and vector count as one; vectors of different lengths never link; an
@@ -32,9 +32,9 @@ from openchair.llm.components import connected_components
 
 LEAST_COSINE = 0.98
 NEAREST = 6
-SHARED = 3
-LISTED = NEAREST - SHARED + 1
 MIN_PIVOTS, MAX_PIVOTS = 16, 1024
+APART = 0.9  # reference points have a cosine below it to each other
+DRAWN = 8  # vectors looked at for each reference point wanted
 BLOCK = 1024
 
 
@@ -46,7 +46,7 @@ def usable(embedding: str = "embedding", label: str = "label"):
     )
 
 
-def unit_rows(vectors: list) -> np.ndarray:
+def unit_rows(vectors: list | np.ndarray) -> np.ndarray:
     """Rows of one width, scaled to length 1 without overflow."""
     rows = np.array(vectors, dtype=np.float64)
     rows /= np.abs(rows).max(axis=1, keepdims=True)
@@ -77,16 +77,33 @@ def describe(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 
 
 def choose_pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """Unit reference points by vector width; a bounded sample by digest."""
+    """Unit reference points by vector width, apart from each other, out of a bounded sample by digest."""
     sizes = vectors.groupBy(F.size("embedding").alias("width")).count().collect()
     out = {}
     for width, n in sizes:
         wanted = min(MAX_PIVOTS, max(MIN_PIVOTS, math.isqrt(n)))
-        rows = vectors.where(F.size("embedding") == width).orderBy(F.xxhash64("vec_id"), "vec_id").limit(wanted)
-        out[width] = unit_rows([list(row[0]) for row in rows.select("embedding").collect()])
+        digest = F.xxhash64("vec_id")
+        # Only about twice the drawn rows are sorted; they hold the smallest digests.
+        most = int(min(1.0, 2 * DRAWN * wanted / n) * (2**64 - 1)) - 2**63
+        low = vectors.where((F.size("embedding") == width) & (digest <= F.lit(min(most, 2**63 - 1))))
+        rows = low.orderBy(digest, "vec_id").limit(DRAWN * wanted)
+        drawn = rows.select("embedding").toArrow().column(0).combine_chunks().flatten().to_numpy().reshape(-1, width)
+        out[width] = spread(unit_rows(drawn), wanted)
     return out
 
 
+def spread(units: np.ndarray, wanted: int) -> np.ndarray:
+    """The first rows, up to `wanted`, that have no earlier chosen one within `APART`."""
+    chosen, n = np.empty((wanted, units.shape[1])), 0
+    for unit in units:
+        if n == wanted:
+            break
+        if not (chosen[:n] @ unit >= APART).any():
+            chosen[n] = unit
+            n += 1
+    return chosen[:n]
+
+
 def _spanning(pairs: np.ndarray, n: int) -> np.ndarray:
     """Which of the pairs join two parts not joined by earlier ones."""
     parent = list(range(n))
@@ -120,23 +137,23 @@ def compare_blocks(rows: pd.DataFrame) -> pd.DataFrame:
     pairs = []
     for at in range(0, len(one), 256):
         a = one[at : at + 256]
-        shared = np.zeros((len(a), len(other)), dtype=np.int8)
-        lowest = np.full((len(a), len(other)), np.iinfo(np.int32).max, dtype=np.int32)
-        for i in range(near.shape[1]):
-            for j in range(near.shape[1]):
-                equal = near[a, i][:, None] == near[other, j][None, :]
-                shared += equal
-                lowest = np.where(equal & (lowest > near[a, i][:, None]), near[a, i][:, None], lowest)
-        # A pair is handled in the list of the rarest point it shares.
-        found = (shared >= min(SHARED, near.shape[1])) & (lowest == listed)
+        close = units[a] @ units[other].T
+        found = close >= LEAST_COSINE
+        for i, j in np.argwhere(np.abs(close - LEAST_COSINE) < 1e-12):  # the sum must not depend on the block's shape
+            found[i, j] = (units[a[i]] * units[other[j]]).sum() >= LEAST_COSINE
         found &= a[:, None] < other[None, :] if same else a[:, None] != other[None, :]
         x, y = np.nonzero(found)
         x, y = a[x], other[y]
-        linked = np.einsum("ij,ij->i", units[x], units[y]) >= LEAST_COSINE
-        x, y = x[linked], y[linked]
+        # A pair is handled in the list of the rarest point it shares.
+        shared = (near[x][:, :, None] == near[y][:, None, :]).any(axis=2)
+        own = np.where(shared, near[x], np.iinfo(np.int32).max).min(axis=1) == listed
+        x, y = x[own], y[own]
         links += np.bincount(x, weights=counts[y], minlength=len(rows)).astype(np.int64)
         links += np.bincount(y, weights=counts[x], minlength=len(rows)).astype(np.int64)
-        new = np.stack([x, y], axis=1)
+        # Rows linked to one y are joined through the first of them, which keeps the pairs few.
+        ends, first, place = np.unique(y, return_index=True, return_inverse=True)
+        hubs = np.divmod(np.unique(x * len(rows) + x[first][place]), len(rows))
+        new = np.concatenate([np.stack([x[first], ends], axis=1), np.stack(hubs, axis=1)])
         pairs.append(new[_spanning(new, len(rows))])
     joined = np.concatenate(pairs)
     joined = joined[_spanning(joined, len(rows))]
@@ -216,7 +233,7 @@ def _links(described: DataFrame, ranks: dict[int, dict[int, int]]) -> DataFrame:
         "embedding",
         F.array_sort(F.transform("near", lambda i: F.get(numbers, i))).alias("ranked"),
     )
-    listed = ranked.withColumn("pivot", F.explode(F.slice("ranked", 1, LISTED)))
+    listed = ranked.withColumn("pivot", F.explode("ranked"))
     key = ["label", "width", "pivot"]
     sizes = listed.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = listed.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))

@@ -252,6 +252,26 @@ def test_linked_vectors_equal_brute_force(spark):
     assert pivots.near_vectors(df.limit(0), Stage(spark, "test")).count() == 0
 
 
+def test_links_in_a_large_near_group_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    n, width = 4500, 64
+    vectors = rng.normal(size=(n, width))
+    vectors[: n // 3] = rng.normal(size=width) + 0.09 * vectors[: n // 3]
+    vectors[n - 300 :] = vectors[n - 600 : n - 300] + 0.15 * rng.normal(size=(300, width))
+    vectors = rng.permutation(vectors).astype(np.float32)
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors.tolist())], "vec_id bigint, embedding array<float>, label int")
+    found = collected(pivots.near_vectors(df, Stage(spark, "test"))).set_index("vec_id").sort_index()
+    units = pivots.unit_rows(vectors)
+    linked = units @ units.T >= 0.98
+    np.fill_diagonal(linked, False)
+    assert linked.sum() > 0.9 * (n // 3) ** 2
+    assert (found.n_links <= linked.sum(1)).all() and found.n_links.sum() >= 0.999 * linked.sum()
+    component = np.arange(n)
+    while (lower := np.where(linked, component, n).min(1).clip(max=component)).tolist() != component.tolist():
+        component = lower
+    assert (found.component_id == component).mean() >= 0.999
+
+
 def test_packing_plan_is_whole_and_tight():
     rng = random.Random(6)
     for histogram in ({700: 100, 683: 100, 665: 100}, {2048: 4}, {1: 5000}, dict(Counter(rng.randint(1, 2048) for _ in range(3000)))):
