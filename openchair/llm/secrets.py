@@ -2,8 +2,10 @@
 
 Spans have a kind, a start and an exclusive end in code points. Kinds `assign`, `access` and `hex` come from patterns. Kind
 `literal` comes from lexing: name-literal pairs of source and configuration syntax (`name = "x"`, `name: x`, `"name": "x"`,
-`name := x`, `name => x`) are read in order, names that are assigned other names take over their literals, and a literal
-is scored by the words of all names it reaches and by its own shape.
+`name := x`, `name => x`, `a.b["name"] = x`, `name: type = x`, `name type = x`, `name = other = x`) are read in order, also those
+inside strings. A value is a bare word or strings with prefixes, escapes, triple quotes, brackets and concatenation. Names
+that are assigned other names, found by their last part, take over their literals, and a literal is scored by the words
+of all names it reaches and by its own shape or that of the strings joined to it.
 
 Defined cases: a null or empty text has no spans; repeated rows are scanned one by one; an empty table gives no rows;
 `find_secrets` ignores columns other than the id and the text, `redact` keeps them.
@@ -30,10 +32,30 @@ KEYWORD = re.compile(r"passw|secret|token|api_?key", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 
-PAIR = re.compile(
-    r"""(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,80})["']?[\x20\t]*(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*"""
-    r"""(?:"(?P<double>[^"\n]*)"|'(?P<single>[^'\n]*)'|(?P<bare>[^\s"',;(){}\[\]]+))"""
+_NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+(?:\[[^\[\]\n]{0,80}\](?:\.[A-Za-z_][A-Za-z0-9_.-]*+)?)*+"
+_QUOTED = r"""(?:[rRbBuUfF]{1,2}|u8|[rR]\#{1,3}|L|@|\$@?)?["']"""
+# A name, an annotation and the sign of assignment.
+HEAD = re.compile(
+    rf"""(?<![A-Za-z_])(?P<name>{_NAME})(?:\\?["'])?
+    (?:[\x20\t]+(?:\[\]byte|\*?string|str|bytes|text|char|any)(?=[\x20\t]*=)
+      |[\x20\t]*[?!]?:[\x20\t]*[A-Za-z_&*'\[][\w.&*'?|:\x20]{{0,60}}(?:[\[<][^\n=]{{0,60}}[\]>])?[\w?|\x20]{{0,30}}
+       (?=[\x20\t]*=[\x20\t]*(?:{_QUOTED}|[(\[])|[\x20\t]+=[\x20\t]))?
+    [\x20\t]*(?::=|=>|[?+|&]{{0,2}}=(?!=)|:(?![:/]))""",
+    re.VERBOSE | re.ASCII,
 )
+_BODY = r"[^{q}\\\n]*+(?:\\(?s:.)[^{q}\\\n]*+)*+"
+STRING = re.compile(
+    r"""(?:[rRbBuUfF]{1,2}|u8|[rR]\#{1,3}|L|@|\$@?)?(?:"{3}(?P<triple>(?s:[^\\]|\\.)*?)"{3}|'{3}(?P<triple1>(?s:[^\\]|\\.)*?)'{3}"""
+    rf"""|"(?P<double>{_BODY.format(q='"')})"|'(?P<single>{_BODY.format(q="'")})'"""
+    r"""|"(?P<double1>[^"\n]*)"|'(?P<single1>[^'\n]*)')|\\"(?P<escaped>[^"\\\n]*)\\"|\\'(?P<escaped1>[^'\\\n]*)\\'"""
+)
+BARE = re.compile(r"""[^\s"',;(){}\[\]]+""")
+REFERENCE = re.compile(rf"\$?{_NAME}")
+UNKNOWN = re.compile(r"[\w.$]+")
+JOIN = re.compile(r"""\s*\+(?!=)\s*|[\x20\t]*\.{1,2}[\x20\t]*(?=["'])""")
+CHAIN = re.compile(r"[\x20\t]*=(?![=>])")
+BLANK, SPACE = re.compile(r"[\x20\t]*"), re.compile(r"\s*")
+LAST_PART = re.compile(r"[A-Za-z0-9_-]+")
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 # How much a word in a target's name speaks for a secret.
@@ -66,22 +88,107 @@ def literal_score(literal: str) -> float:
     return entropy(literal) / 2 + mixed / 2 + min(len(literal), 32) / 32
 
 
+Spans = tuple[tuple[int, int], ...]
+MANY_PARTS = 64  # a constant of more parts is linked to what it is joined to, not copied into it
+
+
+def last_part(name: str) -> str:
+    """`password` of `self.password` and of `cfg["password"]`."""
+    return (LAST_PART.findall(name) or [""])[-1]
+
+
+def value_at(text: str, at: int, holds: dict[str, Spans], links: list[tuple[Spans, Spans]]) -> list[Spans]:
+    """The values that stand at a place, each as the spans of its parts: one, or the entries of a list.
+
+    Adds to links the last value and each constant it takes in.
+    """
+    found: list[Spans] = []
+    taken: list[Spans] = []
+    parts: Spans = ()
+    depth, begins = 0, True
+    while True:
+        at = (SPACE if depth else BLANK).match(text, at).end()
+        if text[at : at + 1] in ("(", "["):
+            depth, at = depth + 1, at + 1
+            continue
+        if string := STRING.match(text, at):
+            start, end = string.span(string.lastgroup)
+            if string.lastgroup.startswith("triple"):
+                body = string[string.lastgroup]
+                start += len(body) - len(body.removeprefix("\\").lstrip())
+                end = max(start, end - (len(body) - len(body.rstrip())))
+            parts, at = (*parts, (start, end)), string.end()
+        else:
+            name = REFERENCE.match(text, at)
+            known = holds.get(last_part(name[0])) if name else None
+            if known and not BARE.match(text[name.end() : name.end() + 1].replace("+", " ")):
+                at = name.end()
+                taken.append(known)
+                if len(known) <= MANY_PARTS:
+                    parts = (*parts, *known)
+            elif other := (not begins or depth or _joined(text, at)) and UNKNOWN.match(text, at):
+                at = other.end()
+            elif begins and not depth and (bare := BARE.match(text, at)):
+                word = bare[0].rstrip(".")
+                return [((at, at + len(word)),)]
+            else:
+                break
+        begins = False
+        at = (SPACE if depth else BLANK).match(text, at).end()
+        while depth and text[at : at + 1] in (")", "]"):
+            depth -= 1
+            at = (SPACE if depth else BLANK).match(text, at + 1).end()
+        if join := JOIN.match(text, at):
+            at = join.end()
+        elif depth and text[at : at + 1] == ",":
+            found.append(parts)
+            parts, at = (), at + 1
+        elif not STRING.match(text, at):
+            break
+    if taken and not parts:
+        parts = taken.pop()
+    links += [(parts, known) for known in taken]
+    return [spans for spans in (*found, parts) if spans]
+
+
+def _joined(text: str, at: int) -> bool:
+    """Whether a name stands here that a string is added to."""
+    name = UNKNOWN.match(text, at)
+    join = name and JOIN.match(text, name.end())
+    return bool(join and STRING.match(text, join.end()))
+
+
 def assigned_literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose names, their own or those they are passed on to, make them secrets."""
-    holds: dict[str, tuple[int, int]] = {}
-    names: dict[tuple[int, int], float] = {}
-    for pair in PAIR.finditer(text):
-        name = pair["name"]
-        bare = pair["bare"]
-        if bare is not None and bare in holds:
-            span = holds[bare]
-        else:
-            span = pair.span("double" if pair["double"] is not None else "single" if bare is None else "bare")
-            if bare is not None:
-                span = span[0], span[1] - (len(bare) - len(bare.rstrip(".")))
-        holds[name] = span
-        names[span] = max(names.get(span, 0.0), name_score(name))
-    return [span for span, score in names.items() if score >= 2 and score + literal_score(text[slice(*span)]) >= MIN_SCORE]
+    holds: dict[str, Spans] = {}
+    names: dict[Spans, float] = {}
+    links: list[tuple[Spans, Spans]] = []
+    chain: list[str] = []
+    chain_at = at = 0
+    while head := HEAD.search(text, at):
+        at = head.end("name")
+        own = [*chain, head["name"]] if head.start() == chain_at else [head["name"]]
+        chain, chain_at = [], 0
+        begin = BLANK.match(text, head.end()).end()
+        name = REFERENCE.match(text, begin)
+        if name and CHAIN.match(text, name.end()):
+            chain, chain_at = own, begin
+        for spans in (values := value_at(text, begin, holds, links)):
+            names[spans] = max([names.get(spans, 0.0), *map(name_score, own)])
+        if values:
+            for one in own:
+                holds[last_part(one)] = tuple(span for spans in values for span in spans)
+    for spans, known in reversed(links):
+        names[known] = max(names.get(known, 0.0), names.get(spans, 0.0))
+    found: dict[tuple[int, int], None] = {}
+    for spans, score in names.items():
+        if score >= 2:
+            whole = literal_score("".join(text[slice(*span)] for span in spans))
+            for span in spans:
+                shape = max(whole, literal_score(text[slice(*span)]))
+                if span[0] < span[1] and score + shape >= MIN_SCORE:
+                    found[span] = None
+    return list(found)
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:

@@ -166,6 +166,51 @@ def test_secrets(spark):
     assert texts[: len(TEXTS)] == TEXTS and "s3cret" not in texts[-1] and key not in texts[-1]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'cfg["password"] = "@"',
+        "os.environ['DB_PASSWORD'] = '@'",
+        'app.config["db"].password = "@"',
+        'password: str = "@"',
+        'password: Optional[str] = "@"',
+        'const apiKey: string = "@";',
+        'let password: &str = "@";',
+        'var password string = "@"',
+        'char password[] = "@";',
+        'password = b"@"',
+        "password = rb'@'",
+        'password = """@"""',
+        "password = \'\'\'\\\n@\n\'\'\'",
+        'password = "ab\\"@"',
+        'password = ("@")',
+        'password = ["@", "zz9Qw1Lk8Vb2"]',
+        'password = "hN7x" + "Q2vLw9Zt"',
+        'password = ("hN7x"\n    "Q2vLw9Zt")',
+        'password = prefix + "@"',
+        'K = "hN7x"\npassword = K + "Q2vLw9Zt"',
+        'self.K = "@"\npassword = self.K',
+        'class C:\n    K = "@"\npassword = C.K',
+        'cfg["k"] = "@"\npassword = cfg["k"]',
+        'password = k = "@"',
+        'note: set token = "@"',
+        'cmd = "run --password=@ now"',
+        '{\\"password\\": \\"@\\"}',
+    ],
+)
+def test_assignment_forms(text):
+    text = text.replace("@", "hN7xQ2vLw9Zt")
+    literals = "".join(text[a:b] for kind, a, b in secrets.spans_of(text) if kind == "literal")
+    assert "hN7xQ2vLw9Zt" in literals
+    clean = secrets.redacted(text)
+    assert "hN7x" not in clean and "Q2vLw9Zt" not in clean
+
+
+def test_long_constants_pass_on_their_names():
+    text = 'k = "hN7xQ2vLw9Zt"\n' + 'k = k + "y"\n' * 5000 + "password = k\n"
+    assert "hN7xQ2vLw9Zt" in [text[a:b] for kind, a, b in secrets.spans_of(text)]
+
+
 def brute_components(texts):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = []
