@@ -25,11 +25,24 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one of the smallest id; repeated rows of an id once."""
-    found = minhash.near_duplicates(docs, Stage(spark, "minhash"))
-    kept = found.where("kept AND doc_id IS NOT NULL").select("doc_id")
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One document of each near-duplicate group: the one of the smallest id, null ids last; equal rows once.
+
+    Where an id is null or stands for several texts, rows are compared under a key for each id and text.
+    """
+    stage = Stage(spark, "minhash")
+    digest = F.sha2(docs["text"].cast("binary"), 256)
+    texts = stage.write(docs.select(F.col("doc_id").alias("_id"), digest.alias("_digest")).distinct())
+    n, n_ids = texts.agg(F.count("*"), F.count_distinct("_id")).first()
+    if n == n_ids:
+        found = minhash.near_duplicates(docs, stage)
+        return docs.join(found.where("kept").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    # Numbers in the order of the ids, written once so that they stay the same.
+    keys = stage.write(texts.orderBy(F.col("_id").asc_nulls_last(), "_digest").withColumn("_key", F.monotonically_increasing_id()))
+    same = docs["doc_id"].eqNullSafe(keys["_id"]) & digest.eqNullSafe(keys["_digest"])
+    keyed = stage.write(docs.join(keys, same).dropDuplicates(["_key"]).select("_key", *docs.columns))
+    found = minhash.near_duplicates(keyed, stage, id_col="_key")
+    kept = found.where("kept").select(F.col("doc_id").alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").select(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,14 @@ def test_pipeline_stages(spark):
         before = after
     packed = corpus_pipeline.pack_sequences(spark, docs, SMALL).toPandas()
     assert set(packed.doc_id) == {row.doc_id for row in docs.select("doc_id").collect()}
+
+
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(6)]
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (3, texts[0] + " tail"), (None, texts[2]), (None, texts[2])]
+    rows += [(None, texts[3]), (None, texts[4] + " tail"), (9, texts[4]), (8, texts[5]), (5, None)]
+    docs = spark.createDataFrame([(*row, "x") for row in rows], "doc_id bigint, text string, lang string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    wanted = [(7, texts[1]), (3, texts[0] + " tail"), (None, texts[2]), (None, texts[3]), (9, texts[4]), (8, texts[5]), (5, None)]
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(wanted, key=str)
