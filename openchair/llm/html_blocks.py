@@ -8,7 +8,9 @@ from dataclasses import dataclass
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|title|svg|iframe|object|math)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?:svg|math)\b[^>]*/>"
+    r"|<(?P<raw>script|style|title|iframe)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<drawn>svg)\b[^>]*>.*?</(?P=drawn)\s*>"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^<>]*>"
     r"|<[!?][^>]*>",
@@ -19,7 +21,7 @@ _ATTR = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+
 # Fixed values of HTML: elements without content, elements inside a line, and which start tags end an open element.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong "
+    "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark math q s samp small span strike strong "
     "sub sup time tt u var wbr".split()
 )
 _ENDS_P = frozenset(
@@ -82,7 +84,7 @@ def blocks_of(page: str) -> list[Block]:
         at = token.end()
         tag = token["tag"]
         if tag is None:
-            if token["raw"]:
+            if token["raw"] or token["drawn"]:
                 take(" ")
             continue
         tag = tag.lower()

@@ -394,6 +394,17 @@ def test_main_text(spark):
     assert chain.main_text(plain) == "T & x\nOne two.\nThree."
 
 
+def test_blocks_after_and_inside_embedded_elements():
+    def texts(page):
+        return " ".join(block.text for block in blocks_of(page))
+
+    for opening in ('<svg class="i"/>', "<svg>", "<math/>", "<object/>", "<template>", "<noscript>", "<object>"):
+        assert "whole article" in texts(f"{opening}<article><p>whole article</p></article>")
+    assert texts("<p>so <math><mi>x</mi></math> holds</p>").split()[:2] == ["so", "x"]
+    assert "kept" in texts("<article><object data='a'><p>kept</p></object></article>")
+    assert texts("<p>a</p><svg><title>drawn</title></svg><script>code</script><p>b</p>") == "a b"
+
+
 def test_viterbi_is_the_best_labelling():
     chain = html_main.Chain({"in=p": 0.4, "bias": -0.2, "ends=True": 0.5}, np.array([[0.3, -0.8], [-0.5, 0.6]]))
     blocks = blocks_of("<p>One two.</p><div>menu</div><p>Three</p><div>x</div><p>Four five.</p>")
