@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from openchair.llm import byte_bpe, chat, html_main, minhash, packing, pivots, quality, secrets, token_counts, toxicity
+from openchair.llm import whitening
 
 QUERIES = {
     "op1_html_main_text": html_main.op1_html_main_text,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_embedding_dedup": pivots.op9_embedding_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 ORACLE_SQL = {
