@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from openchair.llm import byte_bpe, chat, html_main, minhash, packing, pivots, quality, secrets, token_counts, toxicity
-from openchair.llm import whitening
+from openchair.llm import phrases, whitening
 
 QUERIES = {
     "op1_html_main_text": html_main.op1_html_main_text,
@@ -16,10 +16,12 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_embedding_dedup": pivots.op9_embedding_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
+    "op11_phrase_mining": phrases.op11_phrase_mining,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
 ORACLE_SQL = {
     "op3_chat_formatting": chat.SQL,
     "op4_quality_rules": quality.SQL,
+    "op11_phrase_mining": phrases.SQL,
 }
