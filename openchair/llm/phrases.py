@@ -8,7 +8,7 @@ can only be frequent if its parts are. Words are always counted, so at most one
 
 Tasks ask whether a part was proposed in a bitmap of fixed size. A wrong yes only has one more phrase counted, so results do
 not depend on the bitmap or on the sample; with more phrases than the bitmap can tell apart, less is left uncounted.
-Counts are summed by phrase with map-side combining. Every table beyond that holds frequent phrases only.
+Counts are summed in blocks of text, then by phrase. Every table beyond that holds frequent phrases only.
 
 Text: A to Z in lower case, cut into pieces at `[.,;:!?` and 0x0A to 0x0D`]`, pieces into words at spaces and tabs.
 
@@ -19,6 +19,7 @@ says; empty tables give no rows; other columns are ignored. A text is tokenized
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -42,6 +43,7 @@ FILTER_BITS = 1 << 27
 UNKNOWN = "und"
 _SHARES = 64
 _BLOCK_CHARS = 4_000_000
+_WORDS_HELD = 300_000
 _MARK = b"\xff"  # not in UTF-8
 _LOWER = bytearray(range(256))
 _LOWER[65:91] = range(97, 123)
@@ -121,10 +123,6 @@ def _all(hashes: np.ndarray) -> np.ndarray:
     return np.ones(len(hashes), bool)
 
 
-def _none(hashes: np.ndarray) -> np.ndarray:
-    return np.zeros(len(hashes), bool)
-
-
 def count_block(texts: list[str], lang: str, longest: int, known, before) -> Iterator[tuple]:
     """(size, phrases, counts, proposed) of the texts, for phrases whose parts are known but were not all known before.
 
@@ -135,69 +133,95 @@ def count_block(texts: list[str], lang: str, longest: int, known, before) -> Ite
     listed = encoded.dictionary.to_pylist()
     n = len(listed)
     at = encoded.indices.to_numpy().astype(np.int64)
-    blank = np.array([word == b"" for word in listed], bool)
-    at = at[~blank[at]]
+    if b"" in listed:
+        at = at[at != listed.index(b"")]
     is_word = np.array([word not in (b"", _MARK) for word in listed], bool)
     words = pc.cast(pa.array([w if ok else b"" for w, ok in zip(listed, is_word)], pa.binary()), pa.string())
     word_hash = _word_hashes(lang, listed)
-    first = before is None
-    if first:
-        before = _none
+    # For words, then for each position: whether the phrase that starts there is proposed, and whether it was before.
+    proposed = known(word_hash) & is_word
+    earlier = before(word_hash) & is_word if before else np.zeros(n, bool)
+    if before is None:
         chosen = np.flatnonzero(is_word)
         counts = np.bincount(at, minlength=n)[chosen]
         yield 0, pa.array([""]), np.array([counts.sum()]), np.array([True])
-        yield 1, words.take(pa.array(chosen)), counts, known(word_hash[chosen])
-    # By position: number of the phrase that starts there, whether it is proposed, and whether it was before.
-    code, hashes, parts = at, word_hash, np.arange(n)[:, None]
-    passes, passed = (known(word_hash) & is_word)[at], (before(word_hash) & is_word)[at]
+        yield 1, words.take(pa.array(chosen)), counts, proposed[chosen]
+    hashes, passes, passed = word_hash[at], proposed[at], earlier[at]
     for size in range(2, longest + 1):
-        if len(code) < 2:
+        if len(at) < size:
             return
         counted, done = passes[:-1] & passes[1:], passed[:-1] & passed[1:]
-        starts = np.flatnonzero(counted)
-        keys = code[starts] * n + at[starts + size - 1]
-        unique, where, inverse, counts = np.unique(keys, return_index=True, return_inverse=True, return_counts=True)
-        left, right = unique // n, unique % n
-        hashes, parts = _longer(hashes[left], word_hash[right]), np.column_stack([parts[left], right])
-        proposed, earlier = known(hashes), before(hashes)
-        new = np.flatnonzero(~done[starts[where]])
-        phrases = pc.binary_join_element_wise(*[words.take(pa.array(parts[new, i])) for i in range(size)], " ")
-        yield size, phrases, counts[new], proposed[new]
-        code = np.zeros(len(counted), np.int64)
-        code[starts] = inverse
-        passes, passed = np.zeros(len(counted), bool), np.zeros(len(counted), bool)
-        passes[starts], passed[starts] = proposed[inverse], earlier[inverse]
-        passed &= done
+        new = np.flatnonzero(counted & ~done)
+        parts, counts = _distinct(at, new, size, n)
+        own = word_hash[parts[0]]
+        for part in parts[1:]:
+            own = _longer(own, word_hash[part])
+        phrases = pc.binary_join_element_wise(*[words.take(pa.array(part)) for part in parts], " ")
+        yield size, phrases, counts, known(own)
+        if size < longest:
+            live = np.flatnonzero(counted)
+            hashes = _longer(hashes[:-1], word_hash[at[size - 1 :]])
+            passes, passed = np.zeros(len(counted), bool), np.zeros(len(counted), bool)
+            passes[live] = known(hashes[live])
+            if before:
+                passed[live] = before(hashes[live])
+                passed &= done
+
+
+def _distinct(at: np.ndarray, starts: np.ndarray, size: int, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The different runs of `size` numbers below n that start at the given places, column by column, and their counts."""
+    if n**size < 1 << 63:
+        keys = at[starts]
+        for i in range(1, size):
+            keys = keys * n + at[starts + i]
+        keys, counts = np.unique(keys, return_counts=True)
+        return [keys // n**i % n for i in reversed(range(size))], counts
+    runs, counts = np.unique(np.column_stack([at[starts + i] for i in range(size)]), axis=0, return_counts=True)
+    return list(runs.T), counts
 
 
 def _counts(rows: DataFrame, longest: int, known: Proposed | None, before: Proposed | None) -> DataFrame:
     """lang, size, phrase, n and proposed over all rows; with nothing known, all phrases."""
     context = rows.sparkSession.sparkContext
     shared = [context.broadcast(p.bits) if p else None for p in (known, before)]
-    first = before is None
+
+    def batch_of(lang: str, size: int, phrases: pa.Array, counts: Iterable[int], proposed: np.ndarray) -> pa.RecordBatch:
+        columns = [phrases, pa.array(counts, pa.int64()), pa.array(proposed)]
+        columns = [pa.repeat(lang, len(phrases)), pa.repeat(pa.scalar(size, pa.int8()), len(phrases)), *columns]
+        return pa.RecordBatch.from_arrays(columns, names=["lang", "size", "phrase", "n", "proposed"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = [Proposed(bits.value).has if bits else None for bits in shared]
+        has_known, has_before = [Proposed(bits.value).has if bits else None for bits in shared]
+        single: dict[str, Counter] = {}  # words recur from block to block
+
+        def of_words() -> Iterator[pa.RecordBatch]:
+            for lang, counts in single.items():
+                proposed = (has_known or _all)(_word_hashes(lang, [word.encode() for word in counts]))
+                yield batch_of(lang, 1, pa.array(list(counts), pa.string()), list(counts.values()), proposed)
+            single.clear()
+
         for batch, texts in blocks(batches, most_rows=100_000, most_chars=_BLOCK_CHARS):
             by_lang: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), texts):
                 by_lang.setdefault(lang, []).append(text)
             for lang, own in by_lang.items():
-                for size, phrases, counts, proposed in count_block(own, lang, longest, tests[0] or _all, tests[1]):
-                    columns = [
-                        pa.array(np.full(len(counts), size, np.int8)),
-                        phrases,
-                        pa.array(counts.astype(np.int64)),
-                        pa.array(proposed),
-                    ]
-                    names = ["lang", "size", "phrase", "n", "proposed"]
-                    yield pa.RecordBatch.from_arrays([pa.repeat(lang, len(counts)), *columns], names=names)
-
-    assert known is not None or first
+                for size, phrases, counts, proposed in count_block(own, lang, longest, has_known or _all, has_before):
+                    if size == 1:
+                        held = single.setdefault(lang, Counter())
+                        for word, count in zip(phrases.to_pylist(), counts.tolist()):
+                            held[word] += count
+                    else:
+                        yield batch_of(lang, size, phrases, counts, proposed)
+            if sum(map(len, single.values())) > _WORDS_HELD:
+                yield from of_words()
+        yield from of_words()
+
     found = rows.select("lang", "text").mapInArrow(
         run, "lang string, size tinyint, phrase string, n bigint, proposed boolean"
     )
-    return found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"), F.max("proposed").alias("proposed"))
+    # Each block has summed its own occurrences, so no phrase has more rows than there are blocks.
+    keys = ("lang", "size", "phrase")
+    return found.repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("n"), F.max("proposed").alias("proposed"))
 
 
 def frequent_phrases(docs: DataFrame, stage: Stage, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
