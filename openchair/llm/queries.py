@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from openchair.llm import byte_bpe, chat, html_main, minhash, packing, pivots, quality, secrets, token_counts, toxicity
-from openchair.llm import phrases, whitening
+from openchair.llm import languages, phrases, whitening
 
 QUERIES = {
     "op1_html_main_text": html_main.op1_html_main_text,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_embedding_dedup": pivots.op9_embedding_dedup,
     "op10_best_fit_packing": packing.op10_best_fit_packing,
     "op11_phrase_mining": phrases.op11_phrase_mining,
+    "op12_language_id": languages.op12_language_id,
     "op13_embedding_whitening": whitening.op13_embedding_whitening,
 }
 
