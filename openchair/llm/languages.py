@@ -20,10 +20,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -80,22 +80,41 @@ def grams(word: str) -> Iterator[str]:
             yield marked[i : i + size]
 
 
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+
+
+def _keys(points: np.ndarray, size: int) -> np.ndarray:
+    """One number for the characters at each place and the size - 1 after it, 21 bits each; runs over the end are odd."""
+    keys = points.copy()
+    for i in range(1, size):
+        keys[:-i] = keys[:-i] << np.uint64(21) | points[i:]
+    return keys
+
+
 @dataclass(frozen=True)
 class Model:
     """Languages by name; a row of logarithms for each run of characters; which languages use which script."""
 
     names: tuple[str, ...] = ()
-    places: dict[str, int] | None = None
-    weights: np.ndarray | None = None  # the last row is for runs never seen
+    keys: np.ndarray | None = None  # of the runs, in order
+    weights: np.ndarray | None = None  # the last two rows are for runs never seen, and for none
     scripts: dict[str, np.ndarray] | None = None
 
     def scores(self, words: list[str]) -> list[np.ndarray]:
         """For each word its evidence for every language, at most zero; none from words without a letter."""
-        rest = len(self.weights) - 1
-        runs = [list(grams(word)) for word in words]
-        sizes = np.array([len(r) for r in runs])
-        at = np.fromiter((self.places.get(g, rest) for g in chain.from_iterable(runs)), np.int64, int(sizes.sum()))
-        total = np.add.reduceat(self.weights[at], np.cumsum(sizes) - sizes, axis=0)
+        points = _points("".join(f"<{word}>" for word in words))
+        sizes = np.array([len(word) + 2 for word in words])
+        begins = np.cumsum(sizes) - sizes
+        left = np.repeat(begins + sizes, sizes) - np.arange(len(points))  # characters of the word from here on
+        total = np.zeros((len(words), len(self.names)))
+        for size in range(1, GRAM + 1):
+            keys = _keys(points, size)
+            at = np.searchsorted(self.keys, keys)
+            at[at == len(self.keys)] = 0
+            at[self.keys[at] != keys] = len(self.weights) - 2
+            at[left < size] = len(self.weights) - 1
+            total += np.add.reduceat(self.weights[at], begins, axis=0)
         total = np.maximum(total - total.max(axis=1, keepdims=True), -MOST_EVIDENCE)
         for i, word in enumerate(words):
             if not any(map(str.isalpha, word)):
@@ -114,22 +133,26 @@ def fit(counts: Iterable[tuple[str, str, int]]) -> Model:
     names = tuple(sorted(by_lang))
     if not names:
         return Model()
-    places = {g: i for i, g in enumerate(sorted(set(chain.from_iterable(by_lang.values()))))}
+    found = {g: int(_keys(_points(g), len(g))[0]) for g in chain.from_iterable(by_lang.values()) if g}
+    runs = sorted(found.items(), key=lambda item: item[1])
+    places = {g: i for i, (g, _) in enumerate(runs)}
     sizes = np.array([len(g) for g in places] + [0])
-    weights = np.zeros((len(places) + 1, len(names)))
+    weights = np.zeros((len(places) + 2, len(names)))
     uses: dict[str, np.ndarray] = {}
     for j, name in enumerate(names):
         own = np.full(len(places) + 1, SMOOTHING)
         for gram, n in by_lang[name].items():
-            own[places[gram]] += n
+            if gram:
+                own[places[gram]] += n
             if len(gram) == 1 and gram.isalpha():
                 uses.setdefault(script(gram), np.zeros(len(names)))[j] += n
         totals = np.bincount(sizes, own, minlength=GRAM + 1)
         totals[0] = totals[1:].max()
-        weights[:, j] = np.log(own / np.maximum(totals[sizes], SMOOTHING))
+        weights[:-1, j] = np.log(own / np.maximum(totals[sizes], SMOOTHING))
     letters = sum(uses.values())
     able = {name: n / np.maximum(letters, 1) >= SCRIPT_SHARE for name, n in uses.items()}
-    return Model(names, places, weights, {name: who for name, who in able.items() if who.any()})
+    keys = np.array([key for _, key in runs] or [0], np.uint64)
+    return Model(names, keys, weights, {name: who for name, who in able.items() if who.any()})
 
 
 def label_words(evidence: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
@@ -229,13 +252,18 @@ class Labeller:
         if not self.model.names:
             return [Labelled([], nothing) for _ in texts]
         words = [words_of(text) for text in texts]
-        known = self.cache.grouped(words)
-        letters = [np.array([n for n, _ in row]) for row in known]
-        shape = (0, len(self.model.names))
-        labels = label_words([np.array([e for _, e in row]) if row else np.zeros(shape) for row in known])
+        numbers: defaultdict[str, int] = defaultdict(count().__next__)
+        at = np.fromiter(map(numbers.__getitem__, chain.from_iterable(words)), np.int64)
+        described = self.cache.many(list(numbers))  # each word once a block
+        scores = np.array([e for _, e in described]).reshape(-1, len(nothing))
+        sizes = np.array([n for n, _ in described], np.int64)
+        cuts = np.cumsum([len(row) for row in words])[:-1]
+        own = np.split(at, cuts)
+        labels = label_words([scores[row] for row in own])
         out = []
-        for text, counted, found in zip(texts, letters, labels):
-            weight = np.bincount(found, counted, minlength=shape[1]) if len(found) else nothing
+        for text, row, found in zip(texts, own, labels):
+            counted = sizes[row]
+            weight = np.bincount(found, counted, minlength=len(nothing)) if len(found) else nothing
             spans = self._spans(text, counted, found) if places and weight.any() else []
             out.append(Labelled(spans, weight))
         return out

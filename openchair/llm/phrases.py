@@ -3,8 +3,9 @@
 A sample of the rows proposes words and phrases that may be frequent. A full pass then counts, exactly, every phrase whose
 parts (itself less its first or its last word) were all proposed: these are the proposed phrases and their negative border.
 A border phrase that turns out frequent was missed by the sample, so phrases that hold it may have gone uncounted; it is
-proposed as well, and another pass counts what that adds. A pass without such a failure closes the search, since a phrase
-can only be frequent if its parts are. Words are always counted, so at most one pass for each length follows the first.
+proposed as well, and another pass counts what that adds; there, a phrase counted for the first time passes as proposed, so
+that what extends it is counted along with it. A pass without such a failure closes the search, since a phrase can only be
+frequent if its parts are.
 
 Tasks ask whether a part was proposed in a bitmap of fixed size. A wrong yes only has one more phrase counted, so results do
 not depend on the bitmap or on the sample; with more phrases than the bitmap can tell apart, less is left uncounted.
@@ -42,7 +43,7 @@ KEPT = 2000
 FILTER_BITS = 1 << 27
 UNKNOWN = "und"
 _SHARES = 64
-_BLOCK_CHARS = 4_000_000
+_BLOCK_CHARS = 6_000_000
 _WORDS_HELD = 300_000
 _MARK = b"\xff"  # not in UTF-8
 _LOWER = bytearray(range(256))
@@ -127,8 +128,9 @@ def count_block(texts: list[str], lang: str, longest: int, known, before) -> Ite
     """(size, phrases, counts, proposed) of the texts, for phrases whose parts are known but were not all known before.
 
     `known` and `before` tell for hashes whether a phrase was proposed. Size 0 stands for the number of words. Words are
-    given on the first pass only, which has nothing known before.
+    given on the first pass only, which has nothing known before. On a later pass all phrases it counts pass as proposed.
     """
+    first = before is None
     encoded = pa.array(tokens(texts), pa.binary()).dictionary_encode()
     listed = encoded.dictionary.to_pylist()
     n = len(listed)
@@ -141,7 +143,7 @@ def count_block(texts: list[str], lang: str, longest: int, known, before) -> Ite
     # For words, then for each position: whether the phrase that starts there is proposed, and whether it was before.
     proposed = known(word_hash) & is_word
     earlier = before(word_hash) & is_word if before else np.zeros(n, bool)
-    if before is None:
+    if first:
         chosen = np.flatnonzero(is_word)
         counts = np.bincount(at, minlength=n)[chosen]
         yield 0, pa.array([""]), np.array([counts.sum()]), np.array([True])
@@ -157,15 +159,16 @@ def count_block(texts: list[str], lang: str, longest: int, known, before) -> Ite
         for part in parts[1:]:
             own = _longer(own, word_hash[part])
         phrases = pc.binary_join_element_wise(*[words.take(pa.array(part)) for part in parts], " ")
-        yield size, phrases, counts, known(own)
+        yield size, phrases, counts, known(own) if first else np.ones(len(own), bool)
         if size < longest:
             live = np.flatnonzero(counted)
             hashes = _longer(hashes[:-1], word_hash[at[size - 1 :]])
             passes, passed = np.zeros(len(counted), bool), np.zeros(len(counted), bool)
             passes[live] = known(hashes[live])
-            if before:
+            if not first:
                 passed[live] = before(hashes[live])
                 passed &= done
+                passes[new] = True
 
 
 def _distinct(at: np.ndarray, starts: np.ndarray, size: int, n: int) -> tuple[list[np.ndarray], np.ndarray]:
