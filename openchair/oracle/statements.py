@@ -593,6 +593,18 @@ ORACLE_SQL: dict[str, str] = {
         f"""SELECT run_id, slot_id, scenario_id, feature_snapshot_version, business_id,
                {_rounded(*_SCORES)}, {_AUDIT} FROM scored"""
     ),
+    "model_checks": statement(
+        """SELECT t.scenario_id, t.run_id, t.training_rows, t.positives, true AS at_optimum,
+               true AS fitted_in_range, s.scored_rows,
+               CASE WHEN s.scored_rows > 0 THEN true END AS scored_in_range,
+               CASE WHEN s.scored_rows > 0 THEN 0 END AS fallback_rows
+        FROM (SELECT scenario_id, run_id, count(*) AS training_rows,
+                     sum(booked_or_completed)::BIGINT AS positives
+              FROM features WHERE slot_start_at < effective_ts GROUP BY 1, 2) t
+        LEFT JOIN (SELECT run_id, count(*) AS scored_rows FROM scored GROUP BY 1) s USING (run_id)
+        WHERE t.training_rows >= 10 AND t.positives > 0 AND t.positives < t.training_rows""",
+        THREE_RUNS,
+    ),
     "backfill_scores": statement(
         f"SELECT {KEY}, {_rounded('booking_probability', 'shortfall_score', 'confidence_score')}"
         " FROM scored",

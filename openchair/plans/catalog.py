@@ -40,7 +40,7 @@ BACKFILL = (
 )
 SOURCE_SYSTEM, SOURCE_RUN, CONFIG_HASH = "orders_feed", "feed_001", "cfg_default"
 DEFAULTS = Settings()
-# The fitted model has no SQL twin, so checked queries take the constant-rate path.
+# Fitted weights have no SQL twin, so queries compared value by value take the constant-rate path.
 CONSTANT_RATE = replace(DEFAULTS, use_model=False)
 # Rules set tight enough that every one of them removes steps somewhere.
 STRICT = replace(CONSTANT_RATE, excluded_services=("svc_5",), price_floor_pct=0.85)
@@ -423,6 +423,12 @@ def score_model(spark, sf_dir):
     return _rounded(scoring.scoring_outputs(_job(spark, sf_dir, DEFAULTS).scored))
 
 
+def model_checks(spark, sf_dir):
+    """The fitted models of three runs: rows used, and whether each is at its optimum."""
+    job = _job(spark, sf_dir, DEFAULTS, runs=BACKFILL)
+    return scoring.model_checks(job.training, job.scored, job.models, job.settings)
+
+
 def backfill_scores(spark, sf_dir):
     job = _job(spark, sf_dir, runs=BACKFILL)
     return _pick(
@@ -506,6 +512,11 @@ def recommendations(spark, sf_dir):
     return _rounded(explorer.recommendations(_job(spark, sf_dir).decisions))
 
 
+def recommendations_model(spark, sf_dir):
+    """The list with the fitted model, as a user gets it without settings."""
+    return _rounded(explorer.recommendations(_job(spark, sf_dir, DEFAULTS).decisions))
+
+
 def recommendations_filtered(spark, sf_dir):
     decisions = _job(spark, sf_dir).decisions
     return _rounded(
@@ -616,6 +627,7 @@ QUERIES: dict[str, Query] = {
     "business_calibration": business_calibration,
     "score_fallback": score_fallback,
     "score_model": score_model,
+    "model_checks": model_checks,
     "backfill_scores": backfill_scores,
     "decision_input": decision_input,
     "eligible_actions": eligible_actions,
@@ -629,6 +641,7 @@ QUERIES: dict[str, Query] = {
     "backfill_evaluation": backfill_evaluation,
     "similar_slot_consistency": similar_slot_consistency,
     "recommendations": recommendations,
+    "recommendations_model": recommendations_model,
     "recommendations_filtered": recommendations_filtered,
     "recommendations_of_business": recommendations_of_business,
     "recommendations_explored": recommendations_explored,

@@ -12,7 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from openchair.operators import baselines, features, recommend, scoring, snapshot, underbooking
+from openchair.operators import baselines, features, logistic, recommend, scoring, snapshot, underbooking
 from openchair.params import RUN_KEY, RunSpec, Settings
 from openchair.plans.staging import staged
 
@@ -92,14 +92,15 @@ class SnapshotJob:
             self.scoring_set, self.training_summary, self.settings
         )
 
+    @cached_property
+    def models(self) -> dict[logistic.Key, logistic.Logistic]:
+        return scoring.fit_models(self.training, self.training_summary, self.settings)
+
     @cached_property
     def scored(self) -> DataFrame:
         rows = self.scoring_set
-        models = scoring.fit_models(
-            self.training, self.training_summary, self.runs, self.settings
-        )
-        if models:
-            rows = scoring.with_model_probability(rows, models)
+        if self.models:
+            rows = scoring.with_model_probability(rows, self.models)
         return scoring.add_scores(rows, self.calibrations)
 
     @cached_property
