@@ -1,23 +1,28 @@
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from openchair.operators.history import event_history
-from openchair.params import SLOT_KEY
+from openchair.params import slot_key
 from openchair.schemas import TERMINAL_EVENT_TYPES
 
 
 def join_history(slots: DataFrame, events: DataFrame) -> DataFrame:
     """Slots with their event history. Both sides are unique per slot, so no key is hot."""
-    return slots.join(event_history(events), list(SLOT_KEY), "left")
+    return slots.join(event_history(events), list(slot_key(events.columns)), "left")
+
+
+def unavailable_at() -> Column:
+    """When a slot stops being bookable: its first end, standing booking or start. No snapshot time enters."""
+    ends = [F.col(f"first_{t}_at") for t in TERMINAL_EVENT_TYPES]
+    return F.least(*ends, F.col("effective_booking_at"), F.col("slot_start_at"))
 
 
 def derive_availability(slots: DataFrame) -> DataFrame:
     """``unavailable_at`` and ``current_status`` from the history columns of ``join_history``."""
     start, snapshot = F.col("slot_start_at"), F.col("effective_ts")
     latest = F.col("latest_event_type")
-    ends = [F.col(f"first_{t}_at") for t in TERMINAL_EVENT_TYPES]
     status = (
         F.when((latest == "canceled") & (start > snapshot), "open")
         .when(latest.isNotNull(), latest)
@@ -26,7 +31,7 @@ def derive_availability(slots: DataFrame) -> DataFrame:
     )
     return slots.withColumns(
         {
-            "unavailable_at": F.least(*ends, F.col("effective_booking_at"), start),
+            "unavailable_at": unavailable_at(),
             "current_status": status,
         }
     )

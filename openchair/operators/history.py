@@ -6,6 +6,9 @@ number of events of a slot. They settle almost everything: first booking, comple
 first and latest type, and which bookings a cancellation undid. Two cases stay open and
 are read once more, for their slots only: two types at the same first or last time
 (the event id decides) and a booking made again after an earlier one was canceled.
+
+Nothing here depends on a snapshot time, so a feed without run columns is aggregated once
+for all snapshots that look at it, and read as of each of them afterwards.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from openchair.operators.joins import FANOUT, salt_copies, salt_of
-from openchair.params import SLOT_KEY
+from openchair.params import slot_key
 from openchair.schemas import EVENT_TYPES
 
 
@@ -38,8 +41,9 @@ def event_extremes(events: DataFrame) -> DataFrame:
 
     # The key is required. Saying so keeps the plan of this aggregate equal in the branches
     # that use it, so that its shuffle is computed once and reused.
-    keyed = events.where(" AND ".join(f"{c} IS NOT NULL" for c in SLOT_KEY))
-    extremes = keyed.groupBy(*SLOT_KEY).agg(
+    key = slot_key(events.columns)
+    keyed = events.where(" AND ".join(f"{c} IS NOT NULL" for c in key))
+    extremes = keyed.groupBy(*key).agg(
         *[F.expr(of_type("min", t, _first(t))) for t in EVENT_TYPES],
         *[F.expr(of_type("max", t, _last(t))) for t in EVENT_TYPES],
     )
@@ -70,22 +74,23 @@ UNDECIDED = (
 
 def _reread(events: DataFrame, undecided: DataFrame, fanout: int) -> DataFrame:
     """Look at the single events of the undecided slots, salted so that no slot is one task."""
+    key = slot_key(events.columns)
     limits = undecided.selectExpr(
-        *SLOT_KEY,
+        *key,
         "last_canceled_at",
         "first_event_at",
         "latest_event_at",
         f"{salt_copies(fanout)} AS _salt",
     )
     found = events.selectExpr(
-        *SLOT_KEY,
+        *key,
         "event_id",
         "event_type",
         "event_at",
         f"{salt_of(['event_id'], fanout)} AS _salt",
-    ).join(limits, [*SLOT_KEY, "_salt"])
+    ).join(limits, [*key, "_salt"])
     stands = "event_type = 'booked' AND event_at >= last_canceled_at"
-    return found.groupBy(*SLOT_KEY).agg(
+    return found.groupBy(*key).agg(
         F.expr(f"min(event_at) FILTER (WHERE {stands}) AS _rebooked_at"),
         F.expr(
             "min_by(event_type, event_id) FILTER (WHERE event_at = first_event_at) AS _first_type"
@@ -107,7 +112,7 @@ def event_history(events: DataFrame, fanout: int = FANOUT) -> DataFrame:
     extremes = event_extremes(events)
     reread = _reread(events, extremes.where(UNDECIDED), fanout)
     never_undone = "last_canceled_at IS NULL OR first_booked_at >= last_canceled_at"
-    return extremes.join(reread, list(SLOT_KEY), "left").selectExpr(
+    return extremes.join(reread, list(slot_key(events.columns)), "left").selectExpr(
         *extremes.columns,
         f"IF({UNDECIDED}, _first_type, {_type_at('first_event_at', FIRST_TIMES)})"
         " AS first_event_type",
@@ -119,17 +124,18 @@ def event_history(events: DataFrame, fanout: int = FANOUT) -> DataFrame:
 
 def effective_bookings(events: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """The booked events that no later cancellation of their slot undid."""
+    key = slot_key(events.columns)
     last_cancel = (
         events.where("event_type = 'canceled'")
-        .groupBy(*SLOT_KEY)
+        .groupBy(*key)
         .agg(F.max("event_at").alias("last_canceled_at"))
         .selectExpr("*", f"{salt_copies(fanout)} AS _salt")
     )
     booked = events.where("event_type = 'booked'").selectExpr(
-        *SLOT_KEY, "event_id", "event_at", f"{salt_of(['event_id'], fanout)} AS _salt"
+        *key, "event_id", "event_at", f"{salt_of(['event_id'], fanout)} AS _salt"
     )
     return (
-        booked.join(last_cancel, [*SLOT_KEY, "_salt"], "left")
+        booked.join(last_cancel, [*key, "_salt"], "left")
         .where("last_canceled_at IS NULL OR last_canceled_at <= event_at")
-        .select(*SLOT_KEY, "event_id", "event_at")
+        .select(*key, "event_id", "event_at")
     )

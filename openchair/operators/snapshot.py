@@ -2,17 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from openchair.functions import calendar, numbers
+from openchair.functions.calendar import instant
 from openchair.operators.availability import derive_availability, join_history
 from openchair.operators.history import event_history
-from openchair.params import SLOT_KEY, Settings
+from openchair.params import SLOT_KEY, RunSpec, Settings
 
 HOUR_MICROS = 3_600_000_000
 
 
+def assign_runs(df: DataFrame, runs: Sequence[RunSpec]) -> DataFrame:
+    """Every row once per run. The runs are a short list of the caller, no table.
+
+    The run columns come out of an explode, also for a single run. As plain literals they
+    would be folded out of some join and grouping keys but not out of others, and a table
+    grouped by run and slot would be shuffled again before its join by slot. Rows of a feed
+    are given their runs as late as possible, after everything that is the same for all runs.
+    """
+    described = [
+        F.struct(
+            F.lit(r.scenario_id).alias("scenario_id"),
+            F.lit(r.run_id).alias("run_id"),
+            instant(str(r.effective_ts)).alias("effective_ts"),
+        )
+        for r in runs
+    ]
+    return df.select("*", F.explode(F.array(*described)).alias("_run")).select(
+        *df.columns, "_run.*"
+    )
+
+
 def visible_slots(slots: DataFrame) -> DataFrame:
     """Slots published by the snapshot, future starts included."""
     return slots.where(F.col("visible_at") <= F.col("effective_ts"))
@@ -60,17 +84,20 @@ def trailing_window(slots: DataFrame, days: int) -> DataFrame:
     return slots.where(inside)
 
 
-def add_calendar(slots: DataFrame, settings: Settings) -> DataFrame:
+def add_cohort_key(slots: DataFrame, settings: Settings) -> DataFrame:
     start = F.col("slot_start_at")
-    hours = calendar.hours_between(F.col("effective_ts"), start)
     return slots.withColumns(
         {
             "day_of_week": calendar.day_name(start),
             "time_of_day_bucket": calendar.time_bucket(start, settings.bucket_boundaries),
             "service_type": F.col("service_id"),
-            "hours_until_slot": hours,
         }
-    ).withColumns(
+    )
+
+
+def add_calendar(slots: DataFrame, settings: Settings) -> DataFrame:
+    hours = calendar.hours_between(F.col("effective_ts"), F.col("slot_start_at"))
+    return add_cohort_key(slots, settings).withColumn("hours_until_slot", hours).withColumns(
         {
             "days_until_slot": F.col("hours_until_slot") / F.lit(24),
             "effective_lead_time_band": calendar.lead_time_band(F.col("hours_until_slot")),
@@ -154,14 +181,37 @@ BASE_COLUMNS = (
 )
 
 
+def is_feed(slots: DataFrame) -> bool:
+    """Whether the rows are given once for all runs."""
+    return "effective_ts" not in slots.columns
+
+
+def known_at_runs(slots: DataFrame, events: DataFrame, runs: Sequence[RunSpec]) -> DataFrame:
+    """Visible slots of every run with their event history.
+
+    A feed is aggregated and joined once, without slots that no run sees yet; only the joined
+    rows are multiplied by the runs, so events and slots are shuffled once for all snapshots.
+    """
+    if not is_feed(slots):
+        return join_history(visible_slots(slots), events)
+    latest = instant(str(max(run.effective_ts for run in runs)))
+    joined = join_history(slots.where(F.col("visible_at") <= latest), events)
+    return visible_slots(assign_runs(joined, runs))
+
+
 def snapshot_base(
-    slots: DataFrame, events: DataFrame, settings: Settings, derive: bool = True
+    slots: DataFrame,
+    events: DataFrame,
+    settings: Settings,
+    derive: bool = True,
+    runs: Sequence[RunSpec] = (),
 ) -> DataFrame:
     """One row per visible slot with calendar, availability and as-of event columns.
 
-    Pass ``derive=False`` for slots whose availability columns are already stored.
+    Pass ``derive=False`` for slots whose availability columns are already stored, and the runs
+    with a feed, whose rows have none.
     """
-    known = join_history(visible_slots(slots), events)
+    known = known_at_runs(slots, events, runs)
     if derive:
         known = derive_availability(known)
     known = known.withColumn(

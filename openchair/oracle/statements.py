@@ -455,6 +455,60 @@ _COHORTS = f"""
 _AUDIT = f"""training_row_count, {_rounded('positive_label_rate')}, used_fallback,
          label_definition, feature_contract_hash, model_version"""
 
+# Each day looks at the slots anew, with the events it has seen.
+_DAILY = """
+  days AS (
+    SELECT 'scn_main' AS scenario_id, 'day_' || strftime(ts, '%Y%m%d') AS run_id, ts AS effective_ts
+    FROM (SELECT unnest(generate_series(TIMESTAMP '1997-06-02', TIMESTAMP '1998-06-01', INTERVAL 1 DAY)) AS ts)
+  ), firsts AS (
+    SELECT slot_id, min(event_at) FILTER (WHERE event_type = 'booked') AS booked_at,
+           min(event_at) FILTER (WHERE event_type = 'completed') AS completed_at,
+           min(event_at) AS seen_at, arg_min(event_type, (event_at, event_id)) AS seen_type
+    FROM booking_events GROUP BY 1
+  ), dated AS (
+    SELECT k.slot_id, k.provider_id, k.business_id, k.service_id AS service_type, k.visible_at, k.slot_start_at,
+           k.unavailable_at, f.* EXCLUDE (slot_id)
+    FROM known_slots k LEFT JOIN firsts f USING (slot_id)
+  ), daily AS (
+    SELECT days.*, dated.*, coalesce(booked_at <= effective_ts, false) AS booked,
+           coalesce(completed_at <= effective_ts, false) AS completed
+    FROM days JOIN dated ON visible_at <= effective_ts
+  )
+"""
+
+
+def _daily(select: str) -> str:
+    body = statement("SELECT * FROM known_slots, booking_events")
+    return body[: body.rindex("\nSELECT")] + "," + _DAILY + select
+
+
+def _daily_window(days: int) -> str:
+    inside = f"BETWEEN effective_ts - INTERVAL {days} DAY AND effective_ts"
+    used = f"avg((booked OR completed)::INT) FILTER (WHERE slot_start_at {inside})"
+    return f"""{r(f'coalesce({used}, 0.0)')} AS provider_utilization_{days}d,
+           (count(*) FILTER (WHERE booked_at {inside}))::DOUBLE AS booking_volume_{days}d"""
+
+
+DAILY_WINDOWS = _daily(
+    f"SELECT scenario_id, run_id, provider_id, {', '.join(_daily_window(d) for d in (7, 14, 28))}"
+    " FROM daily GROUP BY 1, 2, 3"
+)
+DAILY_FILL = _daily(
+    """SELECT scenario_id, run_id, business_id, service_type, count(*) AS n_slots,
+           count(*) FILTER (WHERE booked) AS n_booked, count(*) FILTER (WHERE completed) AS n_completed,
+           count(*) FILTER (WHERE slot_start_at >= effective_ts) AS n_future,
+           count(*) FILTER (WHERE seen_at <= effective_ts AND seen_type = 'canceled') AS n_first_cancel,
+           count(*) FILTER (WHERE seen_at <= effective_ts AND seen_type = 'no_show') AS n_first_no_show,
+           count(*) FILTER (WHERE seen_at <= effective_ts AND seen_type = 'rescheduled') AS n_first_reschedule,
+           coalesce(sum(CASE WHEN booked THEN date_diff('microsecond', booked_at, slot_start_at) END), 0)::BIGINT
+             AS lead_micros,
+           sum(CASE WHEN least(coalesce(unavailable_at, slot_start_at), effective_ts) <= visible_at THEN 3600000000
+                    ELSE date_diff('microsecond', visible_at,
+                                   least(coalesce(unavailable_at, slot_start_at), effective_ts)) END)::BIGINT
+             AS active_micros
+       FROM daily GROUP BY 1, 2, 3, 4"""
+)
+
 ORACLE_SQL: dict[str, str] = {
     "scan_slots": statement(
         f"SELECT slot_id, scenario_id, run_id, provider_id, slot_start_at,"
@@ -531,6 +585,8 @@ ORACLE_SQL: dict[str, str] = {
     ),
     "cohort_baselines": statement(_COHORTS),
     "backfill_cohort_baselines": statement(_COHORTS, THREE_RUNS),
+    "daily_provider_windows": DAILY_WINDOWS,
+    "daily_fill": DAILY_FILL,
     "features_pace": statement(
         f"SELECT {KEY}, {_rounded('observed_booking_pace_per_day')} FROM snapshot"
     ),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -10,6 +11,12 @@ SLOT_KEY = (*RUN_KEY, "slot_id")
 VERSIONED_SLOT_KEY = (*SLOT_KEY, "feature_snapshot_version")
 
 
+def slot_key(columns: Iterable[str]) -> tuple[str, ...]:
+    """The slot key as far as a table has it: a feed that all runs look at has no run columns."""
+    present = set(columns)
+    return tuple(name for name in SLOT_KEY if name in present)
+
+
 @dataclass(frozen=True)
 class RunSpec:
     """One snapshot to compute. A job takes a short list of these from its caller."""

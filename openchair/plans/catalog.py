@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +22,7 @@ from openchair.operators import (
     recommend,
     scoring,
     snapshot,
+    timeline,
     underbooking,
 )
 from openchair.params import RUN_KEY, SLOT_KEY, RunSpec, Settings
@@ -38,6 +39,11 @@ BACKFILL = (
     RUN,
     RunSpec("scn_main", "run_19990601", datetime(1999, 6, 1)),
 )
+# A snapshot at each midnight of the year that ends with the main run.
+YEAR = tuple(
+    RunSpec("scn_main", f"day_{ts:%Y%m%d}", ts)
+    for ts in (RUN.effective_ts - timedelta(days=back) for back in reversed(range(365)))
+)
 SOURCE_SYSTEM, SOURCE_RUN, CONFIG_HASH = "orders_feed", "feed_001", "cfg_default"
 DEFAULTS = Settings()
 # Fitted weights have no SQL twin, so queries compared value by value take the constant-rate path.
@@ -68,7 +74,8 @@ def _seen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _job(spark, sf_dir, settings=CONSTANT_RATE, runs=(RUN,), **options) -> SnapshotJob:
-    slots, events = _slots(spark, sf_dir, runs), _events(spark, sf_dir, runs)
+    _session(spark)
+    slots, events = commerce.slot_feed(spark, sf_dir), commerce.event_feed(spark, sf_dir)
     return SnapshotJob(slots, events, runs, settings, **options)
 
 
@@ -315,8 +322,35 @@ def cohort_baselines(spark, sf_dir):
     return _rounded(_job(spark, sf_dir).baselines)
 
 
+def _feeds(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    _session(spark)
+    return commerce.slot_feed(spark, sf_dir), commerce.event_feed(spark, sf_dir)
+
+
 def backfill_cohort_baselines(spark, sf_dir):
-    return _rounded(_job(spark, sf_dir, runs=BACKFILL).baselines)
+    feeds = _feeds(spark, sf_dir)
+    cells = timeline.cells_at_runs(*feeds, BACKFILL, DEFAULTS, timeline.cohort_changes())
+    return _rounded(baselines.cohort_baselines(cells, DEFAULTS))
+
+
+def daily_provider_windows(spark, sf_dir):
+    """Trailing windows of every provider at the end of each day of a year."""
+    return _rounded(timeline.provider_windows(*_feeds(spark, sf_dir), YEAR, DEFAULTS))
+
+
+def daily_fill(spark, sf_dir):
+    """Slots published, booked and completed, and those still to start, by business and service, each day of a year."""
+    changes = [*timeline.cohort_changes(), *timeline.pattern_changes()]
+    place = ("business_id", "service_type")
+    cells = timeline.cells_at_runs(*_feeds(spark, sf_dir), YEAR, DEFAULTS, changes, place)
+    return cells.select(
+        *RUN_KEY,
+        *place,
+        *("n_slots", "n_booked", "n_completed", "n_future"),
+        *(f"n_first_{name}" for name in baselines.PATTERN_EVENTS),
+        F.col("lead_micros").cast("bigint").alias("lead_micros"),
+        F.col("active_micros").cast("bigint").alias("active_micros"),
+    )
 
 
 def features_pace(spark, sf_dir):
@@ -613,6 +647,8 @@ QUERIES: dict[str, Query] = {
     "slot_flags": slot_flags,
     "cohort_baselines": cohort_baselines,
     "backfill_cohort_baselines": backfill_cohort_baselines,
+    "daily_provider_windows": daily_provider_windows,
+    "daily_fill": daily_fill,
     "features_pace": features_pace,
     "features_fill": features_fill,
     "features_scarcity": features_scarcity,

@@ -22,6 +22,8 @@ UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
 
 class SnapshotJob:
+    """Slots and events are stored tables of the runs, or feeds without run columns that every run looks at."""
+
     def __init__(
         self,
         slots: DataFrame,
@@ -34,7 +36,8 @@ class SnapshotJob:
         zone = slots.sparkSession.conf.get("spark.sql.session.timeZone")
         if zone not in UTC_NAMES:
             raise ValueError(f"set spark.sql.session.timeZone to UTC, it is {zone}")
-        self.slots = slots
+        self.feed = slots
+        self.slots = snapshot.assign_runs(slots, runs) if snapshot.is_feed(slots) else slots
         self.events = events
         self.runs = list(runs)
         self.settings = settings or Settings()
@@ -44,7 +47,11 @@ class SnapshotJob:
     @cached_property
     def base(self) -> DataFrame:
         return snapshot.snapshot_base(
-            self.slots, self.events, self.settings, derive=self.derive_availability
+            self.feed,
+            self.events,
+            self.settings,
+            derive=self.derive_availability,
+            runs=self.runs,
         )
 
     @cached_property

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from openchair.functions.calendar import instant
+from openchair.operators.snapshot import assign_runs
 from openchair.params import RunSpec
 
 # How orders map to providers, businesses and locations.
@@ -43,26 +44,6 @@ def trailing_starts(runs: Sequence[RunSpec], days: int) -> Starts:
     return min(times) - timedelta(days=days), max(times)
 
 
-def assign_runs(df: DataFrame, runs: Sequence[RunSpec]) -> DataFrame:
-    """Every row once per run. The runs are a short list of the caller, no table.
-
-    The run columns come out of an explode, also for a single run. As plain literals they
-    would be folded out of some join and grouping keys but not out of others, and a table
-    grouped by run and slot would be shuffled again before its join by slot.
-    """
-    described = [
-        F.struct(
-            F.lit(r.scenario_id).alias("scenario_id"),
-            F.lit(r.run_id).alias("run_id"),
-            instant(str(r.effective_ts)).alias("effective_ts"),
-        )
-        for r in runs
-    ]
-    return df.select("*", F.explode(F.array(*described)).alias("_run")).select(
-        *df.columns, "_run.*"
-    )
-
-
 def _orders(spark: SparkSession, sf_dir: str, starts: Starts = ALL) -> DataFrame:
     """Orders as slots. ``starts`` becomes a plain bound on the order date, which reaches the scan."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
@@ -130,22 +111,30 @@ def _line_items(spark: SparkSession, sf_dir: str, starts: Starts = ALL) -> DataF
     return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), how)
 
 
-def slots(
-    spark: SparkSession, sf_dir: str, runs: Sequence[RunSpec], starts: Starts = ALL
-) -> DataFrame:
-    rows = _orders(spark, sf_dir, starts).selectExpr(
+def slot_feed(spark: SparkSession, sf_dir: str, starts: Starts = ALL) -> DataFrame:
+    """Every slot once, for any number of runs that look at it."""
+    return _orders(spark, sf_dir, starts).selectExpr(
         *_named(SLOT_EXPRESSIONS),
         "o_totalprice AS standard_price",
         "60 AS slot_duration_minutes",
     )
-    return assign_runs(rows, runs)
+
+
+def event_feed(spark: SparkSession, sf_dir: str, starts: Starts = ALL) -> DataFrame:
+    """Every event once, for any number of runs that look at it."""
+    return _line_items(spark, sf_dir, starts).selectExpr(*_named(EVENT_EXPRESSIONS))
+
+
+def slots(
+    spark: SparkSession, sf_dir: str, runs: Sequence[RunSpec], starts: Starts = ALL
+) -> DataFrame:
+    return assign_runs(slot_feed(spark, sf_dir, starts), runs)
 
 
 def events(
     spark: SparkSession, sf_dir: str, runs: Sequence[RunSpec], starts: Starts = ALL
 ) -> DataFrame:
-    rows = _line_items(spark, sf_dir, starts).selectExpr(*_named(EVENT_EXPRESSIONS))
-    return assign_runs(rows, runs)
+    return assign_runs(event_feed(spark, sf_dir, starts), runs)
 
 
 def raw_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
