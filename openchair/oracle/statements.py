@@ -196,17 +196,61 @@ INTEGRITY_RULES = " UNION ALL ".join(
     ]
 )
 
-# The faults planted in a batch, counted from the tables they were made of.
-_AGAIN = "(SELECT count(*) FROM booking_slots WHERE service_id = 'svc_1')"
-INTEGRITY_FAULTS = f"""
-  SELECT rule, bad_rows + CASE
-      WHEN rule IN ('slot id is duplicated', 'slot has unknown provider',
-                    'slot is visible after its start') THEN {_AGAIN}
-      WHEN rule = 'event has unknown slot'
-        THEN (SELECT count(*) FROM booking_events WHERE event_type = 'removed')
-      ELSE 0 END AS bad_rows
-  FROM ({INTEGRITY_RULES})
+# The same rules over a batch with faults, each counted from the tables it was made of.
+_SENT = {
+    "business": f"SELECT id FROM ({_BUSINESS}) WHERE id <> 'biz_1'",
+    "provider": _CUSTOMER_PARENTS["provider"],
+    "location": f"SELECT id FROM ({_CUSTOMER_PARENTS['location']}) WHERE id <> 'loc_2'",
+    "service": f"SELECT id FROM ({_CUSTOMER_PARENTS['service']}) WHERE id <> 'svc_3'",
+    "customer": "SELECT 'cust_' || c_custkey AS id FROM customer WHERE c_mktsegment <> 'BUILDING'",
+}
+_SENT_SLOTS = """
+  SELECT slot_id, provider_id, service_id, location_id, visible_at, slot_start_at FROM booking_slots
+  UNION ALL
+  SELECT slot_id, 'prov_none', service_id, location_id, slot_end_at, slot_start_at FROM booking_slots
+  WHERE service_id = 'svc_1'
+"""
+_SENT_EVENTS = """
+  SELECT event_id, CASE WHEN event_type = 'removed' THEN 'slot_none' ELSE slot_id END AS slot_id,
+         CASE WHEN event_type <> 'removed' THEN 'cust_' || o_custkey END AS customer_id
+  FROM booking_events, range(2) copies(copy) WHERE copy = 0 OR event_type = 'no_show'
 """
+INTEGRITY_FAULTS = " UNION ALL ".join(
+    [
+        f"SELECT 'slot id is duplicated' AS rule, count(*) - count(DISTINCT slot_id) AS bad_rows FROM ({_SENT_SLOTS})",
+        f"SELECT 'event id is duplicated', count(*) - count(DISTINCT event_id) FROM ({_SENT_EVENTS})",
+        _orphan_rule("provider has unknown location", f"SELECT l FROM ({_PROVIDERS})", _SENT["location"]),
+        _orphan_rule("provider has unknown business", f"SELECT b FROM ({_PROVIDERS})", _SENT["business"]),
+        _orphan_rule(
+            "service has unknown business",
+            f"SELECT 'biz_' || substr(id, 5) FROM ({_SENT['service']})",
+            _SENT["business"],
+        ),
+        _orphan_rule(
+            "location has unknown business",
+            f"SELECT 'biz_' || substr(id, 5) FROM ({_SENT['location']})",
+            _SENT["business"],
+        ),
+        _orphan_rule(
+            "customer has unknown business",
+            "SELECT 'biz_' || (c_custkey % 10) FROM customer WHERE c_mktsegment <> 'BUILDING'",
+            _SENT["business"],
+        ),
+        *[
+            _orphan_rule(f"slot has unknown {e}", f"SELECT {e}_id FROM ({_SENT_SLOTS})", _SENT[e])
+            for e in ("provider", "service", "location")
+        ],
+        _orphan_rule(
+            "event has unknown slot", f"SELECT slot_id FROM ({_SENT_EVENTS})", "SELECT slot_id AS id FROM booking_slots"
+        ),
+        _orphan_rule(
+            "event has unknown customer",
+            f"SELECT customer_id FROM ({_SENT_EVENTS}) WHERE customer_id IS NOT NULL",
+            _SENT["customer"],
+        ),
+        f"SELECT 'slot is visible after its start', count(*) FROM ({_SENT_SLOTS}) WHERE visible_at > slot_start_at",
+    ]
+)
 
 GATE = f"""
   SELECT count(*) AS rules, count(*) FILTER (WHERE bad_rows > 0) AS failed_rules,

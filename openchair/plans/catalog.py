@@ -50,6 +50,13 @@ DEFAULTS = Settings()
 CONSTANT_RATE = replace(DEFAULTS, use_model=False)
 # Rules set tight enough that every one of them removes steps somewhere.
 STRICT = replace(CONSTANT_RATE, excluded_services=("svc_5",), price_floor_pct=0.85)
+# Rows of the dimensions that a faulty batch does not send.
+UNSENT = {
+    "businesses": "source_business_id = 'biz_1'",
+    "locations": "source_location_id = 'loc_2'",
+    "services": "source_service_id = 'svc_3'",
+    "customers": "first_name = 'BUILDING'",
+}
 EXPLORING = replace(CONSTANT_RATE, exploration_share=0.5)
 ALWAYS_EXPLORING = replace(CONSTANT_RATE, exploration_share=1.0)
 DIGITS = 6
@@ -183,9 +190,12 @@ def dq_integrity(spark, sf_dir):
 
 
 def dq_integrity_faults(spark, sf_dir):
-    """The rules over a batch with faults: one service's slots again, of an unknown provider and
-    published after their start, and removals that point to no slot."""
-    raw = commerce.raw_dimensions(_session(spark), sf_dir)
+    """The rules over a batch in which every one of them is broken: one service's slots come again,
+    of an unknown provider and published after their start; removals point to no slot and no-shows
+    come twice; a business, a location, a service and one segment of the customers are not sent."""
+    raw = dict(commerce.raw_dimensions(_session(spark), sf_dir))
+    for table, fault in UNSENT.items():
+        raw[table] = raw[table].where(f"NOT ({fault})")
     slots = commerce.raw_slots(spark, sf_dir)
     again = slots.where(F.col("source_service_id") == "svc_1").withColumns(
         {"source_provider_id": F.lit("prov_none"), "visible_at": F.col("slot_end_at")}
@@ -194,7 +204,8 @@ def dq_integrity_faults(spark, sf_dir):
     events = commerce.raw_events(spark, sf_dir).withColumn(
         "source_slot_id", F.coalesce(lost, F.col("source_slot_id"))
     )
-    return quality.integrity_rules(raw, slots.unionByName(again), events)
+    twice = events.where("event_type = 'no_show'")
+    return quality.integrity_rules(raw, slots.unionByName(again), events.unionByName(twice))
 
 
 def dq_gate(spark, sf_dir):

@@ -360,3 +360,36 @@ def test_a_run_that_breaks_a_rule_leaves_the_old_tables(spark, tmp_path):
     with pytest.raises(ValueError, match="run_b is not complete: slots_loaded"):
         write_run(job, root)
     assert actions_of(spark, root) == before
+
+
+def test_every_integrity_rule_fails_on_the_faulty_batch_and_reads_each_table_once(spark, sf_dir):
+    from openchair.plans import catalog
+
+    found = rules_of(catalog.dq_integrity_faults(spark, sf_dir))
+    assert len(found) == 13 and all(n > 0 for n in found.values())
+    plan = catalog.dq_integrity(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    # Five dimensions, slots, and events with the orders they take their times from.
+    assert plan.count("Relation [") == 8
+
+
+def test_null_names_and_references(spark):
+    """A null reference is unknown even where a null name exists; null names that come twice are duplicates."""
+    def one(columns, *rows):
+        return spark.createDataFrame(list(rows), ", ".join(f"{c} string" for c in columns.split()))
+
+    dims = {
+        "businesses": one("source_business_id", ("b",), (None,)),
+        "providers": one("source_provider_id source_business_id source_location_id", ("p", "b", "l")),
+        "services": one("source_service_id source_business_id", ("s", None)),
+        "locations": one("source_location_id source_business_id", ("l", "b")),
+        "customers": one("source_customer_id source_business_id", ("c", "b")),
+    }
+    slot = "source_slot_id source_provider_id source_service_id source_location_id visible_at slot_start_at"
+    slots = one(slot, (None, "p", "s", "l", "1", "2"), (None, "p", "s", "l", "2", "2"), ("x", None, "s", "l", "3", "2"))
+    events = one("source_event_id source_slot_id source_customer_id", ("e", "x", None), ("e", None, "c"), ("f", "x", "d"))
+    found = {rule: n for rule, n in rules_of(quality.integrity_rules(dims, slots, events)).items() if n}
+    assert found == {
+        "service has unknown business": 1, "slot id is duplicated": 1, "slot has unknown provider": 1,
+        "slot is visible after its start": 1, "event id is duplicated": 1, "event has unknown slot": 1,
+        "event has unknown customer": 1,
+    }
