@@ -16,12 +16,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from openchair.llm.common import WorkerCache, blocks, pick, table
-from openchair.llm.pieces import cut
+from openchair.llm.pieces import join_parts
 
 
 MAX_KNOWN_PAIRS = 1_000_000
@@ -140,29 +141,52 @@ class PrefixEncoder:
         return out[::-1]
 
 
+class Lookup:
+    """Values of keys of 0 or more, -1 for others: open addressing in numpy arrays that are at most half full."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        size = 1 << max(4, (2 * len(keys)).bit_length())
+        self.shift, self.mask = np.uint64(65 - size.bit_length()), size - 1
+        self.keys, self.values = np.full(size, -1), np.full(size, -1)
+        slot, open_ = self._slot(keys), np.arange(len(keys))
+        while len(open_):
+            free = open_[self.keys[slot[open_]] < 0]
+            self.keys[slot[free]], self.values[slot[free]] = keys[free], values[free]
+            open_ = open_[self.keys[slot[open_]] != keys[open_]]
+            slot[open_] = slot[open_] + 1 & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def __call__(self, wanted: np.ndarray) -> np.ndarray:
+        slot = self._slot(wanted)
+        here = self.keys[slot]
+        out = np.where(here == wanted, self.values[slot], -1)
+        live = np.flatnonzero((here != wanted) & (here >= 0))
+        while len(live):
+            slot[live] = slot[live] + 1 & self.mask
+            here = self.keys[slot[live]]
+            hit = here == wanted[live]
+            out[live[hit]] = self.values[slot[live[hit]]]
+            live = live[~hit & (here >= 0)]
+        return out
+
+
 class BatchEncoder:
     """The same prefix tables for many short pre-tokens at once, as numpy arrays over their joined bytes."""
 
     def __init__(self, merges: Merges):
         self.merges = merges
         nodes = {prefix: i + 1 for i, prefix in enumerate(sorted(merges.prefixes))}
-        steps = sorted((nodes.get(prefix[:-1], 0) << 8 | prefix[-1], node) for prefix, node in nodes.items())
-        self.step_keys, self.step_nodes = np.array(steps, dtype=np.int64).reshape(-1, 2).T.copy()
+        steps = [(nodes.get(prefix[:-1], 0) << 8 | prefix[-1], node) for prefix, node in nodes.items()]
+        self.step = Lookup(*np.array(steps, dtype=np.int64).reshape(-1, 2).T)
         self.node_token = np.array([-1] + [merges.prefixes[prefix] for prefix in nodes], dtype=np.int64)
-        pairs = sorted((left << 32 | right, token) for (left, right), token in merges.pairs.items())
-        self.pair_keys, self.pair_tokens = np.array(pairs, dtype=np.int64).reshape(-1, 2).T.copy()
+        pairs = [(left << 32 | right, token) for (left, right), token in merges.pairs.items()]
+        self.pair = Lookup(*np.array(pairs, dtype=np.int64).reshape(-1, 2).T)
         parts = [(-1, -1) if part is None else part for part in merges.parts]
         self.left, self.right = np.array(parts, dtype=np.int64).reshape(-1, 2).T.copy()
         self.size = np.array([len(token) for token in merges.bytes], dtype=np.int64)
 
-    @staticmethod
-    def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-        """values where keys (ascending) hold the wanted ones, else -1."""
-        if not len(keys):
-            return np.full(len(wanted), -1)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], -1)
-
     def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merges.apart for arrays of pairs."""
         answer = np.ones(len(left), dtype=bool)
@@ -170,7 +194,7 @@ class BatchEncoder:
         left_grew = np.full(len(left), len(self.size))
         right_grew = left_grew.copy()
         while len(live):
-            across = self._find(self.pair_keys, self.pair_tokens, left << 32 | right)
+            across = self.pair(left << 32 | right)
             merges = (across >= 0) & (across < left_grew) & (across <= right_grew)
             answer[live[merges]] = False
             whole_left, whole_right = self.left[left] < 0, self.left[right] < 0
@@ -186,7 +210,7 @@ class BatchEncoder:
         start, node, end = np.arange(len(data)), np.zeros(len(data), dtype=np.int64), np.arange(len(data))
         found = []
         while len(start):
-            node = self._find(self.step_keys, self.step_nodes, node << 8 | data[end])
+            node = self.step(node << 8 | data[end])
             end = end + 1
             here = node >= 0
             token = self.node_token[np.where(here, node, 0)]
@@ -250,7 +274,7 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.merges = Merges(read_ranks(path))
         self.batch = BatchEncoder(self.merges)
-        self.pattern = regex.compile(pattern)
+        self.split = regex.compile(pattern).findall
         self.tokens = WorkerCache(self._tokens)
         self.first = WorkerCache(self._parts, 50_000)
         self.later = WorkerCache(lambda parts: self._parts([" " + part for part in parts]))
@@ -267,15 +291,12 @@ class Encoder:
         return out
 
     def _parts(self, parts: list[str]) -> list[bytes]:
-        encoded = self.tokens.grouped([self.pattern.findall(part) for part in parts])
+        encoded = self.tokens.grouped([self.split(part) for part in parts])
         return [b"".join(found) for found in encoded]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        parts = [cut(text) for text in texts]
-        first = self.first.many([found[0] for found in parts])
-        later = self.later.grouped([found[1:] for found in parts])
-        return [b"".join([head, *tail]) for head, tail in zip(first, later)]
+        return join_parts(texts, self.first, self.later)
 
 
 @lru_cache(maxsize=2)
@@ -285,9 +306,20 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 
 @lru_cache(maxsize=2)
-def token_bytes(path: str) -> dict[int, bytes]:
+def token_bytes(path: str) -> np.ndarray:
     """The bytes of each id: all that decoding needs, one per worker process."""
-    return {rank: token for token, rank in read_ranks(path).items()}
+    ranks = read_ranks(path)
+    table = np.full(max(ranks.values(), default=-1) + 1, None, dtype=object)
+    table[list(ranks.values())] = list(ranks)
+    return table
+
+
+def decode(lists: pa.ListArray, path: str) -> pa.Array:
+    """The bytes of each list of ids; null lists have none."""
+    lists = pc.fill_null(lists, pa.scalar([], lists.type))
+    tokens = token_bytes(path)[lists.flatten().to_numpy(zero_copy_only=False)].tolist()
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy()).tolist()
+    return pa.array([b"".join(tokens[a:b]) for a, b in zip([0, *ends], ends)], pa.binary())
 
 
 def _id_lists(encoded: list[bytes]) -> pa.Array:
@@ -312,11 +344,10 @@ def decode_ids(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """Per row: id, ids and the decoded bytes; null ids decode to no bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bytes_of = token_bytes(path).__getitem__
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                decoded = pa.array([b"".join(map(bytes_of, ids or ())) for ids in part.column(1).to_pylist()], pa.binary())
+                decoded = decode(part.column(1), path)
                 yield pa.RecordBatch.from_arrays([*part.columns, decoded], names=[id_col, "ids", "decoded"])
 
     named = pick(rows, id_col, ids_col).withColumnRenamed(ids_col, "ids")
@@ -324,12 +355,26 @@ def decode_ids(rows: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return named.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`decode_ids` of `encode_texts` in one pass: per row id, ids and the bytes decoded from these ids."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(path, pattern).encode
+        for part, texts in blocks(batches):
+            ids = _id_lists(encode(texts))
+            columns = [part.column(0), ids, decode(ids, path)]
+            yield pa.RecordBatch.from_arrays(columns, names=[id_col, "ids", "decoded"])
+
+    named = pick(docs, id_col, text_col)
+    kind = named.schema[0].dataType.simpleString()
+    return named.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded binary")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = encode_texts(table(spark, sf_dir, "documents"), *vocabulary)
-    return decode_ids(encoded, *vocabulary).select(
+    return round_trip(table(spark, sf_dir, "documents"), *vocabulary).select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),

@@ -17,7 +17,6 @@ import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
-from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from openchair.llm.common import Stage, WorkerCache, blocks, pick, table
-from openchair.llm.pieces import cut
+from openchair.llm.pieces import join_parts
 
 CAPACITY = 2048
 END_ID = 0
@@ -216,10 +215,7 @@ class Tokenizer:
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text. Texts with a special token's string are not cut."""
         odd = [any(token in text for token in self.special) for text in texts]
-        parts = [[""] if special else cut(text) for special, text in zip(odd, texts)]
-        first = self.first.many([found[0] for found in parts])
-        later = iter(self.later.many(list(chain.from_iterable(found[1:] for found in parts))))
-        joined = [b"".join((head, *islice(later, len(found) - 1))) for head, found in zip(first, parts)]
+        joined = join_parts(["" if special else text for special, text in zip(odd, texts)], self.first, self.later)
         return [self._ids(text).tobytes() if special else ids for special, text, ids in zip(odd, texts, joined)]
 
 

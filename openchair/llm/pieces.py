@@ -1,20 +1,66 @@
-"""Cutting a text where no pre-token of the byte-level pattern can cross.
+"""Cutting texts where no pre-token of the byte-level pattern can cross, and putting ids of parts together.
 
 Every match of the pattern has a space at most as its first character, unless it is a run of white space. So a space
 between two characters that are not white space always starts a match, and the text up to it can be split alone. The
-parts are mostly single words, which repeat, so workers look them up instead of running the pattern.
+parts are mostly single words, which repeat: Arrow finds the distinct parts of a block of texts, only these are looked up
+or encoded, and numpy lays their ids out in the order of the texts.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
+from itertools import chain
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from openchair.llm.common import WorkerCache
 
 _ODD = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
+def is_odd(text: str) -> bool:
+    """Whether some space of the text stands at an end or beside other white space."""
+    return text[:1] == " " or text[-1:] == " " or _ODD.search(text) is not None
+
+
 def cut(text: str) -> list[str]:
     """Parts that give the text when joined by one space; each part but the first starts with that space."""
-    if text[:1] == " " or text[-1:] == " " or _ODD.search(text):
-        return _CUT.split(text)
-    return text.split(" ")
+    return _CUT.split(text) if is_odd(text) else text.split(" ")
+
+
+def cut_all(texts: Sequence[str]) -> tuple[pa.Array, np.ndarray]:
+    """The parts of all texts one after the other, and the number of parts of each text."""
+    if any(map(is_odd, texts)):
+        parts = [cut(text) for text in texts]
+        counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        return pa.array(list(chain.from_iterable(parts)), pa.string()), counts
+    found = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    return found.flatten(), pc.list_value_length(found).to_numpy().astype(np.int64)
+
+
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after the other."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def join_parts(texts: Sequence[str], first: WorkerCache, later: WorkerCache) -> list[bytes]:
+    """Little-endian 32-bit ids of each text. The caches give the ids of a part that begins a text, and of one after a space."""
+    if not texts:
+        return []
+    parts, counts = cut_all(texts)
+    coded = parts.dictionary_encode()
+    codes, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    begins = np.cumsum(counts) - counts
+    heads, codes[begins] = np.unique(codes[begins], return_inverse=True)
+    codes[begins] += len(words)
+    ids = later.many(words.to_pylist()) + first.many(words.take(pa.array(heads)).to_pylist())
+    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+    flat = np.frombuffer(b"".join(ids), dtype="<u4")
+    joined = flat[runs((np.cumsum(sizes) - sizes)[codes], sizes[codes])].tobytes()
+    ends = 4 * np.add.reduceat(sizes[codes], begins).cumsum()
+    return [joined[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]

@@ -60,6 +60,31 @@ def test_bpe_equals_the_reference_encoder(spark, docs):
         assert bytes(found.decoded[row.doc_id]) == (row.text or "").encode()
 
 
+def test_bpe_of_odd_white_space_long_words_and_no_rows(spark):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    plain = tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=byte_bpe.read_ranks(path), special_tokens={})
+    rng = random.Random(3)
+    texts = ["", " ", "  ", None, " a", "a ", "a  b", "a \n b", "a\u3000 b c", "it's we'll 's", "plain words only here"]
+    texts += ["".join(rng.choice("abc漢é") for _ in range(size)) for size in (62, 63, 64, 65, 66, 3000)]
+    texts += ["".join(rng.choice("ab  \n\t'1.é") for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    rows = spark.createDataFrame(list(enumerate(texts)) + [(4, " a")], "doc_id long, text string")
+    found = byte_bpe.round_trip(rows, path, pattern).collect()
+    assert len(found) == len(texts) + 1
+    for doc_id, ids, decoded in found:
+        assert ids == plain.encode_ordinary(texts[doc_id] or "")
+        assert bytes(decoded) == (texts[doc_id] or "").encode()
+    assert byte_bpe.round_trip(rows.limit(0), path, pattern).count() == 0
+
+
+def test_lookup_equals_a_dict():
+    rng = np.random.default_rng(5)
+    for size in (0, 1, 7, 5000):
+        keys = rng.choice(1 << 40, size, replace=False) if size else np.zeros(0, dtype=np.int64)
+        lookup, known = byte_bpe.Lookup(keys, np.arange(size)), dict(zip(keys.tolist(), range(size)))
+        wanted = np.concatenate([keys, rng.integers(0, 1 << 40, 1000)])
+        assert lookup(wanted).tolist() == [known.get(key, -1) for key in wanted.tolist()]
+
+
 def test_bpe_appends_and_edits():
     merges = byte_bpe.Merges(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
     rng = random.Random(1)
