@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from openchair.llm.common import WorkerCache, blocks, pick, table
-from openchair.llm.pieces import join_parts
+from openchair.llm.pieces import join_parts, whole
 
 
 MAX_KNOWN_PAIRS = 1_000_000
@@ -277,7 +277,7 @@ class Encoder:
         self.split = regex.compile(pattern).findall
         self.tokens = WorkerCache(self._tokens)
         self.first = WorkerCache(self._parts, 50_000)
-        self.later = WorkerCache(lambda parts: self._parts([" " + part for part in parts]))
+        self.later = WorkerCache(lambda parts: self._parts(list(map(whole, parts))))
 
     def _tokens(self, found: list[str]) -> list[bytes]:
         data = [token.encode() for token in found]

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from openchair.llm.common import Stage, WorkerCache, blocks, pick, table
-from openchair.llm.pieces import join_parts
+from openchair.llm.pieces import join_parts, whole
 
 CAPACITY = 2048
 END_ID = 0
@@ -35,7 +35,7 @@ MOST_ROUNDS = 400
 BUCKET_ROWS = 50_000
 CACHED = 300_000  # entries of a worker cache generation
 WORDS_AT_ONCE = 4096
-SPACE = "\u0120"  # how the vocabulary file writes a space
+WRITTEN = {" ": "\u0120", "\n": "\u010a"}  # how the vocabulary file writes a space and a line feed
 
 Config = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
@@ -176,8 +176,8 @@ def place(lengths: np.ndarray, ranks: np.ndarray, places: dict[str, np.ndarray])
 class Tokenizer:
     """Ids of a byte-level tokenizers file. Parts of texts repeat and are looked up, within a bound.
 
-    New words are encoded many at a time as one text. Each but the first character of a word is no space, so the tokens that
-    start with a space are where its words start.
+    New words are encoded many at a time as one text. Where only the first character of each is a space, or a line feed, the
+    tokens that start with one are where the words start.
     """
 
     def __init__(self, path: str):
@@ -186,10 +186,12 @@ class Tokenizer:
         self.whole = tokenizers.Tokenizer.from_file(path)
         self.special = [token.content for token in self.whole.get_added_tokens_decoder().values()]
         vocabulary = self.whole.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
-        self.opens[[i for token, i in vocabulary.items() if token.startswith(SPACE)]] = True
+        self.opens = {}
+        for sign, written in WRITTEN.items():
+            self.opens[sign] = opens = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+            opens[[i for token, i in vocabulary.items() if token.startswith(written)]] = True
         self.first = WorkerCache(self._each, 50_000)
-        self.later = WorkerCache(self._spaced, CACHED)
+        self.later = WorkerCache(self._later, CACHED)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -197,20 +199,22 @@ class Tokenizer:
     def _each(self, parts: Sequence[str]) -> list[bytes]:
         return [self._ids(part).tobytes() for part in parts]
 
-    def _spaced(self, parts: Sequence[str]) -> list[bytes]:
-        """Ids of each part with a space in front."""
-        words = [part for part in parts if part and " " not in part and not part[-1].isspace()]
+    def _later(self, parts: Sequence[str]) -> list[bytes]:
+        """Ids of each part as it stands after others."""
+        words = list(map(whole, parts))
         found: dict[str, bytes] = {}
-        for at in range(0, len(words), WORDS_AT_ONCE):
-            some = words[at : at + WORDS_AT_ONCE]
-            ids = self._ids(" " + " ".join(some))
-            starts = (4 * np.flatnonzero(self.opens[ids])).tolist()
-            flat = ids.tobytes()
-            if len(starts) == len(some):
-                found.update((word, flat[a:b]) for word, a, b in zip(some, starts, [*starts[1:], len(flat)]))
-        odd = [part for part in parts if part not in found]
-        found.update(zip(odd, self._each([" " + part for part in odd])))
-        return [found[part] for part in parts]
+        for sign, opens in self.opens.items():
+            own = [w for w in words if w[0] == sign and sign not in w[1:] and not (w[1:2] or " ").isspace() and not w[-1].isspace()]
+            for at in range(0, len(own), WORDS_AT_ONCE):
+                some = own[at : at + WORDS_AT_ONCE]
+                ids = self._ids("".join(some))
+                starts = (4 * np.flatnonzero(opens[ids])).tolist()
+                flat = ids.tobytes()
+                if len(starts) == len(some):
+                    found.update((word, flat[a:b]) for word, a, b in zip(some, starts, [*starts[1:], len(flat)]))
+        odd = [word for word in words if word not in found]
+        found.update(zip(odd, self._each(odd)))
+        return [found[word] for word in words]
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text. Texts with a special token's string are not cut."""

@@ -1,9 +1,10 @@
 """Cutting texts where no pre-token of the byte-level pattern can cross, and putting ids of parts together.
 
 Every match of the pattern has a space at most as its first character, unless it is a run of white space. So a space
-between two characters that are not white space always starts a match, and the text up to it can be split alone. The
-parts are mostly single words, which repeat: Arrow finds the distinct parts of a block of texts, only these are looked up
-or encoded, and numpy lays their ids out in the order of the texts.
+between two characters that are not white space always starts a match, and the text up to it can be split alone. The same
+holds for the first line feed after a character that is not white space. The parts are mostly single words, which repeat:
+Arrow finds the distinct parts of a block of texts, only these are looked up or encoded, and numpy lays their ids out in
+the order of the texts.
 """
 
 from __future__ import annotations
@@ -19,7 +20,8 @@ import pyarrow.compute as pc
 from openchair.llm.common import WorkerCache
 
 _ODD = re.compile(r" \s|\s ")
-_CUT = re.compile(r"(?<=\S) (?=\S)")
+_CUT = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n))")
+_FEED = r"([^\s\x0b\x1c-\x1f\x85\p{Z}])\n"  # for Arrow, whose \s knows only ASCII
 
 
 def is_odd(text: str) -> bool:
@@ -27,18 +29,18 @@ def is_odd(text: str) -> bool:
     return text[:1] == " " or text[-1:] == " " or _ODD.search(text) is not None
 
 
-def cut(text: str) -> list[str]:
-    """Parts that give the text when joined by one space; each part but the first starts with that space."""
-    return _CUT.split(text) if is_odd(text) else text.split(" ")
+def whole(part: str) -> str:
+    """A part after the first one as it stands in the text: those that start with no line feed follow a space."""
+    return part if part[:1] == "\n" else " " + part
 
 
 def cut_all(texts: Sequence[str]) -> tuple[pa.Array, np.ndarray]:
     """The parts of all texts one after the other, and the number of parts of each text."""
     if any(map(is_odd, texts)):
-        parts = [cut(text) for text in texts]
+        parts = [_CUT.split(text) for text in texts]
         counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         return pa.array(list(chain.from_iterable(parts)), pa.string()), counts
-    found = pc.split_pattern(pa.array(texts, pa.string()), " ")
+    found = pc.split_pattern(pc.replace_substring_regex(pa.array(texts, pa.string()), _FEED, "\\1 \n"), " ")
     return found.flatten(), pc.list_value_length(found).to_numpy().astype(np.int64)
 
 
@@ -49,7 +51,7 @@ def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 def join_parts(texts: Sequence[str], first: WorkerCache, later: WorkerCache) -> list[bytes]:
-    """Little-endian 32-bit ids of each text. The caches give the ids of a part that begins a text, and of one after a space."""
+    """Little-endian 32-bit ids of each text. The caches give the ids of parts that begin a text, and of later ones."""
     if not texts:
         return []
     parts, counts = cut_all(texts)

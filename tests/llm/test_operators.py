@@ -373,6 +373,18 @@ def test_packed_pieces(spark, docs):
     assert packing.pack_documents(df.limit(0), path, Stage(spark, "test")).count() == 0
 
 
+def test_tokenizer_of_odd_white_space():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own = Tokenizer.from_file(path), packing.Tokenizer(path)
+    rng = random.Random(9)
+    texts = ["", "\n", "a\n", "\na", "a\nb", "a\n\nb", "a\n\n", "a \nb", "a\n b", "a\u00a0\nb", "a\x1f\nb", "a\n<|endoftext|>\nb"]
+    for signs in ("ab \n", "ab\n.", "ab \n\t\r\u00a0\u2003\x1c.'s1é", "ab \x85\x0b\n"):
+        texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    for some in (texts, [t for t in texts if "  " not in t], *([t] for t in texts[:400])):
+        for text, ids in zip(some, own.encode(some), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids, text
+
+
 def test_toxicity_on_held_out_rows(spark):
     rng = random.Random(7)
     words = ["".join(rng.choice("abdeilnorst") for _ in range(rng.randint(2, 8))) for _ in range(500)]
