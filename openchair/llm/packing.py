@@ -34,7 +34,7 @@ PATTERNS_PER_ROUND = 192
 MOST_ROUNDS = 400
 BUCKET_ROWS = 50_000
 CACHED = 300_000  # entries of a worker cache generation
-WORDS_AT_ONCE = 4096
+WORDS_AT_ONCE = 128
 WRITTEN = {" ": "\u0120", "\n": "\u010a"}  # how the vocabulary file writes a space and a line feed
 
 Config = tuple[tuple[int, int], ...]  # (length, copies), longest first
@@ -202,9 +202,10 @@ class Tokenizer:
     def _later(self, parts: Sequence[str]) -> list[bytes]:
         """Ids of each part as it stands after others."""
         words = list(map(whole, parts))
+        single = [word for word in words if word.split() == [word[1:]]]
         found: dict[str, bytes] = {}
         for sign, opens in self.opens.items():
-            own = [w for w in words if w[0] == sign and sign not in w[1:] and not (w[1:2] or " ").isspace() and not w[-1].isspace()]
+            own = [word for word in single if word[0] == sign]
             for at in range(0, len(own), WORDS_AT_ONCE):
                 some = own[at : at + WORDS_AT_ONCE]
                 ids = self._ids("".join(some))

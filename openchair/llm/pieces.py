@@ -19,14 +19,11 @@ import pyarrow.compute as pc
 
 from openchair.llm.common import WorkerCache
 
-_ODD = re.compile(r" \s|\s ")
 _CUT = re.compile(r"(?<=\S)(?: (?=\S)|(?=\n))")
-_FEED = r"([^\s\x0b\x1c-\x1f\x85\p{Z}])\n"  # for Arrow, whose \s knows only ASCII
-
-
-def is_odd(text: str) -> bool:
-    """Whether some space of the text stands at an end or beside other white space."""
-    return text[:1] == " " or text[-1:] == " " or _ODD.search(text) is not None
+# For Arrow, whose \s knows only ASCII: white space, and texts with a space at an end or beside other white space.
+_WHITE = r"\s\x0b\x1c-\x1f\x85\p{Z}"
+_ODD = rf"\A | \z| [{_WHITE}]|[{_WHITE}] "
+_FEED = rf"([^{_WHITE}])\n"
 
 
 def whole(part: str) -> str:
@@ -36,20 +33,15 @@ def whole(part: str) -> str:
 
 def cut_all(texts: Sequence[str]) -> tuple[pa.Array, np.ndarray]:
     """The parts of all texts one after the other, and the number of parts of each text."""
-    if any(map(is_odd, texts)):
+    column = pa.array(texts, pa.string())
+    if pc.any(pc.match_substring_regex(column, _ODD)).as_py():
         parts = [_CUT.split(text) for text in texts]
         counts = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         return pa.array(list(chain.from_iterable(parts)), pa.string()), counts
-    found = pc.split_pattern(pc.replace_substring_regex(pa.array(texts, pa.string()), _FEED, "\\1 \n"), " ")
+    found = pc.split_pattern(pc.replace_substring_regex(column, _FEED, "\\1 \n"), " ")
     return found.flatten(), pc.list_value_length(found).to_numpy().astype(np.int64)
 
 
-def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The places start, start + 1, ... of each run, one run after the other."""
-    ends = np.cumsum(lengths)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
-
-
 def join_parts(texts: Sequence[str], first: WorkerCache, later: WorkerCache) -> list[bytes]:
     """Little-endian 32-bit ids of each text. The caches give the ids of parts that begin a text, and of later ones."""
     if not texts:
@@ -61,8 +53,8 @@ def join_parts(texts: Sequence[str], first: WorkerCache, later: WorkerCache) ->
     heads, codes[begins] = np.unique(codes[begins], return_inverse=True)
     codes[begins] += len(words)
     ids = later.many(words.to_pylist()) + first.many(words.take(pa.array(heads)).to_pylist())
-    sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
-    flat = np.frombuffer(b"".join(ids), dtype="<u4")
-    joined = flat[runs((np.cumsum(sizes) - sizes)[codes], sizes[codes])].tobytes()
-    ends = 4 * np.add.reduceat(sizes[codes], begins).cumsum()
-    return [joined[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist())]
+    laid = pa.array(ids, pa.large_binary()).take(pa.array(codes))
+    _, offsets, joined = laid.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int64)[np.cumsum(counts)].tolist()
+    joined = joined.to_pybytes() if joined else b""
+    return [joined[a:b] for a, b in zip([0, *ends], ends)]
