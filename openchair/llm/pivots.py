@@ -1,19 +1,23 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
-Each vector is described by its `NEAREST` nearest reference points. Inverted lists hold the vectors of a label that have a
-reference point near; two vectors are candidates if they share any list, and candidates are verified by cosine in double
-precision. A pair is missed only if the two have no near point in common.
+Each vector is described by its `NEAREST` nearest reference points in their order. Inverted lists hold the vectors of a label
+that have two reference points near; within a list, pairs that share at least `LEAST_SHARED` points are candidates, and only
+candidates are verified by cosine in double precision. Around a tight group every other point is about as far, so its members may
+share few: vectors within `APART` of their first point also stand in a list of that point alone, whose pairs are all verified.
+A pair is missed only if it shares fewer points and is not tight around one.
 
-Equal vectors of a label are one entry with a count. Long lists are cut into blocks that meet pairwise, each pair of
-blocks in a task of its own; a task returns a count of links per vector and a spanning set of its links, never all pairs.
+Equal vectors of a label are one entry with a count. Lists of one vector end before vectors are sent. Long lists are cut into
+blocks that meet pairwise, each pair of blocks in a task of its own; a task returns a count of links per vector and a spanning
+set of its links, never all pairs.
 
 Reference points are vectors of the table, drawn by a digest of their ids; one within `APART` of another is skipped, so a tight
-group supplies few of them and its members share these. Their number follows the square root of the number of vectors up
-to `MAX_PIVOTS`; every vector is indexed.
+group supplies few of them and its members share these. There are as many as the square root of the number of vectors, and from
+`MANY` vectors on as its fourth root times that of `MANY`, so that lists of two points grow with the square root; every vector is
+indexed.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components, and rows without a label, link with nothing;
-rows with a null id too; repeated rows of one id and vector count as one; vectors of different lengths never link; an
-empty table gives no rows; other columns are ignored.
+rows with a null id too; repeated rows of one id count as one row, of its smallest usable label and vector;
+vectors of different lengths never link; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,10 +33,12 @@ from pyspark.sql import functions as F
 
 from openchair.llm.common import Stage, pick, table
 from openchair.llm.components import connected_components
+from openchair.operators.joins import attach
 
 LEAST_COSINE = 0.98
 NEAREST = 6
-MIN_PIVOTS, MAX_PIVOTS = 16, 1024
+LEAST_SHARED = 3
+MIN_PIVOTS, MANY = 16, 1 << 20
 APART = 0.9  # reference points have a cosine below it to each other
 DRAWN = 8  # vectors looked at for each reference point wanted
 BLOCK = 1024
@@ -54,7 +60,7 @@ def unit_rows(vectors: list | np.ndarray) -> np.ndarray:
 
 
 def describe(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
-    """Adds near: the numbers of the nearest reference points of the vector's width, nearest first."""
+    """Adds near, the numbers of the nearest reference points of the vector's width, nearest first, and tight."""
     names = [field.name for field in vectors.schema]
     at = names.index("embedding")
 
@@ -62,18 +68,25 @@ def describe(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
         for batch in batches:
             values = batch.column(at).to_pylist()
             near: list = [[] for _ in values]
+            tight = np.zeros(len(values), dtype=bool)
             by_width: dict[int, list[int]] = {}
             for i, value in enumerate(values):
                 by_width.setdefault(len(value), []).append(i)
             for width, rows in by_width.items():
                 close = unit_rows([values[i] for i in rows]) @ pivots[width].T
                 order = np.argsort(-close, axis=1, kind="stable")[:, :NEAREST]
+                tight[rows] = (close.max(axis=1) >= APART) | (close.shape[1] == 1)
                 for i, found in zip(rows, order.tolist()):
                     near[i] = found
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.list_(pa.int32()))], names=[*names, "near"])
+            columns = [*batch.columns, pa.array(near, pa.list_(pa.int32())), pa.array(tight)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "near", "tight"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in vectors.schema)
-    return vectors.mapInArrow(run, f"{schema}, near array<int>")
+    return vectors.mapInArrow(run, f"{schema}, near array<int>, tight boolean")
+
+
+def wanted_pivots(n: int) -> int:
+    return max(MIN_PIVOTS, math.isqrt(n) if n <= MANY else math.isqrt(math.isqrt(n) * math.isqrt(MANY)))
 
 
 def choose_pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
@@ -81,7 +94,7 @@ def choose_pivots(vectors: DataFrame) -> dict[int, np.ndarray]:
     sizes = vectors.groupBy(F.size("embedding").alias("width")).count().collect()
     out = {}
     for width, n in sizes:
-        wanted = min(MAX_PIVOTS, max(MIN_PIVOTS, math.isqrt(n)))
+        wanted = wanted_pivots(n)
         digest = F.xxhash64("vec_id")
         # Only about twice the drawn rows are sorted; they hold the smallest digests.
         most = int(min(1.0, 2 * DRAWN * wanted / n) * (2**64 - 1)) - 2**63
@@ -122,32 +135,65 @@ def _spanning(pairs: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
+def _own(x: np.ndarray, y: np.ndarray, low: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows whose first two shared points, by number, are p and q. low: the points of each row, ascending."""
+    keep = np.zeros(len(x), dtype=bool)
+    for i in range(0, len(x), 65536):
+        mine, theirs = low[x[i : i + 65536]], low[y[i : i + 65536]]
+        both = (mine[:, :, None] == theirs[:, None, :]).any(axis=2)
+        keep[i : i + 65536] = ~(both & (mine < q) & (mine != p)).any(axis=1)
+    return x[keep], y[keep]
+
+
+def shared_points(near: np.ndarray):
+    """A function of two lists of rows that counts the points each pair of them shares."""
+    points, place, count = np.unique(near, return_inverse=True, return_counts=True)
+    often = np.flatnonzero(count > 1)
+    column = np.full(len(points), len(often))
+    column[often] = np.arange(len(often))
+    holds = np.zeros((len(near), len(often) + 1), dtype=np.float32)
+    holds[np.arange(len(near))[:, None], column[place.reshape(near.shape)]] = 1
+    holds = holds[:, :-1]
+    return lambda a, b: holds[a] @ holds[b].T
+
+
 def compare_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links between the rows of block `one` and those of block `other` in one list.
+    """Links between the rows of block `one` and those of block `other` in one list, of points `p` and `q`.
 
     Returns rows (id, links, partner): a count of links per vector with a null partner, and spanning links with 0.
     """
-    listed = int(rows["pivot"].iloc[0])
+    p, q = int(rows["p"].iloc[0]), int(rows["q"].iloc[0])
     ids, counts = rows["vec_id"].to_numpy(), rows["copies"].to_numpy()
-    near = np.stack(rows["ranked"].to_list())  # numbers by rarity, ascending
+    near = np.stack(rows["near"].to_list())
+    around = np.where(rows["tight"], near[:, 0], -1)  # the point a vector is tight around
+    shared = shared_points(near)
+    low = np.sort(near, axis=1)
     units = unit_rows(rows["embedding"].to_list())
     one, other = np.flatnonzero(rows["one"]), np.flatnonzero(rows["other"])
     same = len(one) == len(other) and (one == other).all()
     links = np.zeros(len(rows), dtype=np.int64)
-    pairs = []
+    pairs = [np.empty((0, 2), dtype=np.int64)]
     for at in range(0, len(one), 256):
         a = one[at : at + 256]
-        close = units[a] @ units[other].T
-        found = close >= LEAST_COSINE
-        for i, j in np.argwhere(np.abs(close - LEAST_COSINE) < 1e-12):  # the sum must not depend on the block's shape
-            found[i, j] = (units[a[i]] * units[other[j]]).sum() >= LEAST_COSINE
-        found &= a[:, None] < other[None, :] if same else a[:, None] != other[None, :]
-        x, y = np.nonzero(found)
+        open_ = a[:, None] < other[None, :] if same else a[:, None] != other[None, :]
+        # The list of one point has all pairs tight around it; lists of two points have the others that share enough.
+        if p != q:
+            open_ &= shared(a, other) >= min(LEAST_SHARED, near.shape[1])
+            open_ &= (around[a][:, None] != around[other][None, :]) | (around[a] < 0)[:, None]
+        x, y = np.nonzero(open_)
+        if not len(x):
+            continue
         x, y = a[x], other[y]
-        # A pair is handled in the list of the rarest point it shares.
-        shared = (near[x][:, :, None] == near[y][:, None, :]).any(axis=2)
-        own = np.where(shared, near[x], np.iinfo(np.int32).max).min(axis=1) == listed
-        x, y = x[own], y[own]
+        if p != q:  # a pair is handled in the list of the first two points it shares
+            x, y = _own(x, y, low, p, q)
+        if len(x) > len(a) * len(other) / 8:
+            close = (units[a] @ units[other].T)[np.searchsorted(a, x), np.searchsorted(other, y)]
+        else:
+            close = np.concatenate([(units[x[i : i + 65536]] * units[y[i : i + 65536]]).sum(axis=1) for i in range(0, len(x) or 1, 65536)])
+        found = close >= LEAST_COSINE
+        for i in np.flatnonzero(np.abs(close - LEAST_COSINE) < 1e-12):  # the sum must not depend on the block's shape
+            found[i] = (units[x[i]] * units[y[i]]).sum() >= LEAST_COSINE
+        x, y = x[found], y[found]
         links += np.bincount(x, weights=counts[y], minlength=len(rows)).astype(np.int64)
         links += np.bincount(y, weights=counts[x], minlength=len(rows)).astype(np.int64)
         # Rows linked to one y are joined through the first of them, which keeps the pairs few.
@@ -173,24 +219,13 @@ def near_vectors(vectors: DataFrame, stage: Stage) -> DataFrame:
     named = pick(vectors, "vec_id", "embedding", "label").withColumn(
         "embedding", F.col("embedding").cast("array<double>")
     )
-    good = named.where(usable()).dropDuplicates(["vec_id"])
+    chosen = named.where(usable()).groupBy("vec_id").agg(F.min(F.struct("label", "embedding")).alias("one"))
+    good = stage.write(chosen.select("vec_id", "one.label", "one.embedding"))
     classes = stage.write(
         good.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     )
-    pivots = choose_pivots(classes)
-    described = stage.write(describe(classes, pivots))
-
-    # Rare reference points first: their numbers become ranks by how many vectors have them near.
-    width = F.size("embedding").alias("width")
-    common = described.select(width, F.explode("near").alias("near")).groupBy("width", "near").count().collect()
-    ranks: dict[int, dict[int, int]] = {}
-    for row in sorted(common, key=lambda r: (r["count"], r["near"])):
-        own = ranks.setdefault(row["width"], {})
-        own[row["near"]] = len(own)
-    if not ranks:
-        links = described.select(F.col("vec_id").alias("id"), F.lit(0).alias("links"), F.lit(0).alias("partner"), F.lit(False).alias("is_link")).limit(0)
-    else:
-        links = _links(described, ranks)
+    described = stage.write(describe(classes, choose_pivots(classes)))
+    links = _links(described)
     links = stage.write(links)
     counted = links.where("NOT is_link").groupBy(F.col("id").alias("class_id")).agg(F.sum("links").alias("n"))
     edges = links.where("is_link").select(F.col("id").alias("a"), F.col("partner").alias("b"))
@@ -216,38 +251,31 @@ def near_vectors(vectors: DataFrame, stage: Stage) -> DataFrame:
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _links(described: DataFrame, ranks: dict[int, dict[int, int]]) -> DataFrame:
-    by_width = F.create_map(
-        *[
-            x
-            for width, own in ranks.items()
-            for x in (F.lit(width), F.array(*(F.lit(own.get(i, -1)) for i in range(max(own) + 1))))
-        ]
-    )
-    numbers = F.element_at(by_width, F.size("embedding"))
-    ranked = described.select(
-        "label",
-        F.size("embedding").alias("width"),
-        "vec_id",
-        "copies",
-        "embedding",
-        F.array_sort(F.transform("near", lambda i: F.get(numbers, i))).alias("ranked"),
-    )
-    listed = ranked.withColumn("pivot", F.explode("ranked"))
-    key = ["label", "width", "pivot"]
-    sizes = listed.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = listed.join(sizes, key).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+def _links(described: DataFrame) -> DataFrame:
+    points = F.array_sort("near")
+    twos = [F.struct(F.get(points, F.lit(i)).alias("p"), F.get(points, F.lit(j)).alias("q")) for j in range(NEAREST) for i in range(j)]
+    alone = F.struct(F.get("near", F.lit(0)).alias("p"), F.get("near", F.lit(0)).alias("q"))
+    lists = F.concat(F.filter(F.array(*twos), lambda two: two["q"].isNotNull()), F.when(F.col("tight"), F.array(alone)).otherwise(F.array()))
+    key = ["label", "width", "p", "q"]
+    listed = described.select("label", F.size("embedding").alias("width"), "vec_id", F.explode(lists).alias("list"))
+    listed = listed.select("label", "width", "list.*", "vec_id")
+    sizes = listed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    sizes = sizes.select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = attach(listed, sizes, key, ["vec_id"], how="inner")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     meets = F.transform(
         F.sequence(F.lit(0), F.col("blocks") - 1),
         lambda j: F.struct(F.least(j, F.col("block")).alias("i"), F.greatest(j, F.col("block")).alias("j")),
     )
-    dealt = placed.withColumn("meet", F.explode(meets)).select(
+    dealt = placed.join(described.drop("label"), "vec_id").withColumn("meet", F.explode(meets))
+    dealt = dealt.select(
         *key,
         "meet",
         "vec_id",
         "copies",
         "embedding",
-        "ranked",
+        "near",
+        "tight",
         (F.col("block") == F.col("meet.i")).alias("one"),
         (F.col("block") == F.col("meet.j")).alias("other"),
     )

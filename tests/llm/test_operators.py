@@ -342,6 +342,20 @@ def test_links_in_a_large_near_group_equal_brute_force(spark):
     assert (found.component_id == component).mean() >= 0.999
 
 
+def test_repeated_ids_count_by_their_smallest_vector(spark):
+    rows = [(1, [1.0, 0.0, 0.1], 1, "a"), (1, [0.0, 1.0, 0.1], 1, "b"), (2, [1.0, 0.0, 0.11], 1, "c"), (3, [0.0, 1.0, 0.11], 1, "d")]
+    for given in (rows, rows[::-1]):
+        df = spark.createDataFrame(given, "vec_id bigint, embedding array<double>, label int, VEC_ID string")
+        found = {r.vec_id: r for r in pivots.near_vectors(df, Stage(spark, "test")).collect()}
+        assert {i: (r.n_links, r.component_id) for i, r in found.items()} == {1: (1, 1), 2: (0, 2), 3: (1, 1)}
+
+
+def test_widths_and_few_vectors(spark):
+    rows = [(i, [1.0] * (2 + i % 2), 1) for i in range(4)] + [(9, [1.0, 0.0], 1)]
+    found = {r.vec_id: r for r in pivots.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int"), Stage(spark, "test")).collect()}
+    assert {i: (r.n_links, r.component_id) for i, r in found.items()} == {0: (1, 0), 1: (1, 1), 2: (1, 0), 3: (1, 1), 9: (0, 9)}
+
+
 def test_packing_plan_is_whole_and_tight():
     rng = random.Random(6)
     for histogram in ({700: 100, 683: 100, 665: 100}, {2048: 4}, {1: 5000}, dict(Counter(rng.randint(1, 2048) for _ in range(3000)))):
