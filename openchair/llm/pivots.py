@@ -1,8 +1,8 @@
 """Near-duplicate vectors by a pivot-permutation index.
 
 Each vector is described by its `NEAREST` nearest reference points in their order. Inverted lists hold the vectors of a label
-that have two reference points near; within a list, pairs that share at least `LEAST_SHARED` points are candidates, and only
-candidates are verified by cosine in double precision. Around a tight group every other point is about as far, so its members may
+that have a reference point near, or two points where the list of one has more than `BLOCK` vectors. Within a list, pairs that
+share at least `LEAST_SHARED` points are candidates, and only candidates are verified by cosine in double precision. Around a tight group every other point is about as far, so its members may
 share few: vectors within `APART` of their first point also stand in a list of that point alone, whose pairs are all verified.
 A pair is missed only if it shares fewer points and is not tight around one.
 
@@ -135,13 +135,13 @@ def _spanning(pairs: np.ndarray, n: int) -> np.ndarray:
     return keep
 
 
-def _own(x: np.ndarray, y: np.ndarray, low: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of rows whose first two shared points, by number, are p and q. low: the points of each row, ascending."""
+def _own(x: np.ndarray, y: np.ndarray, near: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows whose first shared point, by number, is p, and whose second is q unless that is -1."""
     keep = np.zeros(len(x), dtype=bool)
     for i in range(0, len(x), 65536):
-        mine, theirs = low[x[i : i + 65536]], low[y[i : i + 65536]]
+        mine, theirs = near[x[i : i + 65536]], near[y[i : i + 65536]]
         both = (mine[:, :, None] == theirs[:, None, :]).any(axis=2)
-        keep[i : i + 65536] = ~(both & (mine < q) & (mine != p)).any(axis=1)
+        keep[i : i + 65536] = ~(both & (mine < max(p, q)) & (mine != p)).any(axis=1)
     return x[keep], y[keep]
 
 
@@ -158,7 +158,9 @@ def shared_points(near: np.ndarray):
 
 
 def compare_blocks(rows: pd.DataFrame) -> pd.DataFrame:
-    """Links between the rows of block `one` and those of block `other` in one list, of points `p` and `q`.
+    """Links between the rows of block `one` and those of block `other` in one list.
+
+    The list is that of point `p` (`q` is -1), of the points `p` and `q`, or of those tight around `p` (`q` is `p`).
 
     Returns rows (id, links, partner): a count of links per vector with a null partner, and spanning links with 0.
     """
@@ -167,7 +169,6 @@ def compare_blocks(rows: pd.DataFrame) -> pd.DataFrame:
     near = np.stack(rows["near"].to_list())
     around = np.where(rows["tight"], near[:, 0], -1)  # the point a vector is tight around
     shared = shared_points(near)
-    low = np.sort(near, axis=1)
     units = unit_rows(rows["embedding"].to_list())
     one, other = np.flatnonzero(rows["one"]), np.flatnonzero(rows["other"])
     same = len(one) == len(other) and (one == other).all()
@@ -176,7 +177,7 @@ def compare_blocks(rows: pd.DataFrame) -> pd.DataFrame:
     for at in range(0, len(one), 256):
         a = one[at : at + 256]
         open_ = a[:, None] < other[None, :] if same else a[:, None] != other[None, :]
-        # The list of one point has all pairs tight around it; lists of two points have the others that share enough.
+        # The list around a point has all its pairs; the other lists have the others that share enough.
         if p != q:
             open_ &= shared(a, other) >= min(LEAST_SHARED, near.shape[1])
             open_ &= (around[a][:, None] != around[other][None, :]) | (around[a] < 0)[:, None]
@@ -184,8 +185,8 @@ def compare_blocks(rows: pd.DataFrame) -> pd.DataFrame:
         if not len(x):
             continue
         x, y = a[x], other[y]
-        if p != q:  # a pair is handled in the list of the first two points it shares
-            x, y = _own(x, y, low, p, q)
+        if p != q:  # a pair is handled in the list of the first point it shares, or of the first two
+            x, y = _own(x, y, near, p, q)
         if len(x) > len(a) * len(other) / 8:
             close = (units[a] @ units[other].T)[np.searchsorted(a, x), np.searchsorted(other, y)]
         else:
@@ -252,13 +253,14 @@ def near_vectors(vectors: DataFrame, stage: Stage) -> DataFrame:
 
 
 def _links(described: DataFrame) -> DataFrame:
-    points = F.array_sort("near")
-    twos = [F.struct(F.get(points, F.lit(i)).alias("p"), F.get(points, F.lit(j)).alias("q")) for j in range(NEAREST) for i in range(j)]
-    alone = F.struct(F.get("near", F.lit(0)).alias("p"), F.get("near", F.lit(0)).alias("q"))
-    lists = F.concat(F.filter(F.array(*twos), lambda two: two["q"].isNotNull()), F.when(F.col("tight"), F.array(alone)).otherwise(F.array()))
+    vectors = described.select("label", F.size("embedding").alias("width"), "vec_id", "near", "tight")
+    first = vectors.withColumn("p", F.explode("near"))
+    long = first.groupBy("label", "width", "p").agg((F.count("*") > BLOCK).alias("long"))
+    first = attach(first, long, ["label", "width", "p"], ["vec_id"], how="inner")
+    seconds = F.when(F.col("long"), F.filter("near", lambda i: i > F.col("p"))).otherwise(F.array(F.lit(-1)))
+    around = F.when(F.col("tight") & (F.get("near", F.lit(0)) == F.col("p")), F.array("p")).otherwise(F.array().cast("array<int>"))
     key = ["label", "width", "p", "q"]
-    listed = described.select("label", F.size("embedding").alias("width"), "vec_id", F.explode(lists).alias("list"))
-    listed = listed.select("label", "width", "list.*", "vec_id")
+    listed = first.select("label", "width", "p", F.explode(F.concat(seconds, around)).alias("q"), "vec_id")
     sizes = listed.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
     sizes = sizes.select(*key, F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = attach(listed, sizes, key, ["vec_id"], how="inner")

@@ -342,6 +342,18 @@ def test_links_in_a_large_near_group_equal_brute_force(spark):
     assert (found.component_id == component).mean() >= 0.999
 
 
+def test_lists_of_two_points_find_the_same_links(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    centers = rng.normal(size=(60, 24))
+    vectors = np.repeat(centers, 8, axis=0) + 0.06 * rng.normal(size=(480, 24))
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(vectors.tolist())], "vec_id bigint, embedding array<double>, label int")
+    whole = collected(pivots.near_vectors(df, Stage(spark, "test"))).sort_values("vec_id")
+    monkeypatch.setattr(pivots, "BLOCK", 16)
+    cut = collected(pivots.near_vectors(df, Stage(spark, "test"))).sort_values("vec_id")
+    assert whole.n_links.sum() > 400
+    assert whole.to_numpy().tolist() == cut.to_numpy().tolist()
+
+
 def test_repeated_ids_count_by_their_smallest_vector(spark):
     rows = [(1, [1.0, 0.0, 0.1], 1, "a"), (1, [0.0, 1.0, 0.1], 1, "b"), (2, [1.0, 0.0, 0.11], 1, "c"), (3, [0.0, 1.0, 0.11], 1, "d")]
     for given in (rows, rows[::-1]):
