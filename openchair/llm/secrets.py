@@ -34,9 +34,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 
 _NAME = r"[A-Za-z_][A-Za-z0-9_.-]*+(?:\[[^\[\]\n]{0,80}\](?:\.[A-Za-z_][A-Za-z0-9_.-]*+)?)*+"
 _QUOTED = r"""(?:[rRbBuUfF]{1,2}|u8|[rR]\#{1,3}|L|@|\$@?)?["']"""
-# A name, an annotation and the sign of assignment.
+# A name, an annotation and the sign of assignment. A run of name characters has one start, so long ones are read once.
 HEAD = re.compile(
-    rf"""(?<![A-Za-z_])(?P<name>{_NAME})(?:\\?["'])?
+    rf"""(?<![A-Za-z0-9_.-])[0-9.-]*+(?P<name>{_NAME})(?:\\?["'])?
     (?:[\x20\t]+(?:\[\]byte|\*?string|str|bytes|text|char|any)(?=[\x20\t]*=)
       |[\x20\t]*[?!]?:[\x20\t]*[A-Za-z_&*'\[][\w.&*'?|:\x20]{{0,60}}(?:[\[<][^\n=]{{0,60}}[\]>])?[\w?|\x20]{{0,30}}
        (?=[\x20\t]*=[\x20\t]*(?:{_QUOTED}|[(\[])|[\x20\t]+=[\x20\t]))?

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, namedtuple
 
@@ -231,6 +233,80 @@ def test_assignment_forms(text):
     assert "hN7x" not in clean and "Q2vLw9Zt" not in clean
 
 
+def runs_of(text, at, signs):
+    end = at
+    while end < len(text) and text[end] in signs:
+        end += 1
+    return end
+
+
+def plain_base_spans(text):
+    """The three base kinds by walking over the characters."""
+    digits, upper = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    value = digits + upper + upper.lower() + "+/_.=-"
+    low = "".join(c.lower() if c in upper else c for c in text)
+    found, at = [], 0
+    while at < len(text):
+        word = next((w for w in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(w, at)), None)
+        end = at + 1
+        if word:
+            here = at + len(word)
+            here = runs_of(text, here + (text[here : here + 1] in ('"', "'")), " ")
+            if text[here : here + 1] in (":", "="):
+                here = runs_of(text, here + 1, " ")
+                here += text[here : here + 1] in ('"', "'")
+                stop = runs_of(text, here, value)
+                if stop > here:
+                    end = stop
+                    if stop - here >= 6:
+                        found.append(("assign", at, stop))
+        at = end
+    for kind, signs, head, least in (("access", digits + upper, "AKIA", 20), ("hex", digits + "abcdef", "", 24)):
+        at = 0
+        while at < len(text):
+            stop = runs_of(text, at + len(head), signs) if text.startswith(head, at) else at
+            if stop - at >= least:
+                found.append((kind, at, stop))
+            at = max(at + 1, stop if stop > at + len(head) else at)
+    return sorted(found, key=lambda span: (span[1], ("assign", "access", "hex").index(span[0])))
+
+
+def test_base_spans_equal_a_plain_scan(spark):
+    from openchair.llm.secrets import op5_secret_scan
+
+    folder = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    found = op5_secret_scan(spark, folder).collect()
+    assert sorted(r.doc_id for r in found) == sorted(texts)
+    seen = 0
+    for row in found:
+        want = plain_base_spans(texts[row.doc_id] or "")
+        joined = ",".join(f"{kind}:{start}:{end}" for kind, start, end in want)
+        assert row.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+        assert [row.n_assign, row.n_access, row.n_hex] == [sum(w[0] == k for w in want) for k in ("assign", "access", "hex")]
+        seen += len(want)
+    assert seen > 0
+    rng = random.Random(2)
+    pieces = ["password", "PassWD", "api_key", "apikey", "token", "AKIA", "ABCD0123", "abcdef01", "=", ":", " ", '"', "'", "x", "-é", "\n"]
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) * rng.randint(1, 3) for _ in range(rng.randint(1, 14)))
+        own = sorted(secrets.base_spans(text), key=lambda span: (span[1], ("assign", "access", "hex").index(span[0])))
+        assert own == plain_base_spans(text), text
+
+
+def test_long_runs_of_name_characters_are_read_once():
+    for text in ("x = 1 " + "a1" * 500_000, "x = 1 " + "a.-1" * 250_000, "a[0]." * 200_000):
+        begin = time.perf_counter()
+        secrets.spans_of(text)
+        assert time.perf_counter() - begin < 5
+
+
+def test_names_after_digits_dots_and_hyphens():
+    for text in ('--password="hN7xQ2vLw9Zt"', '.db_password = "hN7xQ2vLw9Zt"', '1: db_password = "hN7xQ2vLw9Zt"', '9password = "hN7xQ2vLw9Zt"'):
+        at = text.index("hN7")
+        assert ("literal", at, at + 12) in secrets.spans_of(text)
+
+
 def test_long_constants_pass_on_their_names():
     text = 'k = "hN7xQ2vLw9Zt"\n' + 'k = k + "y"\n' * 5000 + "password = k\n"
     assert "hN7xQ2vLw9Zt" in [text[a:b] for kind, a, b in secrets.spans_of(text)]
