@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,18 +29,24 @@ _SCORE_COLUMNS = ("shortfall_score", "score_margin", "confidence_score")
 
 
 def decision_input(
-    slots: DataFrame, features: DataFrame, underbooking: DataFrame, scores: DataFrame
+    slots: DataFrame,
+    features: DataFrame,
+    underbooking: DataFrame,
+    scores: DataFrame,
+    key: Sequence[str] = VERSIONED_SLOT_KEY,
 ) -> DataFrame:
     """Join the stored tables of a run into one row per open future slot.
 
     All four tables are unique per slot and version, so every join shuffles evenly. A job
     that has just computed the features needs no join: the scored rows carry all columns.
+    Tables that hold a single run may be joined on ``slot_id`` alone, which keeps their buckets.
     """
+    slot_key = [name for name in key if name in SLOT_KEY]
     chosen = (F.col("current_status") == "open") & (
         F.col("slot_start_at") >= F.col("effective_ts")
     )
     slot_part = slots.where(chosen).select(
-        *SLOT_KEY,
+        *slot_key,
         "effective_ts",
         "business_id",
         "provider_id",
@@ -47,7 +55,7 @@ def decision_input(
         "slot_start_at",
     )
     feature_part = features.select(
-        *VERSIONED_SLOT_KEY,
+        *key,
         "hours_until_slot",
         "provider_utilization_7d",
         "day_of_week",
@@ -55,14 +63,11 @@ def decision_input(
         "effective_lead_time_band",
         "pace_deviation",
     )
-    flag_part = underbooking.select(
-        *VERSIONED_SLOT_KEY, "underbooked", "severity_score", "pace_gap_normalized"
-    )
-    key = list(VERSIONED_SLOT_KEY)
+    flag_part = underbooking.select(*key, "underbooked", "severity_score", "pace_gap_normalized")
     return (
-        slot_part.join(feature_part, list(SLOT_KEY))
-        .join(flag_part, key, "left")
-        .join(scores.select(*key, *_SCORE_COLUMNS), key, "left")
+        slot_part.join(feature_part, slot_key)
+        .join(flag_part, list(key), "left")
+        .join(scores.select(*key, *_SCORE_COLUMNS), list(key), "left")
     )
 
 
@@ -187,11 +192,13 @@ def decision_view(
     features: DataFrame,
     underbooking: DataFrame,
     scores: DataFrame,
+    key: Sequence[str] = VERSIONED_SLOT_KEY,
 ) -> DataFrame:
     """Rebuild the columns evaluation and explorer read from stored tables of earlier runs."""
-    key = list(VERSIONED_SLOT_KEY)
+    key = list(key)
+    slot_key = [name for name in key if name in SLOT_KEY]
     slot_part = slots.select(
-        *SLOT_KEY, "business_id", "provider_id", "service_id", "standard_price"
+        *slot_key, "business_id", "provider_id", "service_id", "standard_price"
     )
     parsed = actions.withColumns(
         {
@@ -201,7 +208,7 @@ def decision_view(
     )
     flag_part = underbooking.select(*key, "underbooked", "severity_score", "pace_gap_normalized")
     return (
-        parsed.join(slot_part, list(SLOT_KEY))
+        parsed.join(slot_part, slot_key)
         .join(
             features.select(*key, "effective_lead_time_band", "time_of_day_bucket"), key, "left"
         )

@@ -553,6 +553,14 @@ DAILY_FILL = _daily(
        FROM daily GROUP BY 1, 2, 3, 4"""
 )
 
+_DECISION_INPUT = f"""SELECT {KEY}, feature_snapshot_version, business_id, provider_id, service_id,
+               {_rounded('standard_price')}, slot_start_at, {_rounded('hours_until_slot',
+               'provider_utilization_7d')}, day_of_week, time_of_day_bucket,
+               effective_lead_time_band, {_rounded('pace_deviation')}, underbooked,
+               {_rounded('severity_score', 'pace_gap_normalized', 'shortfall_score',
+                         'score_margin', 'confidence_score')}
+        FROM scored"""
+
 ORACLE_SQL: dict[str, str] = {
     "scan_slots": statement(
         f"SELECT slot_id, scenario_id, run_id, provider_id, slot_start_at,"
@@ -710,15 +718,7 @@ ORACLE_SQL: dict[str, str] = {
         " FROM scored",
         THREE_RUNS,
     ),
-    "decision_input": statement(
-        f"""SELECT {KEY}, feature_snapshot_version, business_id, provider_id, service_id,
-               {_rounded('standard_price')}, slot_start_at, {_rounded('hours_until_slot',
-               'provider_utilization_7d')}, day_of_week, time_of_day_bucket,
-               effective_lead_time_band, {_rounded('pace_deviation')}, underbooked,
-               {_rounded('severity_score', 'pace_gap_normalized', 'shortfall_score',
-                         'score_margin', 'confidence_score')}
-        FROM scored"""
-    ),
+    "decision_input": statement(_DECISION_INPUT),
     "eligible_actions": statement(
         f"SELECT {KEY}, '[' || array_to_string(eligible, ', ') || ']' AS eligible_action_set"
         " FROM choices",
@@ -746,6 +746,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM decisions"""
     ),
     "policy_checks": statement(POLICY, **STRICT),
+    "policy_faults": statement(POLICY, THREE_RUNS),
     "evaluation": statement(EVALUATION),
     "backfill_evaluation": statement(EVALUATION, THREE_RUNS),
     "similar_slot_consistency": statement(
@@ -763,6 +764,17 @@ ORACLE_SQL: dict[str, str] = {
         f"SELECT * FROM ({RECOMMENDATIONS})"
         " ORDER BY severity_score DESC NULLS LAST, recommended_discount DESC, slot_id LIMIT 20"
     ),
+    "recommendations_of_provider": statement(RECOMMENDATIONS + " WHERE provider_id = 'prov_103'"),
+    "recommendations_of_lead_band": statement(
+        RECOMMENDATIONS + " WHERE effective_lead_time_band = 'gt_168h'"
+    ),
+    "stored_decision_input": statement(_DECISION_INPUT, THREE_RUNS) + " WHERE run_id = 'run_19980601'",
+    "stored_recommendations": statement(RECOMMENDATIONS + " WHERE run_id = 'run_19970601'", THREE_RUNS),
+    "stored_runs": statement(
+        "SELECT scenario_id, run_id, max(effective_ts) AS effective_ts, count(*) AS slot_count"
+        " FROM booking_slots GROUP BY 1, 2",
+        THREE_RUNS,
+    ),
     "severity_distribution": statement(
         """SELECT scenario_id, run_id, CASE WHEN severity_score < 0.25 THEN '0.00-0.24'
                  WHEN severity_score < 0.5 THEN '0.25-0.49'

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime, timedelta
@@ -27,7 +28,8 @@ from openchair.operators import (
 )
 from openchair.params import RUN_KEY, SLOT_KEY, RunSpec, Settings
 from openchair.plans.snapshot_job import SnapshotJob
-from openchair.plans.staging import staged
+from openchair.plans.staging import new_folder, staged
+from openchair.plans.stored import RunTables
 from openchair.schemas import SLOTS
 from openchair.sources import commerce, tables
 
@@ -530,6 +532,11 @@ def policy_checks(spark, sf_dir):
     return quality.policy_rules(_job(spark, sf_dir, STRICT).decisions, STRICT)
 
 
+def policy_faults(spark, sf_dir):
+    """Decisions of three runs held against rules stricter than those they were made by; in one run discounts fall with severity."""
+    return quality.policy_rules(_job(spark, sf_dir, runs=BACKFILL).decisions, STRICT)
+
+
 # Evaluation and explorer ----------------------------------------------------------------
 
 
@@ -591,6 +598,40 @@ def recommendations_top(spark, sf_dir):
     return explorer.top_recommendations(_rounded(rows), 20)
 
 
+def recommendations_of_provider(spark, sf_dir):
+    decisions = _job(spark, sf_dir).decisions
+    return _rounded(explorer.recommendations(decisions, provider_id="prov_103"))
+
+
+def recommendations_of_lead_band(spark, sf_dir):
+    decisions = _job(spark, sf_dir).decisions
+    return _rounded(explorer.recommendations(decisions, lead_time_band="gt_168h"))
+
+
+def _stored(spark, sf_dir) -> RunTables:
+    """The tables of three runs, written for joins to a folder of their own."""
+    job = _job(spark, sf_dir, runs=BACKFILL, scarcity=True)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = RunTables(spark, f"openchair_{uuid.uuid4().hex}", buckets, new_folder(spark))
+    stored.write(job)
+    return stored
+
+
+def stored_decision_input(spark, sf_dir):
+    """One of three stored runs: slots, features, flags and scores joined bucket by bucket."""
+    return _rounded(_stored(spark, sf_dir).decision_input(RUN).drop("effective_ts"))
+
+
+def stored_recommendations(spark, sf_dir):
+    """The list of an earlier one of three stored runs, read back from its tables."""
+    return _rounded(explorer.recommendations(_stored(spark, sf_dir).decisions(BACKFILL[0])))
+
+
+def stored_runs(spark, sf_dir):
+    """The runs found in the stored tables, newest first."""
+    return _stored(spark, sf_dir).runs()
+
+
 def severity_distribution(spark, sf_dir):
     return explorer.severity_distribution(_job(spark, sf_dir).flagged_once)
 
@@ -684,6 +725,7 @@ QUERIES: dict[str, Query] = {
     "rationale_mapped": rationale_mapped,
     "pricing_actions": pricing_actions,
     "policy_checks": policy_checks,
+    "policy_faults": policy_faults,
     "evaluation": evaluation_metrics,
     "backfill_evaluation": backfill_evaluation,
     "similar_slot_consistency": similar_slot_consistency,
@@ -694,6 +736,11 @@ QUERIES: dict[str, Query] = {
     "recommendations_explored": recommendations_explored,
     "recommendations_sorted": recommendations_sorted,
     "recommendations_top": recommendations_top,
+    "recommendations_of_provider": recommendations_of_provider,
+    "recommendations_of_lead_band": recommendations_of_lead_band,
+    "stored_decision_input": stored_decision_input,
+    "stored_recommendations": stored_recommendations,
+    "stored_runs": stored_runs,
     "severity_distribution": severity_distribution,
     "summary_by_action": summary_by_action,
     "summary_by_provider": summary_by_provider,

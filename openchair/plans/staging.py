@@ -18,6 +18,11 @@ def _own_folder(spark: SparkSession) -> str:
     return f"{staging_root(spark)}/openchair/{spark.sparkContext.applicationId}"
 
 
+def new_folder(spark: SparkSession) -> str:
+    """A folder of this application that nothing else uses."""
+    return f"{_own_folder(spark)}/{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     """Write ``df`` as Parquet, partitioned by the columns ``by``, and read it back.
 
@@ -25,7 +30,7 @@ def staged(df: DataFrame, label: str, by: Sequence[str] = ()) -> DataFrame:
     a known size, so the planner's broadcast check works from real file sizes.
     """
     spark = df.sparkSession
-    path = f"{_own_folder(spark)}/{uuid.uuid4().hex}/{label}"
+    path = f"{new_folder(spark)}/{label}"
     writer = df.write.partitionBy(*by) if by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
