@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from openchair.functions.ids import stable_id
 from openchair.params import RunSpec
-from openchair.schemas import BOOKING_EVENTS, SLOTS
+from openchair.schemas import BOOKING_EVENTS, DIMENSIONS, SLOTS
 
 # The prefix of each kind of id and the price of a slot without one.
 PREFIXES = {
@@ -130,6 +130,35 @@ def load_events(normalized: DataFrame, run: RunSpec) -> DataFrame:
     return _typed(normalized, BOOKING_EVENTS, {"effective_ts": F.lit(str(run.effective_ts))})
 
 
+def _losses(table: str) -> Column:
+    """What keeps a row of a dimension from its stored layout: values that do not parse, and an absent id.
+
+    An absent value of any other column is stored as null.
+    """
+    own, *others = DIMENSIONS[table].fields
+    kind = "struct<column:string,value:string>"
+    lost = [F.when(F.col(own.name).isNull(), F.struct(F.lit(own.name).alias("column"), F.lit(None).cast("string").alias("value")))]
+    for field in others:
+        value = F.col(field.name)
+        if isinstance(field.dataType, T.StringType):
+            continue
+        broken = value.isNotNull() & value.cast("string").try_cast(field.dataType).isNull()
+        lost.append(F.when(broken, F.struct(F.lit(field.name).alias("column"), value.cast("string").alias("value"))))
+    return F.filter(F.array(*[column.cast(kind) for column in lost]), lambda x: x.isNotNull())
+
+
+def load_dimension(normalized: DataFrame, table: str) -> DataFrame:
+    """Rows in the stored layout of their dimension. Rows that would lose a value are left to ``dimension_rejects``."""
+    fields = [F.col(f.name).cast("string").try_cast(f.dataType).alias(f.name) for f in DIMENSIONS[table]]
+    return normalized.where(F.size(_losses(table)) == 0).select(*fields)
+
+
+def dimension_rejects(normalized: DataFrame, table: str) -> DataFrame:
+    """One row for each value that cannot be stored: its dimension, column, text and the whole record as JSON."""
+    lost = normalized.select(F.to_json(F.struct("*")).alias("record"), _losses(table).alias("_lost"))
+    return lost.select(F.lit(table).alias("dimension"), F.inline("_lost"), "record")
+
+
 def align_schema(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Give a table of an older layout the columns it lacks, as nulls of the right type."""
     empty = df.sparkSession.createDataFrame([], schema)

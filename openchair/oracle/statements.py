@@ -86,6 +86,63 @@ DIMENSIONS = {
       FROM customer""",
 }
 
+_SENT_SERVICES = """
+  SELECT *, TRY_CAST(sent AS INTEGER) AS duration_minutes FROM (
+    SELECT digit, CASE digit WHEN '1' THEN 'sixty' WHEN '2' THEN '99999999999' WHEN '3' THEN NULL ELSE '60' END AS sent
+    FROM (SELECT DISTINCT substr(o_orderpriority, 1, 1) AS digit FROM orders))
+"""
+_SENT_CUSTOMERS = """
+  SELECT *, 'biz_' || (c_custkey % 10) AS biz, 'loc_' || (c_custkey % 10) AS loc,
+         'prov_' || (c_custkey % 150) AS prov
+  FROM customer
+"""
+
+
+def _dimension(table: str, entity: str, source: str, location: str, named: bool, rows: str) -> str:
+    name = "'Name of ' || name_of" if named else "NULL"
+    return f"""SELECT DISTINCT '{table}' AS dimension, {_id(entity, source)} AS entity_id, {_id('biz', 'biz')} AS business_id,
+      {location} AS location_id, {name} AS name, first_name, last_name, duration_minutes, 'scn_main' AS scenario_id
+    FROM (SELECT *, {source} AS name_of FROM ({rows}))"""
+
+
+def _of_customers(first: str = "NULL", last: str = "NULL", where: str = "true") -> str:
+    return f"""SELECT biz, loc, prov, c_custkey, {first} AS first_name, {last} AS last_name, NULL::INT AS duration_minutes
+      FROM ({_SENT_CUSTOMERS}) WHERE {where}"""
+
+
+LOAD_DIMS = " UNION ALL ".join(
+    [
+        _dimension("businesses", "biz", "biz", "NULL", True, _of_customers()),
+        _dimension("providers", "prov", "prov", _id("loc", "loc"), True, _of_customers()),
+        _dimension(
+            "services",
+            "svc",
+            "svc",
+            "NULL",
+            True,
+            f"""SELECT 'svc_' || digit AS svc, 'biz_' || digit AS biz, NULL AS first_name, NULL AS last_name, duration_minutes
+              FROM ({_SENT_SERVICES}) WHERE sent IS NULL OR duration_minutes IS NOT NULL""",
+        ),
+        _dimension("locations", "loc", "loc", _id("loc", "loc"), True, _of_customers()),
+        _dimension(
+            "customers",
+            "cus",
+            "'cust_' || c_custkey",
+            "NULL",
+            False,
+            _of_customers("c_mktsegment", "c_name", "c_mktsegment <> 'BUILDING'"),
+        ),
+    ]
+)
+
+LOAD_REJECTS = f"""
+  SELECT 'services' AS dimension, 'duration_minutes' AS column_name, sent AS sent_value,
+         'biz_' || digit AS source_business_id, NULL AS last_name
+  FROM ({_SENT_SERVICES}) WHERE sent IS NOT NULL AND duration_minutes IS NULL
+  UNION ALL
+  SELECT 'customers', 'customer_id', NULL, biz, c_name FROM ({_SENT_CUSTOMERS}) WHERE c_mktsegment = 'BUILDING'
+"""
+
 # Data quality ------------------------------------------------------------------------------
 
 
@@ -593,6 +650,8 @@ ORACLE_SQL: dict[str, str] = {
                run_id, TIMESTAMP '1998-06-01 00:00:00' AS effective_ts
         FROM ({NORMAL_EVENTS})"""
     ),
+    "load_dims": LOAD_DIMS,
+    "load_rejects": LOAD_REJECTS,
     "dq_nulls": statement(NULL_RULES),
     "dq_types": statement(TYPE_RULES),
     "dq_integrity": statement(INTEGRITY_RULES),

@@ -170,6 +170,64 @@ def load_events(spark, sf_dir):
     return normalize.load_events(_normalized_events(spark, sf_dir), RUN)
 
 
+DIMENSION_VIEW = (
+    "location_id",
+    "name",
+    "first_name",
+    "last_name",
+    "duration_minutes",
+)
+
+
+def _sent_dimensions(spark, sf_dir) -> dict[str, DataFrame]:
+    """Dimensions as text, as a source sends them, with faults: one service's duration is a word, one's too long for its type,
+    one's absent; the customers of one segment have no id."""
+    raw = dict(commerce.raw_dimensions(_session(spark), sf_dir))
+    word = "CASE source_service_id WHEN 'svc_1' THEN 'sixty' WHEN 'svc_2' THEN '99999999999' WHEN 'svc_3' THEN NULL"
+    raw["services"] = raw["services"].withColumn(
+        "duration_minutes", F.expr(f"{word} ELSE CAST(duration_minutes AS STRING) END")
+    )
+    raw["customers"] = raw["customers"].withColumn(
+        "source_customer_id", F.when(F.col("first_name") != "BUILDING", F.col("source_customer_id"))
+    )
+    return normalize.normalize_dimensions(raw, RUN.scenario_id)
+
+
+def _stacked(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for df in tables[1:]:
+        out = out.unionByName(df)
+    return out
+
+
+def load_dims(spark, sf_dir):
+    """All five dimensions in their stored types, without the rows that lose a value; a column that one lacks is null."""
+    parts = []
+    for table, normalized in _sent_dimensions(spark, sf_dir).items():
+        loaded = normalize.load_dimension(normalized, table)
+        kinds = {"duration_minutes": "int"}
+        shared = [
+            (F.col(c) if c in loaded.columns else F.lit(None).cast(kinds.get(c, "string"))).alias(c)
+            for c in DIMENSION_VIEW
+        ]
+        own = F.col(loaded.columns[0]).alias("entity_id")
+        parts.append(loaded.select(F.lit(table).alias("dimension"), own, "business_id", *shared, "scenario_id"))
+    return _stacked(parts)
+
+
+def load_rejects(spark, sf_dir):
+    """The values that kept rows of the same dimensions out, each with its column."""
+    sent = _sent_dimensions(spark, sf_dir)
+    rejects = _stacked([normalize.dimension_rejects(df, table) for table, df in sent.items()])
+    return rejects.select(
+        "dimension",
+        F.col("column").alias("column_name"),
+        F.col("value").alias("sent_value"),
+        F.get_json_object("record", "$.source_business_id").alias("source_business_id"),
+        F.get_json_object("record", "$.last_name").alias("last_name"),
+    )
+
+
 def dq_nulls(spark, sf_dir):
     slots, events = _normalized_slots(spark, sf_dir), _normalized_events(spark, sf_dir)
     return quality.null_rules(slots, "slots").unionByName(
@@ -677,6 +735,8 @@ QUERIES: dict[str, Query] = {
     "normalize_events": normalize_events,
     "load_slots": load_slots,
     "load_events": load_events,
+    "load_dims": load_dims,
+    "load_rejects": load_rejects,
     "dq_nulls": dq_nulls,
     "dq_types": dq_types,
     "dq_integrity": dq_integrity,

@@ -74,6 +74,47 @@ BOOKING_EVENTS = _schema(
     effective_ts=_TS,
 )
 
+# Every dimension holds its own id first.
+DIMENSIONS = {
+    "businesses": _schema(business_id=_S, source_business_id=_S, name=_S, scenario_id=_S),
+    "providers": _schema(
+        provider_id=_S,
+        business_id=_S,
+        location_id=_S,
+        source_provider_id=_S,
+        source_location_id=_S,
+        source_business_id=_S,
+        name=_S,
+        scenario_id=_S,
+    ),
+    "services": _schema(
+        service_id=_S,
+        business_id=_S,
+        source_service_id=_S,
+        source_business_id=_S,
+        name=_S,
+        duration_minutes=_I,
+        scenario_id=_S,
+    ),
+    "locations": _schema(
+        location_id=_S,
+        business_id=_S,
+        source_location_id=_S,
+        source_business_id=_S,
+        name=_S,
+        scenario_id=_S,
+    ),
+    "customers": _schema(
+        customer_id=_S,
+        business_id=_S,
+        source_customer_id=_S,
+        source_business_id=_S,
+        first_name=_S,
+        last_name=_S,
+        scenario_id=_S,
+    ),
+}
+
 # Columns that load derives; an input that already carries them breaks the contract.
 _SLOT_DERIVED = {"unavailable_at", "current_status", "effective_ts", "config_hash"}
 SLOT_REQUIRED = ("slot_id", "provider_id", "business_id", "slot_start_at", "scenario_id", "run_id")

@@ -151,6 +151,44 @@ def test_bad_batches_leave_no_table(spark, sf_dir, tmp_path):
     assert not root.exists()
 
 
+def test_rows_that_lose_a_value_refuse_the_batch_or_go_to_the_rejects(spark, sf_dir, tmp_path):
+    root, rejects = tmp_path / "warehouse", str(tmp_path / "rejects")
+    dims, slots, events = batch(spark, sf_dir, RUN_A)
+    spare = dims["services"].limit(1).withColumns(
+        {"service_id": F.lit("svc_spare"), "source_service_id": F.lit("spare"), "duration_minutes": F.lit("1 hour")}
+    )
+    nameless = dims["customers"].limit(1).withColumns(
+        {"customer_id": F.lit(None).cast("string"), "source_customer_id": F.lit("nobody")}
+    )
+    text = dims["services"].withColumn("duration_minutes", F.col("duration_minutes").cast("string"))
+    faulty = dims | {"services": text.unionByName(spare), "customers": dims["customers"].unionByName(nameless)}
+    with pytest.raises(ValueError, match="cannot be stored: 1"):
+        load_batch(faulty, slots, events, RUN_A, "cfg", str(root))
+    assert not root.exists()
+    load_batch(faulty, slots, events, RUN_A, "cfg", str(root), rejects=rejects)
+    kept = {(r["dimension"], r["column"], r["value"]) for r in spark.read.parquet(rejects).collect()}
+    assert kept == {("services", "duration_minutes", "1 hour"), ("customers", "customer_id", None)}
+    stored_services = spark.read.parquet(f"{root}/services")
+    assert dict(stored_services.dtypes)["duration_minutes"] == "int"
+    assert stored_services.count() == dims["services"].count()
+    # A parent that facts need may not be rejected.
+    needed = dims | {"services": text.withColumn("duration_minutes", F.lit("long"))}
+    with pytest.raises(ValueError, match="slot has unknown service"):
+        load_batch(needed, slots, events, RUN_A, "cfg", str(root), rejects=rejects)
+    load_batch(dims, slots, events, RUN_A, "cfg", str(root), rejects=rejects)
+    assert spark.read.parquet(rejects).count() == 0
+
+
+def test_rows_of_another_scope_and_missing_dimensions_refuse_the_batch(spark, sf_dir, tmp_path):
+    dims, slots, events = batch(spark, sf_dir, RUN_A)
+    strangers = dims | {"customers": dims["customers"].withColumn("scenario_id", F.lit("scn_other"))}
+    with pytest.raises(ValueError, match="customers row is of another scope"):
+        load_batch(strangers, slots, events, RUN_A, "cfg", str(tmp_path / "warehouse"))
+    with pytest.raises(ValueError, match="missing required dimensions: \\['customers'\\]"):
+        load_batch({k: v for k, v in dims.items() if k != "customers"}, slots, events, RUN_A, "cfg", str(tmp_path))
+    assert not (tmp_path / "warehouse").exists()
+
+
 def rules_of(df):
     return {r["rule"]: r["bad_rows"] for r in df.collect()}
 
