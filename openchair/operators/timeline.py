@@ -12,7 +12,7 @@ the results equal those of adding up the slots at each snapshot anew.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Window
@@ -122,16 +122,29 @@ def cells_at_runs(
 
     Columns are named as in ``baselines.slot_cells``, so all that is built on cells can be built on these.
     """
+    known = add_cohort_key(join_history(slots, events), settings)
+    known = known.withColumn("unavailable_at", unavailable_at())
+    return _sums_at_runs(known, runs, changes, place, _TIMES)
+
+
+def _sums_at_runs(
+    known: DataFrame,
+    runs: Sequence[RunSpec],
+    changes: Sequence[Change],
+    place: Sequence[str],
+    clocks: Mapping[str, str],
+    having: str = "true",
+) -> DataFrame:
+    """Running totals of ``changes``; ``having`` drops totals before they are spread over the runs that see them."""
     ordered = sorted(runs, key=lambda run: (run.effective_ts, run.scenario_id, run.run_id))
     times = [_micros(run.effective_ts) for run in ordered]
     measures = list(dict.fromkeys(measure for measure, _, _ in changes))
-    known = add_cohort_key(join_history(slots, events), settings)
-    known = known.withColumn("unavailable_at", unavailable_at()).where("visible_at IS NOT NULL")
+    known = known.where("visible_at IS NOT NULL")
     epoch = f"TIMESTAMP_NTZ '{_EPOCH}'"
     timed = known.selectExpr(
         *place,
-        "first_event_type",
-        *[f"timestampdiff(MICROSECOND, {epoch}, {column}) AS {name}" for name, column in _TIMES.items()],
+        *(["first_event_type"] if "first_event_type" in known.columns else []),
+        *[f"timestampdiff(MICROSECOND, {epoch}, {column}) AS {name}" for name, column in clocks.items()],
     )
     listed = ", ".join(
         f"named_struct('measure', {measures.index(measure)}, 'at', {at}, 'amount', CAST({amount} AS DECIMAL(20, 0)))"
@@ -154,7 +167,7 @@ def cells_at_runs(
         f" '{run.feature_snapshot_version}', '_ts', {ts}L)"
         for run, ts in zip(ordered, times)
     )
-    every = totals.selectExpr("*", "explode(sequence(_index, _next - 1)) AS _run").selectExpr(
+    every = totals.where(having).selectExpr("*", "explode(sequence(_index, _next - 1)) AS _run").selectExpr(
         *place, *measures, f"element_at(array({described}), _run + 1) AS _run"
     )
     every = every.selectExpr(*place, "_run.*", *measures)
@@ -173,3 +186,19 @@ def provider_windows(
     cells = cells_at_runs(slots, events, runs, settings, changes, ("provider_id",))
     keys, measures = GROUP_STATISTICS["provider"]
     return cells.groupBy(*RUN_KEY, *keys).agg(*[F.expr(m) for m in measures])
+
+
+def remaining_slots(
+    slots: DataFrame, runs: Sequence[RunSpec], settings: Settings, place: Sequence[str]
+) -> DataFrame:
+    """Slots still to come at every run for each ``place``: published by then and not yet started.
+
+    ``place`` names columns of the slots, of their cohort, or ``slot_date``. A slot counts from its publication to its start,
+    two dated changes, so what is left at a snapshot is a running total and slots are grouped once for all runs. Places with
+    nothing left have no row: a date that has passed is not carried on to later runs.
+    """
+    known = add_cohort_key(slots, settings).withColumn("slot_date", F.to_date("slot_start_at"))
+    clocks = {name: _TIMES[name] for name in ("v", "s")}
+    changes = _while("n_future", "v", "s")
+    left = _sums_at_runs(known, runs, changes, place, clocks, having="n_future > 0")
+    return left.select(*RUN_KEY, *place, F.col("n_future").alias("remaining_slots"))

@@ -610,6 +610,16 @@ DAILY_FILL = _daily(
        FROM daily GROUP BY 1, 2, 3, 4"""
 )
 
+_REMAINING = "count(*) AS remaining_slots FROM daily WHERE slot_start_at >= effective_ts GROUP BY ALL"
+DAILY_PROVIDER_SCARCITY = _daily(
+    f"SELECT scenario_id, run_id, provider_id, slot_start_at::DATE AS slot_date, {_REMAINING}"
+)
+DAILY_SERVICE_SCARCITY = _daily(
+    f"""SELECT scenario_id, run_id, business_id, service_type, dayname(slot_start_at) AS day_of_week,
+           CASE WHEN hour(slot_start_at) < 12 THEN '00-12' WHEN hour(slot_start_at) < 17 THEN '12-17'
+                ELSE '17-24' END AS time_of_day_bucket, {_REMAINING}"""
+)
+
 _DECISION_INPUT = f"""SELECT {KEY}, feature_snapshot_version, business_id, provider_id, service_id,
                {_rounded('standard_price')}, slot_start_at, {_rounded('hours_until_slot',
                'provider_utilization_7d')}, day_of_week, time_of_day_bucket,
@@ -698,6 +708,8 @@ ORACLE_SQL: dict[str, str] = {
     "backfill_cohort_baselines": statement(_COHORTS, THREE_RUNS),
     "daily_provider_windows": DAILY_WINDOWS,
     "daily_fill": DAILY_FILL,
+    "daily_provider_scarcity": DAILY_PROVIDER_SCARCITY,
+    "daily_service_scarcity": DAILY_SERVICE_SCARCITY,
     "features_pace": statement(
         f"SELECT {KEY}, {_rounded('observed_booking_pace_per_day')} FROM snapshot"
     ),

@@ -424,6 +424,19 @@ def daily_fill(spark, sf_dir):
     )
 
 
+def daily_provider_scarcity(spark, sf_dir):
+    """Slots that each provider still has to come on each date, as seen at each midnight of a year."""
+    feed, _ = _feeds(spark, sf_dir)
+    return timeline.remaining_slots(feed, YEAR, DEFAULTS, ("provider_id", "slot_date"))
+
+
+def daily_service_scarcity(spark, sf_dir):
+    """Slots still to come by business, service, weekday and time of day, as seen at each midnight of a year."""
+    feed, _ = _feeds(spark, sf_dir)
+    place = ("business_id", "service_type", "day_of_week", "time_of_day_bucket")
+    return timeline.remaining_slots(feed, YEAR, DEFAULTS, place)
+
+
 def features_pace(spark, sf_dir):
     return _pick(_job(spark, sf_dir).base, *SLOT_KEY, "observed_booking_pace_per_day")
 
@@ -761,6 +774,8 @@ QUERIES: dict[str, Query] = {
     "backfill_cohort_baselines": backfill_cohort_baselines,
     "daily_provider_windows": daily_provider_windows,
     "daily_fill": daily_fill,
+    "daily_provider_scarcity": daily_provider_scarcity,
+    "daily_service_scarcity": daily_service_scarcity,
     "features_pace": features_pace,
     "features_fill": features_fill,
     "features_scarcity": features_scarcity,

@@ -133,3 +133,27 @@ def test_what_is_summed_by_cell_does_not_grow_with_the_snapshots(spark, sf_dir):
 def test_the_adapter_gives_feeds_without_runs(spark, sf_dir):
     assert is_feed(commerce.slot_feed(spark, sf_dir))
     assert "run_id" not in commerce.event_feed(spark, sf_dir).columns
+
+
+@pytest.mark.parametrize("name", GRIDS)
+@pytest.mark.parametrize("place", [("provider_id", "slot_date"), ("business_id", "service_type", "time_of_day_bucket")])
+def test_remaining_slots_equal_counting_at_each_snapshot(spark, name, place):
+    slots, events = feeds(spark)
+    runs, settings = runs_of(GRIDS[name]), Settings()
+    found = timeline.remaining_slots(slots, runs, settings, place)
+    base = snapshot_base(slots, events, settings, runs=runs).withColumn("slot_date", F.to_date("slot_start_at"))
+    left = base.where("slot_start_at >= effective_ts")
+    plain = left.groupBy("scenario_id", "run_id", *place).agg(F.count("*").alias("remaining_slots")).select(*found.columns)
+    assert found.exceptAll(plain).count() == 0 and plain.exceptAll(found).count() == 0
+
+
+def test_remaining_slots_of_many_runs_read_and_group_the_slots_once(spark):
+    slots, _ = feeds(spark)
+    plans = []
+    for count in (2, 40):
+        runs = runs_of([6 * i for i in range(count)])
+        df = timeline.remaining_slots(slots, runs, Settings(), ("provider_id", "slot_date"))
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+    # One exchange adds the changes by place and snapshot, one brings these sums in order.
+    assert [p.count("Exchange hashpartitioning") for p in plans] == [2, 2]
+    assert [p.count("Scan ") for p in plans] == [1, 1]
