@@ -3,7 +3,10 @@
 Spans have a kind, a start and an exclusive end in code points. Kinds `assign`, `access` and `hex` come from patterns. Kind
 `literal` comes from lexing: name-literal pairs of source and configuration syntax (`name = "x"`, `name: x`, `"name": "x"`,
 `name := x`, `name => x`, `a.b["name"] = x`, `name: type = x`, `name type = x`, `name = other = x`) are read in order, also those
-inside strings. A value is a bare word or strings with prefixes, escapes, triple quotes, brackets and concatenation. Names
+inside strings. A value is a bare word or strings with prefixes, escapes, triple quotes, brackets and concatenation. Pairs
+written without a sign of assignment are read first: `<name>x</name>`, `<add key="name" value="x"/>`, block scalars
+(`name: |` and the deeper lines), `ENV NAME x`, `#define NAME "x"`, `setName("x")`, `put("name", "x")`, and names with
+annotations of any length. Names
 that are assigned other names, found by their last part, take over their literals, and a literal is scored by the words
 of all names it reaches and by its own shape or that of the strings joined to it.
 
@@ -58,6 +61,26 @@ BLANK, SPACE = re.compile(r"[\x20\t]*"), re.compile(r"\s*")
 LAST_PART = re.compile(r"[A-Za-z0-9_-]+")
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
+# Pairs without a sign of assignment. Each pattern reads a stretch of text once, whatever its length.
+ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?>(?P<value>[^<>]++)</(?P=name)\s*+>", re.ASCII)
+TAG = re.compile(r"""<[A-Za-z][\w.:-]*+(?P<inner>(?:\s++[\w.:-]++\s*+=\s*+(?:"[^"<]*+"|'[^'<]*+'))++)\s*+/?>""", re.ASCII)
+ATTRIBUTE = re.compile(r"""(?P<name>[\w.:-]++)\s*+=\s*+(?:"(?P<double>[^"<]*+)"|'(?P<single>[^'<]*+)')""", re.ASCII)
+# Attributes that name the value of the same tag.
+NAMING = ("key", "name", "id")
+BLOCK = re.compile(
+    rf"""^(?P<indent>[\x20\t]*+(?:-\x20++)?)["']?(?P<name>{_NAME})["']?[\x20\t]*+:[\x20\t]*+[|>][-+0-9]*+[\x20\t]*+\r?$""",
+    re.ASCII | re.MULTILINE,
+)
+LINE = re.compile(r"\n(?P<indent>[\x20\t]*+)(?P<value>[^\n]*+)")
+ENVIRONMENT = re.compile(rf"^[\x20\t]*+(?:ENV|setenv)[\x20\t]++(?P<name>{_NAME})[\x20\t]++(?=[^\s=])", re.ASCII | re.MULTILINE)
+DEFINITION = re.compile(rf"^[\x20\t]*+\#[\x20\t]*+define[\x20\t]++(?P<name>{_NAME})[\x20\t]++", re.ASCII | re.MULTILINE)
+SETTER = re.compile(r"(?<![A-Za-z0-9])(?:set|put|add|with)_?(?P<name>\w*+)\(\s*+", re.ASCII | re.IGNORECASE)
+ARGUMENT = re.compile(r"\s*+,\s*+")
+# The end of a bracketed annotation, its sign, and the place where the annotation begins.
+ANNOTATED = re.compile(rf"[\]>][\w?|\x20\t]*+=(?=[\x20\t]*+(?:{_QUOTED}|[(\[]))", re.ASCII)
+BRACKET = re.compile(r"[\[\]<>]")
+ANNOTATION = re.compile(rf"(?<![A-Za-z0-9_.-])(?P<name>{_NAME})[?!]?[\x20\t]*+:[\x20\t]*+(?P<type>[A-Za-z_][\w.]*+)[\[<]", re.ASCII)
+
 # How much a word in a target's name speaks for a secret.
 NAME_WEIGHTS = {
     "password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "credential": 3, "credentials": 3,
@@ -158,11 +181,127 @@ def _joined(text: str, at: int) -> bool:
     return bool(join and STRING.match(text, join.end()))
 
 
+def _string_at(text: str, at: int) -> tuple[Spans, int] | None:
+    """The body of the string that starts at a place, and its end."""
+    string = STRING.match(text, at)
+    return string and ((string.span(string.lastgroup),), string.end())
+
+
+def _trimmed(text: str, start: int, end: int) -> Spans:
+    body = text[start:end]
+    start += len(body) - len(body.lstrip())
+    return ((start, max(start, end - (len(body) - len(body.rstrip())))),)
+
+
+def _tag_pairs(text: str) -> Iterator[tuple[str, Spans]]:
+    for element in ELEMENT.finditer(text):
+        yield element["name"], _trimmed(text, *element.span("value"))
+    for tag in TAG.finditer(text):
+        names, value = [], None
+        for attribute in ATTRIBUTE.finditer(text, *tag.span("inner")):
+            body = attribute.span(attribute.lastgroup)
+            if attribute["name"].lower() in NAMING:
+                names.append(text[slice(*body)])
+            elif attribute["name"].lower() == "value":
+                value = (body,)
+        if value:
+            yield from ((name, value) for name in names)
+
+
+def _block_pairs(text: str) -> Iterator[tuple[str, Spans]]:
+    at = 0
+    while block := BLOCK.search(text, at):
+        at, lines = block.end(), []
+        while line := LINE.match(text, at):
+            if line["value"].strip() and len(line["indent"]) <= len(block["indent"]):
+                break
+            lines += _trimmed(text, *line.span("value")) if line["value"].strip() else ()
+            at = line.end()
+        if lines:
+            yield block["name"], tuple(lines)
+
+
+def _line_pairs(text: str) -> Iterator[tuple[str, Spans]]:
+    for variable in ENVIRONMENT.finditer(text):
+        if string := _string_at(text, variable.end()):
+            yield variable["name"], string[0]
+        else:
+            stop = text.find("\n", variable.end())
+            yield variable["name"], _trimmed(text, variable.end(), len(text) if stop < 0 else stop)
+    for definition in DEFINITION.finditer(text):
+        if string := _string_at(text, definition.end()):
+            yield definition["name"], string[0]
+
+
+def _call_pairs(text: str) -> Iterator[tuple[str, Spans]]:
+    for call in SETTER.finditer(text):
+        if not (first := _string_at(text, call.end())):
+            continue
+        body, at = first
+        comma = ARGUMENT.match(text, at)
+        second = comma and _string_at(text, comma.end())
+        if second:
+            yield text[slice(*body[0])], second[0]
+        elif SPACE.match(text, at).end() < len(text) and text[SPACE.match(text, at).end()] == ")":
+            yield call["name"], body
+
+
+def other_pairs(text: str) -> Iterator[tuple[str, Spans]]:
+    """Name-literal pairs that are written without a sign of assignment."""
+    if "</" in text or "/>" in text or "value=" in text:
+        yield from _tag_pairs(text)
+    if "|" in text or ">" in text:
+        yield from _block_pairs(text)
+    if "ENV" in text or "setenv" in text or "define" in text:
+        yield from _line_pairs(text)
+    if "(" in text:
+        yield from _call_pairs(text)
+
+
+def _opening(text: str, begin: int, closing: int) -> int | None:
+    """Where the bracket opens that closes at a place."""
+    opened: list[int] = []
+    at = None
+    for bracket in BRACKET.finditer(text, begin, closing + 1):
+        if bracket[0] in "[<":
+            opened.append(bracket.start())
+            continue
+        wanted = "[" if bracket[0] == "]" else "<"
+        # A sign of comparison opens nothing that a square bracket could close.
+        while wanted == "[" and opened and text[opened[-1]] != wanted:
+            opened.pop()
+        at = opened.pop() if opened and text[opened[-1]] == wanted else None
+    return at
+
+
+def annotated_pairs(text: str) -> Iterator[tuple[str, int, int]]:
+    """Names with a bracketed annotation of any length: the name, where the type starts and where the value does."""
+    done = 0
+    for closed in ANNOTATED.finditer(text):
+        begin = max(done, text.rfind("\n", done, closed.start()) + 1)
+        done = closed.end()
+        heads = {head.end() - 1: head for head in ANNOTATION.finditer(text, begin, closed.start())}
+        if heads:
+            head = heads.get(_opening(text, begin, closed.start()), heads[max(heads)])
+            yield head["name"], head.start("type"), closed.end()
+
+
 def assigned_literals(text: str) -> list[tuple[int, int]]:
     """Spans of literals whose names, their own or those they are passed on to, make them secrets."""
     holds: dict[str, Spans] = {}
     names: dict[Spans, float] = {}
     links: list[tuple[Spans, Spans]] = []
+    for name, spans in other_pairs(text):
+        names[spans] = max(names.get(spans, 0.0), name_score(name))
+        if part := last_part(name):
+            holds[part] = spans
+    types = set()
+    for name, kind, start in annotated_pairs(text) if ("]" in text or ">" in text) else ():
+        types.add(kind)
+        for spans in (values := value_at(text, BLANK.match(text, start).end(), holds, links)):
+            names[spans] = max(names.get(spans, 0.0), name_score(name))
+        if values:
+            holds[last_part(name)] = tuple(span for spans in values for span in spans)
     chain: list[str] = []
     chain_at = at = 0
     while head := HEAD.search(text, at):
@@ -173,6 +312,8 @@ def assigned_literals(text: str) -> list[tuple[int, int]]:
         name = REFERENCE.match(text, begin)
         if name and CHAIN.match(text, name.end()):
             chain, chain_at = own, begin
+        if begin in types:
+            continue
         for spans in (values := value_at(text, begin, holds, links)):
             names[spans] = max([names.get(spans, 0.0), *map(name_score, own)])
         if values:
@@ -203,7 +344,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 def spans_of(text: str) -> list[tuple[str, int, int]]:
     """All spans by start, then kind."""
     found = base_spans(text)
-    if "=" in text or ":" in text:
+    if any(sign in text for sign in "=:<(") or "ENV" in text or "setenv" in text or "define" in text:
         found += [("literal", *span) for span in assigned_literals(text)]
     return sorted(found, key=lambda span: (span[1], KINDS.index(span[0]), span[2]))
 

@@ -171,6 +171,76 @@ def test_quality_counts_equal_plain_python(spark, docs):
     assert {r[0] for r in kept.collect()} == {i for i, r in found.items() if r.kept}
 
 
+SYNTAXES = {
+    "element": "<db><password> @ </password></db>",
+    "tag": '<add key="DbPassword" value="@"/>',
+    "tag of two lines": "<property name='db.token'\n  value='@'>",
+    "block": "user: u\npassword: |\n  @\nnext: 1",
+    "folded block in a list": "a:\n  - secret_key: >-\n\n      @\n  - b: c",
+    "ENV": "FROM x\nENV DB_PASSWORD @",
+    "ENV quoted": 'ENV DB_PASSWORD "@"\nRUN x',
+    "setenv": "setenv API_TOKEN @\n",
+    "define": '#define API_SECRET "@"',
+    "define passed on": '# define K "@"\nsession_token = K',
+    "setter": 'db.setPassword("@")',
+    "snake setter": "p.set_password( '@' );",
+    "named setter": 'props.setProperty("db.password", "@");',
+    "put": 'editor.putString("auth_token","@")',
+    "long annotation": f'password: Annotated[str, Field({"x" * 500})] = "@"',
+    "second annotation": f'n: dict[str, list[int]] = {{}}; password: Map<String, {"y" * 90}> = "@"',
+}
+
+
+@pytest.mark.parametrize("name", SYNTAXES)
+def test_secrets_without_a_sign_of_assignment(name):
+    secret = "hN7xQ2vLw9Zt"
+    text = "é\n" + SYNTAXES[name].replace("@", secret)
+    found = [text[a:b] for kind, a, b in secrets.spans_of(text) if kind == "literal"]
+    assert found == [secret]
+    assert secret not in secrets.redacted(text)
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        '<a href="x">password</a>',
+        "<color>hN7xQ2vLw9Zt</color>",
+        'setColor("hN7xQ2vLw9Zt")',
+        'put("colour", "hN7xQ2vLw9Zt")',
+        "ENV COLOR hN7xQ2vLw9Zt",
+        "note: |\n  hN7xQ2vLw9Zt",
+        "password: |\nhN7xQ2vLw9Zt",
+        "password(get())",
+        "set the password (later) and put it away",
+    ],
+)
+def test_literals_of_plain_names_are_no_secrets(text):
+    assert secrets.spans_of(text) == []
+
+
+HOSTILE = {
+    "tags": "<a>x",
+    "attributes": 'b="c" ',
+    "open tags": '<a b="c" ',
+    "setters": 'set("',
+    "blocks": "a: |\n  b: |\n",
+    "annotations": "a: b[",
+    "closed annotations": 'a: b[c]= "x" ',
+    "definitions": "#define a ",
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_long_texts_of_one_syntax_cost_linear_time(name):
+    def seconds(n):
+        text, begin = HOSTILE[name] * n, time.process_time()
+        secrets.spans_of(text)
+        return time.process_time() - begin
+
+    # Quadratic work would take 64 times as long; the half second covers the clock.
+    assert seconds(40_000) < 20 * seconds(5_000) + 0.5
+
+
 def test_secrets(spark):
     key = "AKIA" + "Z" * 16
     text = f'Ünì db_password: "h4xK9.qq" then {key} and {"0a" * 12} K = "s3cretValue99"\nsession_token = K\nname = "plain words"'
