@@ -67,35 +67,71 @@ def _render(run: Column) -> Column:
     return F.concat(_lit(START), run["role"], _lit("\n"), F.array_join(run["segments"], SEPARATOR), _lit(END + "\n"))
 
 
+def _running(lengths: Column) -> Column:
+    """Sums of array<bigint> up to and with each place.
+
+    Each pass adds to every place the one a step before it, the step doubling from pass to pass: n log n work, where an
+    accumulator that grows by one element at a time would be copied n times.
+    """
+    passes = F.sequence(_lit(0), F.ceil(F.log2(F.greatest(F.size(lengths), _lit(1)).cast("double"))).cast("int"))
+    steps = F.transform(passes, lambda d: F.pow(_lit(2.0), d).cast("int"))
+    return F.aggregate(
+        steps,
+        lengths,
+        lambda sums, step: F.transform(
+            sums, lambda x, i: x + F.when(i >= step, F.get(sums, i - step)).otherwise(_lit(0).cast("bigint"))
+        ),
+    )
+
+
+def _measured(runs: Column, trained: str) -> Column:
+    """Every segment's length in characters and bytes with its marks before and after it, and whether it is trained on."""
+
+    def segments(run: Column) -> Column:
+        last = F.size(run["segments"]) - 1
+        opening = F.concat(_lit(START), run["role"], _lit("\n"))
+
+        def measured(text: Column, i: Column) -> Column:
+            before = F.when(i == 0, opening).otherwise(_lit(SEPARATOR))
+            after = F.when(i == last, _lit(len(END) + 1)).otherwise(_lit(0))
+            sizes = {"chars": F.length, "bytes": F.octet_length}
+            return F.struct(
+                *[size(text).cast("bigint").alias(name) for name, size in sizes.items()],
+                *[(size(before) + size(text) + after).cast("bigint").alias(f"all_{name}") for name, size in sizes.items()],
+                after.cast("bigint").alias("after"),
+                (run["role"] == trained).alias("trained"),
+            )
+
+        return F.transform(run["segments"], measured)
+
+    return F.flatten(F.transform(runs, segments))
+
+
 def _spans(runs: Column, trained: str) -> Column:
-    """Where the trained role's segments stand: array<struct<start, length>>, in characters of the formatted text."""
-    span = "array<struct<start:bigint,length:bigint>>"
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(span).alias("spans"))
-
-    def in_run(acc: Column, run: Column) -> Column:
-        body = acc["at"] + F.length(_lit(START)) + F.length(run["role"]) + 1
-        inner = F.aggregate(
-            run["segments"],
-            F.struct(body.cast("bigint").alias("at"), acc["spans"].alias("spans")),
-            lambda a, text: F.struct(
-                (a["at"] + F.length(text) + len(SEPARATOR)).cast("bigint").alias("at"),
-                F.when(
-                    run["role"] == trained,
-                    F.concat(
-                        a["spans"],
-                        F.array(F.struct(a["at"].alias("start"), F.length(text).cast("bigint").alias("length"))),
-                    ),
-                )
-                .otherwise(a["spans"])
-                .alias("spans"),
-            ),
-        )
-        past = len(END) + 1 - len(SEPARATOR)
-        return _bind(
-            inner, lambda x: F.struct((x["at"] + past).cast("bigint").alias("at"), x["spans"].alias("spans"))
-        )
+    """Where the trained role's segments stand: array<struct<start, length, first_byte, n_bytes>> in the formatted text.
+
+    Start and length count characters; a reader of the bytes need not count them from the beginning for every span.
+    """
 
-    return F.aggregate(runs, begin, in_run)["spans"]
+    def placed(measured: Column) -> Column:
+        ends = F.struct(*[_running(measured[f"all_{n}"]).alias(n) for n in ("chars", "bytes")])
+
+        def span(m: Column, i: Column, ends: Column) -> Column:
+            first = {n: F.get(ends[n], i) - m["after"] - m[n] for n in ("chars", "bytes")}
+            return F.when(
+                m["trained"],
+                F.struct(
+                    first["chars"].alias("start"),
+                    m["chars"].alias("length"),
+                    first["bytes"].alias("first_byte"),
+                    m["bytes"].alias("n_bytes"),
+                ),
+            )
+
+        every = _bind(ends, lambda e: F.transform(measured, lambda m, i: span(m, i, e)))
+        return F.filter(every, lambda s: s.isNotNull())
+
+    return _bind(_measured(runs, trained), placed)
 
 
 def format_conversations(
@@ -106,7 +142,7 @@ def format_conversations(
     text: str = "text",
     trained_role: str = "assistant",
 ) -> DataFrame:
-    """One row per conversation: conv_id, formatted string, loss_spans (start and length in characters)."""
+    """One row per conversation: conv_id, formatted string, loss_spans (start and length in characters, and in bytes)."""
     named = pick(rows, conv_id, turn, role, text).toDF("conv_id", "turn", "role", "text")
     turns = named.select(
         "conv_id",
@@ -148,9 +184,14 @@ def read_turns(formatted: Column) -> Column:
 
 def read_loss_text(formatted: Column, spans: Column) -> Column:
     """All text under the loss mask, unescaped, in order."""
-    pieces = F.transform(
-        spans,
-        lambda s: unescape(F.substring(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))),
+    pieces = _bind(
+        formatted.cast("binary"),
+        lambda whole: F.transform(
+            spans,
+            lambda s: unescape(
+                F.substring(whole, (s["first_byte"] + 1).cast("int"), s["n_bytes"].cast("int")).cast("string")
+            ),
+        ),
     )
     return F.array_join(pieces, "")
 

@@ -125,6 +125,38 @@ def test_token_counts_equal_plain_viterbi(spark, docs):
         assert found.n_pretokens[row.doc_id] == len(words)
 
 
+def test_loss_spans_count_characters_and_bytes_alike(spark):
+    rows = [(c, t, r, "é漢😀<|"[: t % 6] * (t % 3)) for c in range(40) for t, r in enumerate("uaaauaua"[: c % 9])]
+    rows = [(c, t, {"a": "assistant", "u": "usér"}[r], x) for c, t, r, x in rows]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    seen = 0
+    for row in chat.format_conversations(df).collect():
+        whole = row.formatted.encode()
+        texts = [x for c, _, r, x in rows if c == row.conv_id and r == "assistant"]
+        escaped = [x.replace("\\", "\\\\").replace("<|", "<\\|") for x in texts]
+        assert [row.formatted[s.start : s.start + s.length] for s in row.loss_spans] == escaped
+        assert [whole[s.first_byte : s.first_byte + s.n_bytes].decode() for s in row.loss_spans] == escaped
+        seen += len(texts)
+    assert seen > 50
+
+
+@pytest.mark.parametrize("roles", [("user", "assistant"), ("assistant", "assistant")])
+def test_long_conversations_cost_little_more_than_their_length(spark, roles):
+    def seconds(n):
+        rows = spark.range(n).selectExpr(
+            "1L AS conv_id", "id AS turn", f"element_at(array('{roles[0]}', '{roles[1]}'), int(id % 2) + 1) AS role", "'é text' AS text"
+        )
+        begin = time.time()
+        formatted = chat.format_conversations(rows.repartition(1))
+        back = formatted.select(F.length(chat.read_loss_text(F.col("formatted"), F.col("loss_spans"))).alias("n")).first()
+        assert back.n == 6 * sum(roles[i % 2] == "assistant" for i in range(n))
+        return time.time() - begin
+
+    seconds(100)
+    # Quadratic work would take 64 times as long; the seconds added cover planning.
+    assert seconds(40_000) < 16 * seconds(5_000) + 4
+
+
 def test_chat_round_trip_with_control_strings(spark):
     odd = ["<|im_end|>", "a<|im_sep|>b", "\\", "<\\|", "<\\\\|im_end|>", "", None, "x\ny", "<|im_start|>assistant\nhi<|im_end|>\n"]
     rng = random.Random(2)
