@@ -13,7 +13,7 @@ for all snapshots that look at it, and read as of each of them afterwards.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from openchair.operators.joins import FANOUT, salt_copies, salt_of
@@ -33,25 +33,34 @@ FIRST_TIMES = tuple(_first(t) for t in EVENT_TYPES)
 LAST_TIMES = tuple(_last(t) for t in EVENT_TYPES)
 
 
-def event_extremes(events: DataFrame) -> DataFrame:
-    """First and last time of each event type per slot."""
+# Columns of the history that settle others and tell nothing more about a slot.
+WORKING = (*LAST_TIMES, "first_canceled_at", "latest_event_at")
 
-    def of_type(function: str, event_type: str, name: str) -> str:
-        return f"{function}(event_at) FILTER (WHERE event_type = '{event_type}') AS {name}"
 
-    # The key is required. Saying so keeps the plan of this aggregate equal in the branches
-    # that use it, so that its shuffle is computed once and reused.
-    key = slot_key(events.columns)
-    keyed = events.where(" AND ".join(f"{c} IS NOT NULL" for c in key))
-    extremes = keyed.groupBy(*key).agg(
-        *[F.expr(of_type("min", t, _first(t))) for t in EVENT_TYPES],
-        *[F.expr(of_type("max", t, _last(t))) for t in EVENT_TYPES],
-    )
-    return extremes.selectExpr(
-        "*",
-        f"least({', '.join(FIRST_TIMES)}) AS first_event_at",
-        f"greatest({', '.join(LAST_TIMES)}) AS latest_event_at",
-    )
+def _of_type(function: str, event_type: str, name: str) -> str:
+    return f"{function}(event_at) FILTER (WHERE event_type = '{event_type}') AS {name}"
+
+
+_EXTREMES = (
+    *[_of_type("min", t, _first(t)) for t in EVENT_TYPES],
+    *[_of_type("max", t, _last(t)) for t in EVENT_TYPES],
+)
+_OVERALL = (
+    f"least({', '.join(FIRST_TIMES)}) AS first_event_at",
+    f"greatest({', '.join(LAST_TIMES)}) AS latest_event_at",
+)
+
+
+def _keyed(events: DataFrame) -> DataFrame:
+    # The key is required. Saying so keeps the plan of the extremes equal in the branches
+    # that use them, so that their shuffle is computed once and reused.
+    return events.where(" AND ".join(f"{c} IS NOT NULL" for c in slot_key(events.columns)))
+
+
+def event_extremes(events: DataFrame) -> DataFrame:
+    """First and last time of each event type per slot."""
+    extremes = _keyed(events).groupBy(*slot_key(events.columns)).agg(*map(F.expr, _EXTREMES))
+    return extremes.selectExpr("*", *_OVERALL)
 
 
 def _types_at(time: str, columns: tuple[str, ...]) -> str:
@@ -72,6 +81,15 @@ UNDECIDED = (
 )
 
 
+# What the single events of a slot settle, beside its limits.
+_STANDS = "event_type = 'booked' AND event_at >= last_canceled_at"
+_SETTLED = (
+    f"min(event_at) FILTER (WHERE {_STANDS}) AS _rebooked_at",
+    "min_by(event_type, event_id) FILTER (WHERE event_at = first_event_at) AS _first_type",
+    "max_by(event_type, event_id) FILTER (WHERE event_at = latest_event_at) AS _latest_type",
+)
+
+
 def _reread(events: DataFrame, undecided: DataFrame, fanout: int) -> DataFrame:
     """Look at the single events of the undecided slots, salted so that no slot is one task."""
     key = slot_key(events.columns)
@@ -89,17 +107,30 @@ def _reread(events: DataFrame, undecided: DataFrame, fanout: int) -> DataFrame:
         "event_at",
         f"{salt_of(['event_id'], fanout)} AS _salt",
     ).join(limits, [*key, "_salt"])
-    stands = "event_type = 'booked' AND event_at >= last_canceled_at"
-    return found.groupBy(*key).agg(
-        F.expr(f"min(event_at) FILTER (WHERE {stands}) AS _rebooked_at"),
-        F.expr(
-            "min_by(event_type, event_id) FILTER (WHERE event_at = first_event_at) AS _first_type"
-        ),
-        F.expr(
-            "max_by(event_type, event_id) FILTER (WHERE event_at = latest_event_at)"
-            " AS _latest_type"
-        ),
-    )
+    return found.groupBy(*key).agg(*map(F.expr, _SETTLED))
+
+
+def _one_pass(events: DataFrame) -> DataFrame:
+    """Extremes and what the undecided slots need, from one pass over the events of each slot.
+
+    A slot is read by one task, without salts. Where events lie by slot already nothing is shuffled.
+    """
+    key = slot_key(events.columns)
+    own = Window.partitionBy(*key)
+    known = "event_type IN ({})".format(", ".join(f"'{t}'" for t in EVENT_TYPES))
+
+    def over(function: str, condition: str):
+        return F.expr(f"{function}(IF({condition}, event_at, NULL))").over(own)
+
+    limits = {
+        "last_canceled_at": over("max", "event_type = 'canceled'"),
+        "first_event_at": over("min", known),
+        "latest_event_at": over("max", known),
+    }
+    beside = _keyed(events).select(*key, "event_id", "event_type", "event_at").withColumns(limits)
+    # The limit of a slot is also one of its extremes, under the same name.
+    found = beside.groupBy(*key).agg(*map(F.expr, (*_EXTREMES, *_SETTLED)))
+    return found.selectExpr("*", *_OVERALL)
 
 
 def event_history(events: DataFrame, fanout: int = FANOUT) -> DataFrame:
@@ -108,12 +139,23 @@ def event_history(events: DataFrame, fanout: int = FANOUT) -> DataFrame:
     A booking stands when no cancellation of the slot is strictly later. Testing for the
     undecided slots again after the join makes both branches need the same extremes, so
     that the plan computes them once, whichever result columns a caller keeps.
+
+    Events that lie by slot, as those of a feed joined by slot do, take ``fanout=1``: one pass,
+    no second look.
     """
-    extremes = event_extremes(events)
-    reread = _reread(events, extremes.where(UNDECIDED), fanout)
+    if fanout == 1:
+        settled = _one_pass(events)
+    else:
+        extremes = event_extremes(events)
+        reread = _reread(events, extremes.where(UNDECIDED), fanout)
+        settled = extremes.join(reread, list(slot_key(events.columns)), "left")
     never_undone = "last_canceled_at IS NULL OR first_booked_at >= last_canceled_at"
-    return extremes.join(reread, list(slot_key(events.columns)), "left").selectExpr(
-        *extremes.columns,
+    return settled.selectExpr(
+        *slot_key(events.columns),
+        *FIRST_TIMES,
+        *LAST_TIMES,
+        "first_event_at",
+        "latest_event_at",
         f"IF({UNDECIDED}, _first_type, {_type_at('first_event_at', FIRST_TIMES)})"
         " AS first_event_type",
         f"IF({UNDECIDED}, _latest_type, {_type_at('latest_event_at', LAST_TIMES)})"

@@ -11,6 +11,7 @@ from openchair.functions import calendar, numbers
 from openchair.functions.calendar import instant
 from openchair.operators.availability import derive_availability, join_history
 from openchair.operators.history import event_history
+from openchair.operators.joins import FANOUT
 from openchair.params import SLOT_KEY, RunSpec, Settings
 
 HOUR_MICROS = 3_600_000_000
@@ -186,16 +187,18 @@ def is_feed(slots: DataFrame) -> bool:
     return "effective_ts" not in slots.columns
 
 
-def known_at_runs(slots: DataFrame, events: DataFrame, runs: Sequence[RunSpec]) -> DataFrame:
+def known_at_runs(
+    slots: DataFrame, events: DataFrame, runs: Sequence[RunSpec], fanout: int = FANOUT
+) -> DataFrame:
     """Visible slots of every run with their event history.
 
     A feed is aggregated and joined once, without slots that no run sees yet; only the joined
     rows are multiplied by the runs, so events and slots are shuffled once for all snapshots.
     """
     if not is_feed(slots):
-        return join_history(visible_slots(slots), events)
+        return join_history(visible_slots(slots), events, fanout)
     latest = instant(str(max(run.effective_ts for run in runs)))
-    joined = join_history(slots.where(F.col("visible_at") <= latest), events)
+    joined = join_history(slots.where(F.col("visible_at") <= latest), events, fanout)
     return visible_slots(assign_runs(joined, runs))
 
 
@@ -205,13 +208,16 @@ def snapshot_base(
     settings: Settings,
     derive: bool = True,
     runs: Sequence[RunSpec] = (),
+    joined: DataFrame | None = None,
+    fanout: int = FANOUT,
 ) -> DataFrame:
     """One row per visible slot with calendar, availability and as-of event columns.
 
     Pass ``derive=False`` for slots whose availability columns are already stored, and the runs
-    with a feed, whose rows have none.
+    with a feed, whose rows have none. ``joined`` takes the slots of every run with their history
+    where a caller has them already.
     """
-    known = known_at_runs(slots, events, runs)
+    known = known_at_runs(slots, events, runs, fanout) if joined is None else visible_slots(joined)
     if derive:
         known = derive_availability(known)
     known = known.withColumn(

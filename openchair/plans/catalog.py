@@ -85,7 +85,7 @@ def _seen_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _job(spark, sf_dir, settings=CONSTANT_RATE, runs=(RUN,), **options) -> SnapshotJob:
     _session(spark)
     slots, events = commerce.slot_feed(spark, sf_dir), commerce.event_feed(spark, sf_dir)
-    return SnapshotJob(slots, events, runs, settings, **options)
+    return SnapshotJob(slots, events, runs, settings, fanout=1, **options)
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -301,15 +301,13 @@ def dq_duplicates(spark, sf_dir):
 
 
 def dq_ranges(spark, sf_dir):
-    job = _job(spark, sf_dir)
-    slots = availability.availability(job.slots, job.events)
-    return quality.range_rules(slots, job.scored, job.calibrations)
+    job = _job(spark, sf_dir, slots_too=True)
+    return quality.range_rules(job.available, job.scored, job.calibrations)
 
 
 def dq_readiness(spark, sf_dir):
-    job, decisions = _decided(spark, sf_dir, runs=BACKFILL)
-    slots = availability.availability(job.slots, job.events)
-    return quality.readiness(slots, job.features, decisions, job.calibrations, decisions)
+    job, decisions = _decided(spark, sf_dir, runs=BACKFILL, slots_too=True)
+    return quality.readiness(job.available, job.features, decisions, job.calibrations, decisions)
 
 
 # Availability and snapshot --------------------------------------------------------------
@@ -555,10 +553,9 @@ def backfill_scores(spark, sf_dir):
 
 
 def decision_input(spark, sf_dir):
-    job = _job(spark, sf_dir)
-    slots = availability.availability(job.slots, job.events)
+    job = _job(spark, sf_dir, slots_too=True)
     scored, flagged = staged(job.scored, "scores"), job.flagged
-    rows = recommend.decision_input(slots, job.features, flagged, scored)
+    rows = recommend.decision_input(job.available, job.features, flagged, scored)
     return _rounded(rows.drop("effective_ts"))
 
 
@@ -681,8 +678,8 @@ def recommendations_of_lead_band(spark, sf_dir):
 
 def _stored(spark, sf_dir) -> RunTables:
     """The tables of three runs, written for joins to a folder of their own."""
-    job = _job(spark, sf_dir, runs=BACKFILL, scarcity=True)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    job = _job(spark, sf_dir, runs=BACKFILL, scarcity=True, slots_too=True, buckets=buckets)
     stored = RunTables(spark, f"openchair_{uuid.uuid4().hex}", buckets, new_folder(spark))
     stored.write(job)
     return stored

@@ -12,7 +12,18 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 
-from openchair.operators import baselines, features, logistic, recommend, scoring, snapshot, underbooking
+from openchair.operators import (
+    availability,
+    baselines,
+    features,
+    history,
+    logistic,
+    recommend,
+    scoring,
+    snapshot,
+    underbooking,
+)
+from openchair.operators.joins import FANOUT
 from openchair.params import RUN_KEY, RunSpec, Settings
 from openchair.plans.staging import staged
 
@@ -22,7 +33,12 @@ UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
 
 class SnapshotJob:
-    """Slots and events are stored tables of the runs, or feeds without run columns that every run looks at."""
+    """Slots and events are stored tables of the runs, or feeds without run columns that every run looks at.
+
+    ``slots_too`` is for jobs whose ``available`` slots are read beside what is derived from them: slots and
+    events are joined once, for both. Events that lie by slot take ``fanout=1``. With ``buckets`` the staged tables
+    of slots lie by slot, so that writing them to tables of as many buckets shuffles nothing.
+    """
 
     def __init__(
         self,
@@ -32,6 +48,9 @@ class SnapshotJob:
         settings: Settings | None = None,
         derive_availability: bool = True,
         scarcity: bool = False,
+        slots_too: bool = False,
+        fanout: int = FANOUT,
+        buckets: int = 0,
     ) -> None:
         zone = slots.sparkSession.conf.get("spark.sql.session.timeZone")
         if zone not in UTC_NAMES:
@@ -43,6 +62,23 @@ class SnapshotJob:
         self.settings = settings or Settings()
         self.derive_availability = derive_availability
         self.scarcity = scarcity
+        self.slots_too = slots_too
+        self.fanout = fanout
+        self.buckets = buckets
+
+    @cached_property
+    def known(self) -> DataFrame:
+        """Slots of every run with their event history. A feed is joined and staged before it meets the runs."""
+        joined = availability.join_history(self.feed, self.events, self.fanout)
+        joined = staged(joined.drop(*history.WORKING), "known", buckets=self.buckets)
+        return snapshot.assign_runs(joined, self.runs) if snapshot.is_feed(joined) else joined
+
+    @cached_property
+    def available(self) -> DataFrame:
+        """The slots of every run, unseen ones too, with both availability columns."""
+        if not self.derive_availability:
+            return self.slots
+        return availability.availability(self.slots, self.events, joined=self.known)
 
     @cached_property
     def base(self) -> DataFrame:
@@ -52,6 +88,8 @@ class SnapshotJob:
             self.settings,
             derive=self.derive_availability,
             runs=self.runs,
+            joined=self.known if self.slots_too else None,
+            fanout=self.fanout,
         )
 
     @cached_property
@@ -66,16 +104,20 @@ class SnapshotJob:
     def features_once(self) -> DataFrame:
         """Features for a job that reads them a single time."""
         return features.build_features(
-            self.base, self.settings, stage=staged, scarcity=self.scarcity
+            self.base, self.settings, stage=self._stage, scarcity=self.scarcity
         )
 
+    def _stage(self, df: DataFrame, label: str) -> DataFrame:
+        """Base rows are by slot; the other tables that features stage are by group."""
+        return staged(df, label, buckets=self.buckets if label == "base" else 0)
+
     @cached_property
     def flagged_once(self) -> DataFrame:
         return underbooking.add_underbooking(self.features_once, self.settings)
 
     @cached_property
     def features(self) -> DataFrame:
-        return staged(self.features_once, "features", RUN_KEY)
+        return staged(self.features_once, "features", RUN_KEY, self.buckets)
 
     @cached_property
     def flagged(self) -> DataFrame:

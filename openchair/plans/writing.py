@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from openchair.operators import availability, evaluation, quality, recommend, scoring, underbooking
+from openchair.operators import evaluation, quality, recommend, scoring, underbooking
 from openchair.operators.features import feature_snapshots
 from openchair.params import RUN_KEY, SLOT_KEY, VERSIONED_SLOT_KEY
 from openchair.plans.snapshot_job import SnapshotJob
@@ -53,9 +53,7 @@ def write_run(job: SnapshotJob, root: str) -> None:
     if not job.scarcity:
         raise ValueError("the stored features hold the scarcity columns: build the job with scarcity=True")
     decisions = staged(job.decisions, "decisions", RUN_KEY)
-    slots = job.slots
-    if job.derive_availability:
-        slots = staged(availability.availability(slots, job.events), "slots", RUN_KEY)
+    slots = staged(job.available, "slots", RUN_KEY) if job.derive_availability else job.slots
     tables = {
         "cohort_baselines": staged(job.baselines, "baselines", RUN_KEY),
         "feature_snapshots": feature_snapshots(job.features),

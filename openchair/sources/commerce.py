@@ -80,12 +80,14 @@ _EVENT_TYPE = """CASE WHEN pmod(l_suppkey, 20) = 0 THEN 'removed'
     WHEN l_linestatus = 'F' AND pmod(l_suppkey, 2) = 1 THEN 'no_show'
     WHEN l_linestatus = 'F' THEN 'rescheduled'
     ELSE 'booked' END"""
+# Orders and line items meet on the slot id, so that events lie by slot for all that follows.
+_SLOT_OF_ITEM, _SLOT_OF_ORDER = "concat('slot_', l_orderkey)", "concat('slot_', o_orderkey)"
 EVENT_EXPRESSIONS = {
     "event_id": "concat_ws('_', 'evt', l_orderkey, l_linenumber, l_partkey, l_suppkey,"
     " floor(l_extendedprice * 100 + 0.5D))",
-    "slot_id": "concat('slot_', l_orderkey)",
-    "event_type": _EVENT_TYPE,
-    "event_at": f"""IF({_EVENT_TYPE} IN ('completed', 'no_show'),
+    "slot_id": _SLOT_OF_ITEM,
+    "event_type": "event_type",
+    "event_at": f"""IF(event_type IN ('completed', 'no_show'),
       slot_start_at + INTERVAL 1 HOUR,
       slot_start_at - make_dt_interval(0, CAST(1 + pmod(l_partkey, {LEAD_HOURS}) AS INT)))""",
 }
@@ -96,19 +98,18 @@ def _named(expressions: dict[str, str], prefix: str = "") -> list[str]:
 
 
 def _line_items(spark: SparkSession, sf_dir: str, starts: Starts = ALL) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
         "l_orderkey",
         "l_linenumber",
         "l_partkey",
         "l_suppkey",
         "l_extendedprice",
-        "l_returnflag",
-        "l_linestatus",
+        f"{_EVENT_TYPE} AS event_type",
     )
     orders = _orders(spark, sf_dir, starts).select("o_orderkey", "o_custkey", "slot_start_at")
     # A line item without its order stays, so that the rules can report it.
     how = "left" if starts == ALL else "inner"
-    return items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"), how)
+    return items.join(orders, F.expr(f"{_SLOT_OF_ITEM} = {_SLOT_OF_ORDER}"), how)
 
 
 def slot_feed(spark: SparkSession, sf_dir: str, starts: Starts = ALL) -> DataFrame:
@@ -153,8 +154,8 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_items(spark, sf_dir).selectExpr(
         f"{EVENT_EXPRESSIONS['event_id']} AS source_event_id",
         f"{EVENT_EXPRESSIONS['slot_id']} AS source_slot_id",
-        f"IF({_EVENT_TYPE} <> 'removed', concat('cust_', o_custkey), NULL) AS source_customer_id",
-        f"{_EVENT_TYPE} AS event_type",
+        "IF(event_type <> 'removed', concat('cust_', o_custkey), NULL) AS source_customer_id",
+        "event_type",
         f"CAST({EVENT_EXPRESSIONS['event_at']} AS STRING) AS event_at",
     )
 
