@@ -154,18 +154,18 @@ def remaining_same_day(base: DataFrame) -> DataFrame:
     ).agg(F.count("*").alias("remaining_provider_slots_same_day"))
 
 
-def add_density(rows: DataFrame, base: DataFrame) -> DataFrame:
+def add_density(rows: DataFrame, base: DataFrame, stage: Stage = no_stage) -> DataFrame:
     key = (*RUN_KEY, "business_id", "service_type", "slot_start_at")
-    joined = attach(rows, inventory_density(base), key, ("slot_id",), fanout=1)
+    joined = attach(rows, stage(inventory_density(base), "density"), key, ("slot_id",), fanout=1)
     return joined.withColumn(
         "inventory_density_2h", F.coalesce("inventory_density_2h", F.lit(0.0))
     )
 
 
-def add_remaining_same_day(rows: DataFrame, base: DataFrame) -> DataFrame:
+def add_remaining_same_day(rows: DataFrame, base: DataFrame, stage: Stage = no_stage) -> DataFrame:
     dated = rows.withColumn("slot_date", F.to_date("slot_start_at"))
     key = (*RUN_KEY, "provider_id", "slot_date")
-    joined = attach(dated, remaining_same_day(base), key, ("slot_id",), fanout=1)
+    joined = attach(dated, stage(remaining_same_day(base), "same_day"), key, ("slot_id",), fanout=1)
     count = F.coalesce("remaining_provider_slots_same_day", F.lit(0))
     return joined.withColumn(
         "remaining_provider_slots_same_day", _if_future(count).cast("int")
@@ -201,8 +201,12 @@ def build_features(
     cells = stage(slot_cells(base), "cells")
     if baselines is None:
         baselines = cohort_baselines(cells, settings)
-    statistics = add_cohorts(cell_statistics(cells), baselines)
-    rows = _mask_past(add_cells(base, statistics)).withColumns(
+    # Staged, so that the planner sees its size and need not shuffle the rows to meet it.
+    statistics = stage(add_cohorts(cell_statistics(cells), baselines), "statistics")
+    rows = base
+    if scarcity:  # before the statistics: these joins may shuffle rows, and base rows are half as wide
+        rows = add_remaining_same_day(add_density(rows, base, stage), base, stage)
+    rows = _mask_past(add_cells(rows, statistics)).withColumns(
         {
             "cohort_fill_rate": F.coalesce("_cohort_fill", "hist_fill_rate_similar"),
             "expected_booking_pace_per_day": F.coalesce(
@@ -216,12 +220,9 @@ def build_features(
         "pace_deviation",
         F.col("observed_booking_pace_per_day") - F.col("expected_booking_pace_per_day"),
     )
-    rows = rows.drop(
+    return rows.drop(
         "_cohort_fill", "_cohort_pace", "_cohort_lead", "_cohort_completion", "_cohort_sparse"
     )
-    if scarcity:
-        rows = add_remaining_same_day(add_density(rows, base), base)
-    return rows
 
 
 def feature_snapshots(features: DataFrame) -> DataFrame:

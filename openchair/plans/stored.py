@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from openchair.operators import availability, recommend, scoring, underbooking
+from openchair.operators import recommend, scoring, underbooking
 from openchair.operators.features import feature_snapshots
 from openchair.params import RUN_KEY, RunSpec
 from openchair.plans.snapshot_job import SnapshotJob
@@ -32,10 +32,8 @@ class RunTables:
         repairs it.
         """
         decisions = staged(job.decisions, "decisions", RUN_KEY)
-        slots = availability.availability(job.slots, job.events) if job.derive_availability else job.slots
-        slots = staged(slots, "slots", RUN_KEY)
         tables = {
-            "slots": slots,
+            "slots": job.available,
             "features": feature_snapshots(job.features),
             "flags": underbooking.underbooking_outputs(job.flagged),
             "scores": scoring.scoring_outputs(decisions),
@@ -44,7 +42,7 @@ class RunTables:
         for table, rows in tables.items():
             path = f"{self.root}/{table}" if self.root else None
             run_tables.write_runs(rows, self.name(table), self.buckets, path)
-            # The rows come from staged tables of these partitions, so this reads no column.
+            # The rows come from staged tables, for all but the slots of these partitions, so this reads little.
             held = {tuple(row) for row in rows.select(*RUN_KEY).distinct().collect()}
             for run in job.runs:
                 if (run.scenario_id, run.run_id) not in held:

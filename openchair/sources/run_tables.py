@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from openchair.operators.evaluation import latest_runs
 from openchair.params import RUN_KEY, RunSpec
+from openchair.plans.staging import open_files
 
 
 def write_runs(df: DataFrame, table: str, buckets: int, path: str | None = None) -> None:
@@ -31,7 +32,8 @@ def write_runs(df: DataFrame, table: str, buckets: int, path: str | None = None)
         raise ValueError(f"{table} has columns {sorted(stored)}, the rows have {sorted(df.columns)}")
     if _buckets(spark, table) != buckets:
         raise ValueError(f"{table} has {_buckets(spark, table)} buckets, not {buckets}")
-    df.select(*stored).repartition(buckets, "slot_id").write.insertInto(table, overwrite=True)
+    with open_files(spark):
+        df.select(*stored).repartition(buckets, "slot_id").write.insertInto(table, overwrite=True)
 
 
 def clear_run(spark: SparkSession, table: str, run: RunSpec) -> None:
