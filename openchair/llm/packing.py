@@ -34,7 +34,9 @@ PATTERNS_PER_ROUND = 192
 MOST_ROUNDS = 400
 BUCKET_ROWS = 50_000
 CACHED = 300_000  # entries of a worker cache generation
-WORDS_AT_ONCE = 128
+WORDS_AT_ONCE = 512
+# Bounds of a block of texts: a word is looked up once in each.
+BLOCK_ROWS, BLOCK_CHARS = 2048, 4_000_000
 WRITTEN = {" ": "\u0120", "\n": "\u010a"}  # how the vocabulary file writes a space and a line feed
 
 Config = tuple[tuple[int, int], ...]  # (length, copies), longest first
@@ -239,7 +241,7 @@ def token_pieces(
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = tokenizer(path).encode
         end = END_ID.to_bytes(4, "little")
-        for part, texts in blocks(batches):
+        for part, texts in blocks(batches, BLOCK_ROWS, BLOCK_CHARS):
             rows = []
             for doc, ids in zip(part.column(0).to_pylist(), encode(texts)):
                 ids += end
