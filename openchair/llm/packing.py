@@ -16,15 +16,16 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator, Sequence
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from openchair.llm.common import Stage, WorkerCache, blocks, pick, table
-from openchair.llm.pieces import join_parts, whole
+from openchair.llm.pieces import FED_WORD, WORD, PartIds, cut_marks, lay_parts, looked_up, whole
 
 CAPACITY = 2048
 END_ID = 0
@@ -33,11 +34,12 @@ ETA = 8.0  # how fast a price falls with coverage
 PATTERNS_PER_ROUND = 192
 MOST_ROUNDS = 400
 BUCKET_ROWS = 50_000
-CACHED = 300_000  # entries of a worker cache generation
+CACHED = 400_000  # words whose ids a worker keeps
 WORDS_AT_ONCE = 512
 # Bounds of a block of texts: a word is looked up once in each.
 BLOCK_ROWS, BLOCK_CHARS = 2048, 4_000_000
 WRITTEN = {" ": "\u0120", "\n": "\u010a"}  # how the vocabulary file writes a space and a line feed
+NOTHING = pa.scalar(b"", pa.large_binary())
 
 Config = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
@@ -175,11 +177,16 @@ def place(lengths: np.ndarray, ranks: np.ndarray, places: dict[str, np.ndarray])
     return places["sequence"][at] + beyond // copies, places["offset"][at] + beyond % copies * lengths
 
 
+def joined(parts: pa.Array, between: str) -> str:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts), between)[0].as_py()
+
+
 class Tokenizer:
     """Ids of a byte-level tokenizers file. Parts of texts repeat and are looked up, within a bound.
 
-    New words are encoded many at a time as one text. Where only the first character of each is a space, or a line feed, the
-    tokens that start with one are where the words start.
+    Marks at the end of a word are encoded apart from it, as the pattern does, so a word is new only once. New words are
+    encoded many at a time as one text. Where only the first character of each is a space, or a line feed, the tokens that
+    start with one are where the words start.
     """
 
     def __init__(self, path: str):
@@ -192,38 +199,54 @@ class Tokenizer:
         for sign, written in WRITTEN.items():
             self.opens[sign] = opens = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
             opens[[i for token, i in vocabulary.items() if token.startswith(written)]] = True
-        self.first = WorkerCache(self._each, 50_000)
-        self.later = WorkerCache(self._later, CACHED)
+        self.first = WorkerCache(lambda parts: [self._ids(part).tobytes() for part in parts], 50_000)
+        self.words = PartIds(self._words, CACHED)
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.whole.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
 
-    def _each(self, parts: Sequence[str]) -> list[bytes]:
-        return [self._ids(part).tobytes() for part in parts]
-
-    def _later(self, parts: Sequence[str]) -> list[bytes]:
+    def _later(self, parts: pa.Array) -> pa.Array:
         """Ids of each part as it stands after others."""
-        words = list(map(whole, parts))
-        single = [word for word in words if word.split() == [word[1:]]]
-        found: dict[str, bytes] = {}
-        for sign, opens in self.opens.items():
-            own = [word for word in single if word[0] == sign]
-            for at in range(0, len(own), WORDS_AT_ONCE):
-                some = own[at : at + WORDS_AT_ONCE]
-                ids = self._ids("".join(some))
-                starts = (4 * np.flatnonzero(opens[ids])).tolist()
-                flat = ids.tobytes()
-                if len(starts) == len(some):
-                    found.update((word, flat[a:b]) for word, a, b in zip(some, starts, [*starts[1:], len(flat)]))
-        odd = [word for word in words if word not in found]
-        found.update(zip(odd, self._each(odd)))
-        return [found[word] for word in words]
+        bare, at, marks = cut_marks(parts)
+        ids = self.words.many(bare)
+        kinds = marks.dictionary_encode()
+        ends = looked_up(self.first, kinds.dictionary).take(kinds.indices)
+        ended = pc.binary_join_element_wise(ids.take(pa.array(at)), ends, NOTHING)
+        places = np.arange(len(parts))
+        places[at] = len(parts) + np.arange(len(at))
+        return pa.concat_arrays([ids, ended]).take(pa.array(places))
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of new words as they stand after others."""
+        order, ids = [], []  # places of words, and their ids
+        for kind, sign, between in ((WORD, " ", " "), (FED_WORD, "\n", "")):
+            own = np.flatnonzero(pc.match_substring_regex(words, kind).to_numpy(zero_copy_only=False))
+            for begin in range(0, len(own), WORDS_AT_ONCE):
+                at = own[begin : begin + WORDS_AT_ONCE]
+                found = self._ids(between + joined(words.take(pa.array(at)), between))
+                starts = np.flatnonzero(self.opens[sign][found])
+                if len(starts) == len(at):
+                    order.append(at)
+                    ids.append((found, np.diff(starts, append=len(found))))
+        odd = np.setdiff1d(np.arange(len(words)), np.concatenate([np.empty(0, dtype=np.int64), *order]))
+        for at, part in zip(odd.tolist(), words.take(pa.array(odd)).to_pylist()):
+            found = self._ids(whole(part))
+            order.append(np.array([at]))
+            ids.append((found, np.array([len(found)])))
+        if not order:
+            return pa.array([], pa.large_binary())
+        flat, lengths = map(np.concatenate, zip(*ids))
+        ends = np.concatenate([[0], 4 * np.cumsum(lengths)]).astype(np.int64)
+        buffers = [None, pa.py_buffer(ends), pa.py_buffer(flat)]
+        laid = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lengths), buffers)
+        return laid.take(pa.array(np.argsort(np.concatenate(order))))
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text. Texts with a special token's string are not cut."""
         odd = [any(token in text for token in self.special) for text in texts]
-        joined = join_parts(["" if special else text for special, text in zip(odd, texts)], self.first, self.later)
-        return [self._ids(text).tobytes() if special else ids for special, text, ids in zip(odd, texts, joined)]
+        plain = ["" if special else text for special, text in zip(odd, texts)]
+        laid = lay_parts(plain, partial(looked_up, self.first), self._later)
+        return [self._ids(text).tobytes() if special else ids for special, text, ids in zip(odd, texts, laid)]
 
 
 @lru_cache(maxsize=1)
