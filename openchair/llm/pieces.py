@@ -91,7 +91,7 @@ class PartIds:
 def lay_parts(
     texts: Sequence[str], first: Callable[[pa.Array], pa.Array], later: Callable[[pa.Array], pa.Array]
 ) -> list[bytes]:
-    """Little-endian 32-bit ids of each text, given what finds the ids of distinct parts: those that begin a text, and later ones."""
+    """Little-endian 32-bit ids of each text. The functions give the ids of parts that begin a text, and of later ones."""
     if not texts:
         return []
     parts, counts = cut_all(texts)

@@ -43,7 +43,10 @@ def test_ids_of_words_beside_marks(monkeypatch):
     monkeypatch.setattr(packing, "WORDS_AT_ONCE", 3)
     own, plain = packing.Tokenizer(path), Tokenizer.from_file(path)
     rng = random.Random(4)
-    texts = ["ab$$$ ab$$$$ ab,,,,,,. it's. don't, x' 'll we'll! l'l... a's' 12% 1'2. \u00d7, \u2026. \u0130. \u00bd) \u00aa. \u02b0, \u0301. \u4e2d. \u2014,"]
+    texts = [
+        "ab$$$ ab$$$$ ab,,,,,,. it's. don't, x' 'll we'll! l'l... a's' 12% 1'2. "
+        "\u00d7, \u2026. \u0130. \u00bd) \u00aa. \u02b0, \u0301. \u4e2d. \u2014,"
+    ]
     for signs in ("ab1. ", "sdtl' .", "é×ª½…’.,' ", "中Ġ\u0301\u0130.) \n", "a.\n ", "a\x1c.\u00a0 \x85!"):
         texts += ["".join(rng.choice(signs) for _ in range(rng.randint(0, 40))) for _ in range(200)]
     for at in range(0, len(texts), 50):
